@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .quality_rules import op6_quality_rules
+from .sharding import op2_sharding
+from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .token_counts import op10_token_counts
+from .url_filter import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_sharding": op2_sharding,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filters": OP1_SQL,
+    "op5_benchmark_decontamination": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL,
+}
