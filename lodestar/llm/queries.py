@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
+from .near_dup import op3_near_dedup
 from .quality_rules import op6_quality_rules
 from .sharding import op2_sharding
 from .substring_dedup import OP7_SQL, op7_substring_dedup
@@ -16,6 +17,7 @@ from .url_filter import OP1_SQL, op1_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
+    "op3_near_dedup": op3_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
