@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spanning
-from .text import NONSPACE, Words, binary_column, buffers, map_chunks, materialise, mix, table
+from .text import NONSPACE, Words, binary_column, buffers, bytes_of, map_chunks, materialise, mix, table
 
 TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 3
 #: Members of a block where a region is compared in full.
@@ -105,7 +105,7 @@ def _orders(nodes: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = buffers_of_binary(batch.column("sig"))
+            data = bytes_of(batch.column("sig"))
             keys = np.frombuffer(data, ">i8").reshape(batch.num_rows, TREES, 2)
             tree = np.repeat(np.arange(TREES, dtype=np.int8), batch.num_rows)
             p, q = (keys[:, :, i].T.ravel().astype(np.int64) for i in (0, 1))
@@ -114,13 +114,6 @@ def _orders(nodes: DataFrame) -> DataFrame:
     return nodes.filter("n > 0").select("node", "sig").mapInArrow(work, "tree byte, p long, q long, node long")
 
 
-def buffers_of_binary(column: pa.Array) -> bytes:
-    """The bytes of a binary column, one value after the other."""
-    _, offs, data = column.cast(pa.large_binary()).buffers()
-    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    return memoryview(data)[offs[0] : offs[-1]] if data is not None else b""
-
-
 def _neighbours(orders: DataFrame) -> DataFrame:
     """Candidate pairs (a > b) of near neighbours; and, with b null, the members of each region that the window may not cover.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .near_dup import op3_near_dedup
+from .packing import op4_packing
 from .quality_rules import op6_quality_rules
 from .sharding import op2_sharding
 from .substring_dedup import OP7_SQL, op7_substring_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
     "op3_near_dedup": op3_near_dedup,
+    "op4_packing": op4_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,

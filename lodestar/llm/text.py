@@ -165,6 +165,16 @@ def binary_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def bytes_of(column: pa.Array) -> memoryview:
+    """The bytes of a binary column, one value after the other; null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offs, data = column.buffers()
+    if not len(column) or data is None:
+        return memoryview(b"")
+    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
+    return memoryview(data)[offs[0] : offs[-1]]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -180,7 +190,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write a step once to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
