@@ -13,6 +13,7 @@ from .quality_rules import op6_quality_rules
 from .sharding import op2_sharding
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .token_counts import op10_token_counts
+from .toxicity import op8_toxicity
 from .url_filter import OP1_SQL, op1_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
