@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
+from .langid import op9_language_id
 from .near_dup import op3_near_dedup
 from .packing import op4_packing
 from .quality_rules import op6_quality_rules
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
