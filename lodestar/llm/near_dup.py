@@ -14,9 +14,10 @@ give connected components.
 A region (equal prefix of `LEAST` values) with more members than the window may
 hold links that the window did not try. So no link is lost there: a region whose
 members are all in one component is done; in each other region all members are
-tried against its best-linked member; what still has several components is
-compared in full, in blocks of bounded size, with only the spanning links given
-out. Nothing is capped or sampled.
+tried against its best-linked member. Where several components are left, the
+members outside the largest one are compared in full with the others, in blocks
+of bounded size, with only the spanning links given out. Nothing is capped or
+sampled.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .components import components, spanning
 from .text import NONSPACE, Words, binary_column, buffers, bytes_of, map_chunks, materialise, mix, table
 
 TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 3
-#: Members of a block where a region is compared in full.
-BLOCK = 96
+#: Members of a block where a region is compared in full, and their shingles on average.
+BLOCK, BLOCK_SHINGLES = 192, 400_000
 #: Rows without an id have a number from here on, made of their text.
 NO_ID = 1 << 62
 #: Ids of candidates that may be broadcast, 8 bytes each.
@@ -196,42 +197,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_regions(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, node, component) of the regions whose members are in several components."""
+    """(region, node, component, major) of the regions whose members are in several components; major says that the component is the region's largest."""
     labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x <> y").select("region", "members")
-    return labelled.join(open_, "region")
+    parts = labelled.groupBy("region", "component").agg(F.count("*").alias("c"))
+    top = parts.groupBy("region").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    return labelled.join(top.select("region", F.col("m.component").alias("largest")), "region").select("region", "node", "component", (F.col("component") == F.col("largest")).alias("major"))
 
 
 def _in_full(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning links of the regions' members, each compared with every other one of another component, in blocks."""
-    blocks = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = blocks.join(sets, "node").select("region", "node", "component", "n", "set", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    dealt = dealt.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    """Spanning links of the regions' members: each that is not in a region's largest component is compared with all of other components there, in blocks."""
+    full = open_.join(sets, "node")
+    blocks_of = lambda count, size: F.greatest(F.lit(1), F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    minor = ~F.col("major")
+    shape = open_.join(sets.select("node", "n"), "node").groupBy("region").agg(
+        blocks_of(F.count("*"), F.sum("n")).alias("blocks"), blocks_of(F.count_if(minor), F.sum(F.when(minor, F.col("n")).otherwise(0))).alias("asking")
+    )
+    dealt = full.join(shape, "region").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "ask": F.pmod(F.xxhash64("node"), F.col("asking")).cast("int")})
+    columns = ["region", "node", "component", "n", "set"]
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = dealt.select(*columns, "block", upto("asking").alias("ask"), F.lit(False).alias("asks"))
+    asking = dealt.filter(minor).select(*columns, upto("blocks").alias("block"), "ask", F.lit(True).alias("asks"))
 
     def work(group: pa.Table) -> pa.Table:
-        node, component, n, side = (group.column(c).to_numpy() for c in ("node", "component", "n", "i"))
+        node, component, n = (group.column(c).to_numpy() for c in ("node", "component", "n"))
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
         token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        owner = np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(token, kind="stable")
-        posting = owner[order]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
         at = np.concatenate([[0], np.cumsum(n)])
-        within = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
-        a, b = [], []
-        for x in range(len(sets)):
+        there = np.repeat(~asks, n)  # an inverted index over the members that are asked
+        owner, listed = np.repeat(np.arange(len(sets)), n)[there], token[there]
+        order = np.argsort(listed, kind="stable")
+        posting = owner[order]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(listed, minlength=int(token.max()) + 1))])
+        a, b = [node[:0]], [node[:0]]
+        for x in np.flatnonzero(asks).tolist():
             t = token[at[x] : at[x + 1]]
             lengths = begin[t + 1] - begin[t]
             to = np.repeat(begin[t] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             common = np.bincount(posting[to], minlength=len(sets))
-            fit = (100 * common >= percent * (n[x] + n - common)) & (component != component[x]) & (within | (side != side[x]))
-            y = np.flatnonzero(fit)
+            y = np.flatnonzero((100 * common >= percent * (n[x] + n - common)) & (component != component[x]) & ~asks)
             a.append(np.full(len(y), node[x]))
             b.append(node[y])
         a, b = spanning(np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("region", "lo", "hi").applyInArrow(work, "a long, b long")
+    return asked.union(asking).groupBy("region", "block", "ask").applyInArrow(work, "a long, b long")
 
 
 def _membership(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
