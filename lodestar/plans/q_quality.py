@@ -63,7 +63,7 @@ _YOY = SQL["buyer_12m_yoy"].split(" SELECT entity_id, n_12m", 1)[1]
 
 
 @query("final_score", sql(f"""SELECT id, CAST(least(100, floor((30 * activity + 20 * growth + 25 * fit + 15 * reach + 10 * untapped + 50) / 100.0)) AS BIGINT) score FROM (
-    SELECT id, least(100, coalesce(n_12m, 0) * 10) activity, CASE WHEN growth IS NULL THEN 50 ELSE least(100, greatest(0, 50 + growth // 2)) END growth, {_FIT_SQL} fit, CASE WHEN email IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN website IS NOT NULL THEN 25 ELSE 0 END reach,
+    SELECT id, least(100, coalesce(n_12m, 0) * 10) activity, CASE WHEN growth IS NULL THEN 50 ELSE least(100, greatest(0, 50 + CAST(floor(growth / 2.0) AS BIGINT))) END growth, {_FIT_SQL} fit, CASE WHEN email IS NOT NULL THEN 50 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 25 ELSE 0 END + CASE WHEN website IS NOT NULL THEN 25 ELSE 0 END reach,
     CASE WHEN h.entity_id IS NULL THEN 100 ELSE 30 END untapped FROM (SELECT *, {FOCUS} f6 FROM v_entity) LEFT JOIN c ON id = c.entity_id LEFT JOIN y ON id = y.entity_id LEFT JOIN h ON id = h.entity_id)""",
     c=_CODES6, y=f"SELECT entity_id, n_12m{_YOY}", h="SELECT DISTINCT entity_id FROM v_shipment JOIN v_supplier USING (supplier_id) WHERE is_home AND day >= DATE '2001-06-01'"))
 def final_score(v: Views) -> DataFrame:
