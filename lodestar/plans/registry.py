@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import q_dashboard, q_explorer, q_ledger, q_quality, q_search  # noqa: F401
+    from . import q_dashboard, q_explorer, q_ledger, q_quality, q_search, q_text  # noqa: F401
 
 
 _load()
