@@ -45,63 +45,108 @@ class Lexicon:
     """Terms with weights, as a trie that Levenshtein automata run along."""
 
     def __init__(self, terms: dict[bytes, float]):
-        self.terms = terms
-        self.children: list[dict[int, int]] = [{}]
-        self.term: list[bytes | None] = [None]
-        for t in terms:
-            node = 0
-            for b in t:
-                if b not in self.children[node]:
-                    self.children[node][b] = len(self.children)
-                    self.children.append({})
-                    self.term.append(None)
-                node = self.children[node][b]
-            self.term[node] = t
-        # pieces of the terms by (place in the word, length): a word within the distance has one of them there
-        self.pieces: dict[tuple[int, int], set[bytes]] = {}
-        for t in terms:
+        self.terms = list(terms)
+        self.weight = np.array([terms[t] for t in self.terms], np.float64)
+        self.number = {t: i for i, t in enumerate(self.terms)}
+        children: list[dict[int, int]] = [{}]
+        term, edits, shortest, longest = [-1], [0], [255], [0]
+        for i, t in enumerate(self.terms):
+            node, k = 0, edits_for(t)
+            for b in (*t, None):
+                # what holds for all terms below a node cuts the search short
+                edits[node], shortest[node], longest[node] = max(edits[node], k), min(shortest[node], len(t) - k), max(longest[node], len(t) + k)
+                if b is None:
+                    break
+                if b not in children[node]:
+                    children[node][b] = len(children)
+                    children.append({})
+                    for column, start in ((term, -1), (edits, 0), (shortest, 255), (longest, 0)):
+                        column.append(start)
+                node = children[node][b]
+            term[node] = i
+        self.term, self.edits, self.shortest, self.longest = (np.array(c, np.int64) for c in (term, edits, shortest, longest))
+        self.begin = np.concatenate([[0], np.cumsum([len(c) for c in children])])
+        self.byte = np.array([b for c in children for b in c], np.int64)
+        self.below = np.array([n for c in children for n in c.values()], np.int64)
+        self.allowed = np.array([edits_for(t) for t in self.terms], np.int64)
+        # pieces of the terms by (place, length), with the word's length: a word within the distance has one of them there
+        pieces: dict[tuple[int, int], set[tuple[bytes, int]]] = {}
+        for t in self.terms:
             k = edits_for(t)
             cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            for x, y in zip(cuts, cuts[1:], strict=False):
                 for shift in range(-k, k + 1):
-                    if a + shift >= 0:
-                        self.pieces.setdefault((a + shift, b - a), set()).add(t[a:b])
-        self.sorted = {}
-        for at, of in self.pieces.items():
-            data = np.frombuffer(b"".join(sorted(of)), np.uint8)
+                    if x + shift >= 0:
+                        pieces.setdefault((x + shift, y - x), set()).update((t[x:y], n) for n in range(len(t) - k, len(t) + k + 1))
+        self.pieces = {}
+        for at, of in pieces.items():
+            data = np.frombuffer(b"".join(p for p, _ in of), np.uint8)
             starts = np.arange(len(of)) * at[1]
-            self.sorted[at] = np.sort(span_hashes(data, starts, starts + at[1]))
-        self.longest = max((len(t) + edits_for(t) for t in terms), default=0)
+            lengths = np.array([n for _, n in of], np.uint64)
+            self.pieces[at] = np.sort(mix(span_hashes(data, starts, starts + at[1]) ^ lengths))
 
     def candidates(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Which of the words can be within the distance of a term."""
         out = np.zeros(len(starts), bool)
-        for (at, length), known in self.sorted.items():
-            fit = np.flatnonzero(~out & (starts + at + length <= ends) & (ends - starts <= self.longest))
+        live = np.flatnonzero((ends - starts >= self.shortest[0]) & (ends - starts <= self.longest[0])) if self.terms else np.zeros(0, np.int64)
+        lengths = (ends - starts).astype(np.uint64)
+        for (at, length), known in self.pieces.items():
+            fit = live[~out[live] & (starts[live] + at + length <= ends[live])]
             if len(fit):
-                h = span_hashes(data, starts[fit] + at, starts[fit] + at + length)
+                h = mix(span_hashes(data, starts[fit] + at, starts[fit] + at + length) ^ lengths[fit])
                 out[fit[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]] = True
         return out
 
-    def match(self, word: bytes) -> tuple[float, int] | None:
-        """(weight, edits) of the nearest term, the heavier one of equals; None if none is near enough."""
-        if (weight := self.terms.get(word)) is not None:
-            return weight, 0
-        best: tuple[int, float] | None = None
-        # an automaton state is the row of edit distances of the trie's path to the prefixes of the word
-        todo = [(0, tuple(range(len(word) + 1)))]
-        while todo:
-            node, row = todo.pop()
-            term = self.term[node]
-            if term is not None and row[-1] <= edits_for(term) and (best is None or (row[-1], -self.terms[term]) < best):
-                best = (row[-1], -self.terms[term])
-            for b, below in self.children[node].items():
-                after = [row[0] + 1]
-                for i, c in enumerate(word):
-                    after.append(min(row[i] + (b != c), row[i + 1] + 1, after[i] + 1))
-                if min(after) <= 2:
-                    todo.append((below, tuple(after)))
-        return None if best is None else (-best[1], best[0])
+    def match(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(term, edits) of the nearest term of each word, the heavier one of equals; -1 if none is near enough."""
+        term, edits = np.full(len(words), -1), np.full(len(words), -1)
+        for begin in range(0, len(words), 2048):
+            term[begin : begin + 2048], edits[begin : begin + 2048] = self._run(words[begin : begin + 2048])
+        return term, edits
+
+    def _run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Run the automata of all words along the trie together, level by level.
+
+        A state is the row of distances between the trie's path and each prefix of
+        the word; it dies when no term below can be near enough.
+        """
+        size = np.array([len(w) for w in words])
+        wide = int(size.max())
+        grid = np.zeros((len(words), wide), np.int16)
+        for i, w in enumerate(words):
+            grid[i, : len(w)] = np.frombuffer(w, np.uint8)
+        word, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+        rows = np.tile(np.arange(wide + 1, dtype=np.int16), (len(words), 1))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            fan = self.begin[node + 1] - self.begin[node]
+            parent = np.repeat(np.arange(len(word)), fan)
+            at = np.repeat(self.begin[node] - np.cumsum(fan) + fan, fan) + np.arange(fan.sum())
+            child, n = self.below[at], size[word[parent]]
+            fits = (n >= self.shortest[child]) & (n <= self.longest[child])
+            parent, at, child = parent[fits], at[fits], child[fits]
+            if not len(parent):
+                break
+            old, byte = rows[parent], self.byte[at]
+            word = word[parent]
+            new = np.empty_like(old)
+            new[:, 0] = old[:, 0] + 1
+            replaced = np.minimum(old[:, :-1] + (grid[word] != byte[:, None]), old[:, 1:] + 1)
+            for i in range(wide):
+                np.minimum(replaced[:, i], new[:, i] + 1, out=new[:, i + 1])
+            live = new.min(axis=1) <= self.edits[child]
+            word, node, rows = word[live], child[live], new[live]
+            t = self.term[node]
+            distance = rows[np.arange(len(word)), size[word]]
+            hit = (t >= 0) & (distance <= self.allowed[t])
+            found.append((word[hit], t[hit], distance[hit].astype(np.int64)))
+        term, edits = np.full(len(words), -1), np.full(len(words), -1)
+        if found:
+            w, t, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((t, -self.weight[t], d, w))
+            first = order[np.append(True, np.diff(w[order]) != 0)] if len(order) else order
+            term[w[first]], edits[w[first]] = t[first], d[first]
+        return term, edits
 
 
 @dataclass
@@ -124,7 +169,8 @@ class Model:
         return keys, np.array([self.context[k] for k in keys.tolist()], np.float64)
 
     @functools.cached_property
-    def known(self) -> dict[bytes, tuple[float, int] | None]:
+    def known(self) -> dict[bytes, tuple[int, int]]:
+        """Matches of words seen before, a bounded number of them."""
         return {}
 
     def __getstate__(self):
@@ -137,17 +183,17 @@ class Matches:
     def __init__(self, column: pa.Array, model: Model):
         self.words = words = Words(*buffers(column), ALNUM, lower=True)
         _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        maybe = np.flatnonzero(model.lexicon.candidates(words.data, words.starts[first], words.ends[first]))
+        lexicon, raw, known = model.lexicon, bytes(words.data), model.known
+        maybe = np.flatnonzero(lexicon.candidates(words.data, words.starts[first], words.ends[first]))
         weight, edits = np.zeros(len(first)), np.full(len(first), -1)
-        raw, known = bytes(words.data), model.known
+        spelled = [raw[a:b] for a, b in zip(words.starts[first[maybe]].tolist(), words.ends[first[maybe]].tolist(), strict=True)]
         if len(known) > 500_000:
             known.clear()
-        for i in maybe.tolist():
-            w = raw[words.starts[first[i]] : words.ends[first[i]]]
-            if w not in known:
-                known[w] = model.lexicon.match(w)
-            if known[w] is not None:
-                weight[i], edits[i] = known[w]
+        if fresh := [w for w in spelled if w not in known]:
+            known.update(zip(fresh, zip(*(x.tolist() for x in lexicon.match(fresh)), strict=True), strict=True))
+        for i, w in zip(maybe.tolist(), spelled, strict=True):
+            term, edits[i] = known[w]
+            weight[i] = lexicon.weight[term] if term >= 0 else 0
         self.at = np.flatnonzero(edits[inverse] >= 0) if len(first) else np.zeros(0, np.int64)
         self.weight, self.edits = weight[inverse[self.at]], edits[inverse[self.at]]
         self.doc = words.doc[self.at]
@@ -266,7 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     counted = map_chunks(rows, count, "word binary, toxic long, other long, bits long", "__text")
     totals = counted.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"), F.bit_count(F.bit_or("bits")).alias("contexts"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    terms = totals.filter((F.octet_length("word").between(3, 64)) & (F.col("a") >= 3) & (F.col("contexts") >= 3)).withColumns({"odds": odds, "llr": _llr(F.col("a"), F.col("b"), n1, n0)})
+    # a word of copied texts comes in few contexts, a term in about as many as there are texts with it
+    varied = F.col("contexts") >= F.least(F.lit(32), F.greatest(F.lit(3), F.col("a") / 2))
+    terms = totals.filter(F.octet_length("word").between(3, 64) & (F.col("a") >= 3) & varied).withColumns({"odds": odds, "llr": _llr(F.col("a"), F.col("b"), n1, n0)})
     terms = terms.filter("odds > 2 and llr > 25").orderBy(F.desc("llr"), "word").limit(TERMS).collect()
     model.terms = {bytes(r["word"]): float(r["odds"]) for r in terms}
     if not model.terms:
