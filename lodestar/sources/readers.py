@@ -61,8 +61,9 @@ def paged_source(name: str, schema: str, count: Callable[[str | None], int], fet
             asked = [(None, total)] if total <= cap or not parts else [(p, count(p)) for p in parts]
             return [Page(p, k) for p, n in asked for k in range(-(-min(n, cap) // per_page))]
 
-        def read(self, page: InputPartition) -> Iterator[tuple]:
-            yield from fetch(page.part, page.number, per_page)
+        def read(self, page: InputPartition | None) -> Iterator[tuple]:
+            if page is not None:  # Spark reads an empty list of pages as one nothing
+                yield from fetch(page.part, page.number, per_page)
 
     class Source(DataSource):
         @classmethod
