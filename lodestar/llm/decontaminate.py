@@ -152,7 +152,7 @@ def _scan_by_join(rows: DataFrame, windows: DataFrame, n: int, text: str, throug
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, text: str = "text") -> DataFrame:
     """`docs` without the benchmark: hit words are cut out of the text; a document of which more than `drop_share` of the words are hit is dropped."""
     found = scan(docs, benchmark, n, text)
-    left = found.filter(F.col("n_hit") <= drop_share * F.col("n_words"))
+    left, columns = found.filter(F.col("n_hit") <= drop_share * F.col("n_words")), docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def cut(chunk: pa.RecordBatch) -> dict[str, object]:
@@ -161,7 +161,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share
             if spans:
                 raw = texts[k].encode()
                 texts[k] = b"".join(raw[a:b] for a, b in zip([0, *spans[1::2]], [*spans[0::2], len(raw)], strict=True)).decode()
-        return {c: texts if c == text else chunk.column(c) for c in docs.columns}
+        return {c: texts if c == text else chunk.column(c) for c in columns}
 
     return map_chunks(left, cut, schema, text)
 

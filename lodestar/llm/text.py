@@ -8,15 +8,14 @@ bytes of a word, never on the chunk or the machine.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.storage import materialise, shared_folder  # noqa: F401
+
 #: Bytes of text that one kernel call handles (a longer document is a chunk of its own).
 CHUNK_BYTES = 2 << 20
 
@@ -175,24 +174,5 @@ def bytes_of(column: pa.Array) -> memoryview:
     return memoryview(data)[offs[0] : offs[-1]]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_dir.get() if set_dir.isDefined() else None
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.mkdtemp(prefix="spark-"), "shared")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a step once to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
