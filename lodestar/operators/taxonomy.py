@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,19 +73,24 @@ def close_matches(found: DataFrame, share: float = 0.55, most: int = 3) -> DataF
     return found.withColumns({"k": F.row_number().over(best), "top": F.max("score").over(W.partitionBy())}).filter((F.col("k") > 1) & (F.col("score") >= share * F.col("top"))).filter(F.col("k") <= most + 1).select("code", "score")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def longest_alias(texts: DataFrame, aliases: Mapping[str, str], text: str = "text") -> DataFrame:
     """With `codes`: those of the longest aliases that a text contains, all of equal length; sorted."""
-    n = norm(F.col(text))
-    hits = F.array_compact(F.array(*[F.when(F.contains(n, F.lit(f" {a} ")), F.struct(F.lit(len(a)).alias("l"), F.lit(c).alias("c"))) for a, c in aliases.items()]))
+    found = lambda n: F.array_compact(F.array(*[F.when(F.contains(n, F.lit(f" {a} ")), F.struct(F.lit(len(a)).alias("l"), F.lit(c).alias("c"))) for a, c in aliases.items()]))
+    hits = _once(norm(F.col(text)), found)
     top = F.array_max(F.transform(hits, lambda h: h["l"]))
     return texts.withColumn("codes", F.array_sort(F.array_distinct(F.transform(F.filter(hits, lambda h: h["l"] == top), lambda h: h["c"]))))
 
 
 def dictionary_codes(text: Column, dictionary: Mapping[str, Sequence[str]]) -> Column:
     """Codes of all dictionary words that a text has, in singular or plural, in the order of the dictionary."""
-    n = norm(text)
-    named = lambda w: F.contains(n, F.lit(f" {w} ")) | F.contains(n, F.lit(f" {w}s "))
-    return F.array_distinct(F.flatten(F.array(*[F.when(named(w), F.array(*map(F.lit, codes))).otherwise(F.array().cast("array<string>")) for w, codes in dictionary.items()])))
+    named = lambda n, w: F.contains(n, F.lit(f" {w} ")) | F.contains(n, F.lit(f" {w}s "))
+    found = lambda n: F.flatten(F.array(*[F.when(named(n, w), F.array(*map(F.lit, codes))).otherwise(F.array().cast("array<string>")) for w, codes in dictionary.items()]))
+    return F.array_distinct(_once(norm(text), found))
 
 
 def classify(activities: Column, named: Column, narrow: Mapping[str, Sequence[str]], gated: Mapping[str, Sequence[str]]) -> Column:

@@ -249,9 +249,13 @@ _TOKENS_SQL = f"list_filter(string_split(trim({_norm('name')}), ' '), lambda w:
 _NAME_SQL = f"coalesce(CASE WHEN len(toks) > 0 THEN floor(len(list_filter(toks, lambda w: contains(n, w))) * 100.0 / len(toks)) >= 60 END, contains(n, trim({_norm('name')})))"
 
 
+def _word(k: int):
+    return F.split_part("title", F.lit(" "), F.lit(k))
+
+
 def _named_pages(v: Views) -> DataFrame:
     rows = _pages(v).withColumns({"title": t.html_title(F.col("html")), "n": t.norm(F.col("plain"))})
-    return rows.withColumn("name", F.concat(F.split("title", " ")[0], F.lit(" zzzq GmbH "), F.when(F.col("page_id") % 2 == 0, F.split("title", " ")[1]).otherwise("")))
+    return rows.withColumn("name", F.concat(_word(1), F.lit(" zzzq GmbH "), F.when(F.col("page_id") % 2 == 0, _word(2)).otherwise("")))
 
 
 _NAMED_PAGES_SQL = "SELECT *, split_part(title, ' ', 1) || ' zzzq GmbH ' || CASE WHEN page_id % 2 = 0 THEN split_part(title, ' ', 2) ELSE '' END name FROM p"
@@ -259,7 +263,7 @@ _NAMED_PAGES_SQL = "SELECT *, split_part(title, ' ', 1) || ' zzzq GmbH ' || CASE
 
 @query("name_on_page", sql(f"SELECT page_id, {_NAME_SQL} named FROM (SELECT *, {_TOKENS_SQL} toks FROM q)", p=_PAGE_NORM_SQL, q=_NAMED_PAGES_SQL))
 def name_on_page(v: Views) -> DataFrame:
-    return _named_pages(v).select("page_id", t.name_on_page(F.coalesce("name", F.concat(F.split("title", " ")[0], F.lit(" zzzq GmbH "))), F.col("n")).alias("named"))
+    return _named_pages(v).select("page_id", t.name_on_page(F.col("name"), F.col("n")).alias("named"))
 
 
 _QUOTE_SQL = "length(q) >= 15 AND (contains(n, q) OR (len(lw) >= 3 AND coalesce(floor(len(list_filter(lw, lambda w: contains(n, w))) * 100.0 / len(lw)) >= 85, FALSE)))"
@@ -278,7 +282,7 @@ def quote_grounding(v: Views) -> DataFrame:
 def verify_confidence(v: Views) -> DataFrame:
     """Why a candidate is refused, or how far it is trusted."""
     points = lambda c, n: F.when(c, n).otherwise(0)
-    rows = _named_pages(v).withColumns({"host": t.host(F.col("url")), "named": t.name_on_page(F.coalesce("name", F.concat(F.split("title", " ")[0], F.lit(" zzzq GmbH "))), F.col("n"))})
+    rows = _named_pages(v).withColumns({"host": t.host(F.col("url")), "named": t.name_on_page(F.col("name"), F.col("n"))})
     reason = F.when(~F.col("named"), "name_not_found").when(F.col("host").endswith("example.org"), "blocked_host")
     trust = F.least(F.lit(92), 55 + points(F.col("host").isNotNull(), 10) + points(F.contains("plain", F.lit("@")), 8) + points(F.col("plain").rlike("[0-9]{4}"), 4) + points(F.contains("n", F.lit(" the ")), 8) + points(F.contains("url", F.lit("/en/")), 7))
     return rows.select("page_id", reason.alias("reason"), F.when(reason.isNull(), trust).alias("confidence"))
