@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spanning
-from .text import NONSPACE, Words, binary_column, buffers, bytes_of, map_chunks, materialise, mix, table
+from .text import NONSPACE, Words, binary_column, buffers, bytes_of, give_back, map_chunks, materialise, mix, table
 
 TREES, DEPTH, LEAST, WINDOW = 16, 8, 4, 3
 #: Members of a block where a region is compared in full, and their shingles on average.
@@ -192,6 +192,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+        give_back()
 
     return joined.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
@@ -239,6 +240,7 @@ def _in_full(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             a.append(np.full(len(y), node[x]))
             b.append(node[y])
         a, b = spanning(np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64))
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return asked.union(asking).groupBy("region", "block", "ask").applyInArrow(work, "a long, b long")

@@ -8,6 +8,8 @@ bytes of a word, never on the chunk or the machine.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.storage import materialise, shared_folder  # noqa: F401
 
 #: Bytes of text that one kernel call handles (a longer document is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch on its way between Spark and Python, where the session has Spark's own default.
+BATCH_BYTES = 8 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -127,6 +131,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             begin = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches that workers hold small: both sides hold at least one for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Return the memory of finished chunks to the machine; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow with a function from a chunk to output columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -138,7 +156,9 @@ def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, object] |
         for chunk in chunks(batches, text):
             if (out := f(chunk)) is not None:
                 yield pa.RecordBatch.from_arrays([_column(out[x.name], x.type) for x in fields], schema=fields)
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
