@@ -61,7 +61,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = 0, doc_id: str = "d
 
     def work(chunk: pa.RecordBatch) -> dict[str, object]:
         encoding = encoder(vocabulary)
-        parts = [np.asarray(encoding.encode(t or "", allowed_special="all") + [end_id], np.uint32) for t in chunk.column("__text").to_pylist()]
+        parts = [np.append(encoding.encode_to_numpy(t or "", allowed_special="all"), np.uint32(end_id)) for t in chunk.column("__text").to_pylist()]
         n = np.array([len(p) for p in parts], np.int64)
         ids = np.concatenate(parts)
         draw = ((mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
