@@ -24,6 +24,8 @@ from .text import ALNUM, Words, buffers, map_chunks, materialise, mix, table
 _STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = (1 << 63) - 1
+#: A hash with one of so many parts of all repeats is hot; the tasks that share its rows.
+HOT, SALTS = 1000, 64
 
 
 class Sentences:
@@ -83,11 +85,17 @@ def repeated_runs(docs: DataFrame, sentences: int, words: int, text: str) -> Dat
         return {"__id": chunk.column("__id").to_numpy()[doc], "__key": chunk.column("__key").to_numpy()[doc], "start": start - base, "end": end - base, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
 
     runs = map_chunks(docs.select("__id", "__key", F.col(text).alias("__text")), work, "`__id` long, `__key` long, start int, end int, h1 long, h2 long", "__text")
-    often = runs.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
-    again = materialise(runs.join(often, "h1", "left_semi"))
+    often = materialise(runs.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    # a hash with a thousandth of the repeats is dealt out by salt; there are a thousand such at most
+    hot = F.broadcast(often.filter(F.col("n") * HOT >= total).select("h1", F.lit(True).alias("hot")))
+    copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("__id", "__key", "start"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = runs.join(hot, "h1", "left").withColumn("salt", salt).drop("hot")
+    again = materialise(salted.join(often.join(hot, "h1", "left").select("h1", copies), ["h1", "salt"], "left_semi"))
     place = F.struct("__id", "__key", "start")
-    first = again.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    return again.join(first, ["h1", "h2"]).filter(place != F.col("first")).select("__id", "__key", "start", "end")
+    first = again.groupBy("h1", "h2").agg(F.min(place).alias("first")).join(hot, "h1", "left").select("h1", "h2", "first", copies)
+    return again.join(first, ["h1", "h2", "salt"]).filter(place != F.col("first")).select("__id", "__key", "start", "end")
 
 
 def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
