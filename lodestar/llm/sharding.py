@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .text import table
 
-#: Bytes of text that a bucket holds on average.
+#: Bytes of text that a bucket holds on average, at most; a small table has a bucket for each task.
 BUCKET_BYTES = 16 << 20
 _BLOCK = 1024
 
@@ -51,7 +51,7 @@ def shuffle_shards(docs: DataFrame, n_shards: int, seed: int = 17, bucket_bytes:
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
     total = docs.select(F.sum(F.octet_length(text)), F.count("*")).first()
-    n_buckets = max(1, math.ceil(((total[0] or 0) + 64 * total[1]) / bucket_bytes))
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(((total[0] or 0) + 64 * total[1]) / bucket_bytes))
     salt = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
     row = F.xxhash64(F.lit(seed), key, salt)
     placed = docs.withColumn("__row", row).withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__row"), F.lit(n_buckets)).cast("int"))
