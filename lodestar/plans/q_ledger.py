@@ -88,12 +88,12 @@ def unlock_once(v: Views) -> DataFrame:
     return g.once(unlocks, ("account", "event_type", "entity_id")).filter("not duplicate").groupBy("account").agg(F.count("*").alias("charged"))
 
 
-@query("pending_rate_limit", sql("SELECT event_id, pending, pending >= 2 refused FROM (SELECT event_id, count(*) OVER (PARTITION BY account % 10 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) pending FROM v_event)"))
+@query("pending_rate_limit", sql("SELECT event_id, pending, pending >= 5 refused FROM (SELECT event_id, count(*) OVER (PARTITION BY account ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) pending FROM v_event)"))
 def pending_rate_limit(v: Views) -> DataFrame:
-    """Orders of the hour before each order."""
-    hour = W.partitionBy("shop").orderBy("s").rangeBetween(-3600, -1)
-    rows = v.event.select("event_id", (F.col("account") % 10).alias("shop"), F.unix_seconds("ts").alias("s"))
-    return rows.withColumn("pending", F.count("*").over(hour)).select("event_id", "pending", (F.col("pending") >= 2).alias("refused"))
+    """Orders of its account in the day before each order."""
+    day = W.partitionBy("account").orderBy("s").rangeBetween(-86400, -1)
+    rows = v.event.select("event_id", "account", F.unix_seconds("ts").alias("s"))
+    return rows.withColumn("pending", F.count("*").over(day)).select("event_id", "pending", (F.col("pending") >= 5).alias("refused"))
 
 
 @query("topup_validate", sql("SELECT event_id, CASE WHEN a < 10000 THEN 'too_small' WHEN a % 10000 <> 0 THEN 'not_a_multiple' WHEN a > 5000000 THEN 'too_large' END reason FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN amount * 2 ELSE (event_id % 700) * 10000 END a FROM v_event)"))

@@ -30,11 +30,11 @@ _PURGE_SQL = f"""CASE WHEN regexp_matches(lower(name), '{'|'.join(JUNK)}') THEN
     WHEN regexp_matches(industry, '(?i)furn') AND n_codes < 3 THEN 'off_topic' WHEN rn > 1 THEN 'duplicate' END"""
 
 
-@query("purge_buckets", sql(f"SELECT coalesce(reason, 'kept') reason, count(*) n FROM (SELECT {_PURGE_SQL} reason FROM (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY updated DESC, id DESC) rn FROM v_entity)) GROUP BY 1"))
+@query("purge_buckets", sql(f"SELECT coalesce(reason, 'kept') reason, count(*) n FROM (SELECT {_PURGE_SQL} reason FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(phone, 'id' || id) ORDER BY updated DESC, id DESC) rn FROM v_entity)) GROUP BY 1"))
 def purge_buckets(v: Views) -> DataFrame:
-    """Rows by the first rule that removes them."""
+    """Rows by the first rule that removes them; a row without a phone is no duplicate of another."""
     c = F.col
-    rows = v.entity.withColumn("rn", F.row_number().over(W.partitionBy("phone").orderBy(F.desc("updated"), F.desc("id"))))
+    rows = v.entity.withColumn("rn", F.row_number().over(W.partitionBy(F.coalesce("phone", F.concat(F.lit("id"), "id"))).orderBy(F.desc("updated"), F.desc("id"))))
     reason = scoring.first_reason([
         ("junk_name", F.lower("name").rlike("|".join(JUNK))), ("bare", (c("confidence") < 50) & c("email").isNull() & c("website").isNull()), ("no_country", c("country").isNull()),
         ("off_topic", c("industry").rlike("(?i)furn") & (c("n_codes") < 3)), ("duplicate", c("rn") > 1),

@@ -89,13 +89,14 @@ def recommend_unsaved(v: Views) -> DataFrame:
     """For each account the best entities of its region that it has not saved.
 
     An account needs at most five entities beyond those it has saved, so of each
-    region only the best (most saved by one account + 5) are joined.
+    region only the best (most saved by one account + 5) are joined; the bound is
+    one number, with which Spark cuts each region before the shuffle.
     """
     saved = v.saved.select("account", "entity_id")
     accounts = v.event.select("account", (F.col("account") % 5).alias("region")).distinct().join(saved.groupBy("account").agg(F.count("*").alias("n")), "account", "left")
-    need = accounts.groupBy("region").agg((F.max(F.coalesce("n", F.lit(0))) + 5).alias("need"))
+    need = (accounts.agg(F.max("n")).first()[0] or 0) + 5
     best = W.partitionBy("region").orderBy(F.desc("quality"), F.asc("id"))
-    top = rated(v).filter("hidden_reason is null").withColumn("k", F.row_number().over(best)).join(need, "region").filter("k <= need").select("region", F.col("id").alias("entity_id"), "quality")
+    top = rated(v).filter("hidden_reason is null").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= need).select("region", F.col("id").alias("entity_id"), "quality")
     pairs = accounts.select("account", "region").join(top, "region").join(saved, ["account", "entity_id"], "left_anti")
     own = W.partitionBy("account").orderBy(F.desc("quality"), F.asc("entity_id"))
     return pairs.withColumn("place", F.row_number().over(own).cast("long")).filter("place <= 5").select("account", "entity_id", "place")
