@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM, Words, buffers, map_chunks, materialise, table
 
-#: Benchmark n-grams that may be broadcast: about 150 bytes each.
-MAX_WINDOWS = 500_000
+#: Benchmark n-grams that may be broadcast: about 700 bytes each in a worker.
+MAX_WINDOWS = 100_000
 
 
 def item_windows(benchmark: DataFrame, n: int, item: str = "item_id", text: str = "text") -> DataFrame:
