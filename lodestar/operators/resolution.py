@@ -16,7 +16,7 @@ def content_hash(name: Column, country: Column) -> Column:
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order, by one aggregation: rows meet as partial maxima, not in a sort."""
+    """The first row of each key in the given order; Spark cuts each key to one row in every task before the shuffle."""
     rank = W.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__rn", F.row_number().over(rank)).filter("`__rn` = 1").drop("__rn")
 
