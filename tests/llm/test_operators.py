@@ -381,6 +381,22 @@ def test_held_out_accuracy(spark, name, column, truth):
     assert len(both) > 50 and (both[column] == both[truth]).mean() > 0.93
 
 
+@have_tables
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_edges(spark, edges, some):
+    """All stages take nulls, empties, repeats and an empty table, and give the columns of documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = edges.select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs = docs if some else docs.limit(0)
+    for _, stage in pipeline.STAGES[:-1]:
+        out = pipeline.materialise(stage(spark, docs, DIR))
+        assert out.dtypes == docs.dtypes and out.count() <= docs.count()
+        assert out.filter("not (n_chars <=> length(text))").count() == 0
+        docs = out if stage is not pipeline.quality_rules else docs  # the rules leave little of these rows
+    pieces = pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 @have_tables
 def test_pipeline_against_plain_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
