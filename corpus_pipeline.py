@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the sentences that repeated spans cover; a document that loses all its sentences goes."""
-    found = remove_repeats(docs).filter("n_removed = 0 or n_removed < n_sentences")
+    """Texts without the sentences and passages of 50 words that are repeated; a document that loses all its sentences goes."""
+    found = remove_repeats(docs, passage=50).filter("n_removed = 0 or n_removed < n_sentences")
     return _measured(found, docs)
 
 

@@ -7,6 +7,13 @@ hashed; hashes are counted over the whole table; of a repeated hash, the first
 run in the order of (document id, position) stays, and every sentence that any
 other of its runs covers is removed.
 
+Sentences alone miss a passage that is cut in one or two long ones. With
+`passage`, spans of half that many words join the runs, at places which the words
+of the passage alone decide: every passage of so many words holds a span, in all
+its copies the same one, and the spans of a longer passage leave no gap. Words
+that they cover are removed also from sentences of which something stays; at
+either end of a passage less than half of `passage` words may stay.
+
 Counting moves one 8-byte hash per run and combines before the shuffle, so a
 passage in a third of all documents is one row per task. Only repeated runs are
 moved a second time, with a 128-bit hash.
@@ -48,15 +55,35 @@ class Sentences:
         self.offs = np.concatenate([[0], np.cumsum(self.counts)])
 
     def runs(self, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First sentence, end, and two hashes of every run."""
+        """First word, end, and two hashes of every run."""
         if not self.n:
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
         bounds = np.append(self.first_word, len(self.words.hashes))
         start = np.arange(self.n)
         end = np.maximum(start + sentences, np.searchsorted(bounds, bounds[:-1] + words))
         whole = end <= self.offs[self.doc + 1]
-        start, end = start[whole], end[whole]
-        return start, end, *(_range_hash(self.words.hashes ^ salt, bounds[start], bounds[end]) for salt in (np.uint64(0), _SECOND))
+        return self.hashed(bounds[start[whole]], bounds[end[whole]])
+
+    def hashed(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of words with two hashes of each."""
+        return start, end, *(_range_hash(self.words.hashes ^ salt, start, end) for salt in (np.uint64(0), _SECOND))
+
+    def spans(self, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, end, and two hashes of the spans: in each passage, those with the smallest hash of all its spans."""
+        k = passage // 2 + 1
+        w = passage - k + 1  # spans in a passage; fewer than words in a span, so neighbours overlap
+        doc, n = self.words.doc, len(self.words.doc)
+        at, h = self.words.windows(k)
+        hashes = np.full(n, ~np.uint64(0))
+        hashes[at] = h
+        least = _sliding(np.minimum, hashes, w)
+        # a passage that leaves its text chooses nothing
+        inside = np.zeros(n, bool)
+        inside[: max(0, n - passage + 1)] = doc[: max(0, n - passage + 1)] == doc[passage - 1 :]
+        least[~inside] = 0
+        chosen = _sliding(np.maximum, least[::-1], w)[::-1]
+        start = at[chosen[at] == h]
+        return self.hashed(start, start + k)
 
     def bytes_of(self, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the pieces."""
@@ -64,6 +91,16 @@ class Sentences:
         return ends[self.piece[sentence]], ends[self.piece[sentence] + 1]
 
 
+def _sliding(f: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
+    """f over x[i : i + w] for every i, and over what is left at the end."""
+    x, done = x.copy(), 1
+    while done < w:
+        step = min(done, w - done)
+        x[: max(0, len(x) - step)] = f(x[: max(0, len(x) - step)], x[step:])
+        done += step
+    return x
+
+
 def _range_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of hashes[start:end] for every pair."""
     from .text import powers
@@ -74,14 +111,19 @@ def _range_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def repeated_runs(docs: DataFrame, sentences: int, words: int, text: str) -> DataFrame:
-    """(__id, __key, start, end): the runs that are not the first of their kind."""
+def repeated_runs(docs: DataFrame, sentences: int, words: int, text: str, passage: int | None = None) -> DataFrame:
+    """(__id, __key, start, end): first word and end of the runs that are not the first of their kind.
+
+    With `passage`, a run that overlaps the first of its kind in the same text begins where that ends.
+    """
 
     def work(chunk: pa.RecordBatch) -> dict[str, object]:
         found = Sentences(*buffers(chunk.column("__text")))
         start, end, h1, h2 = found.runs(sentences, words)
-        doc = found.doc[start]
-        base = found.offs[doc]
+        if passage:
+            start, end, h1, h2 = (np.concatenate(x) for x in zip((start, end, h1, h2), found.spans(passage), strict=True))
+        doc = found.words.doc[start]
+        base = found.words.offs[doc]
         return {"__id": chunk.column("__id").to_numpy()[doc], "__key": chunk.column("__key").to_numpy()[doc], "start": start - base, "end": end - base, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
 
     runs = map_chunks(docs.select("__id", "__key", F.col(text).alias("__text")), work, "`__id` long, `__key` long, start int, end int, h1 long, h2 long", "__text")
@@ -95,12 +137,18 @@ def repeated_runs(docs: DataFrame, sentences: int, words: int, text: str) -> Dat
     again = materialise(salted.join(often.join(hot, "h1", "left").select("h1", copies), ["h1", "salt"], "left_semi"))
     place = F.struct("__id", "__key", "start")
     first = again.groupBy("h1", "h2").agg(F.min(place).alias("first")).join(hot, "h1", "left").select("h1", "h2", "first", copies)
-    return again.join(first, ["h1", "h2", "salt"]).filter(place != F.col("first")).select("__id", "__key", "start", "end")
+    repeats = again.join(first, ["h1", "h2", "salt"]).filter(place != F.col("first"))
+    if passage:
+        same = (F.col("__id") == F.col("first.__id")) & (F.col("__key") == F.col("first.__key"))
+        repeats = repeats.withColumn("start", F.when(same, F.greatest("start", F.col("first.start") + F.col("end") - F.col("start"))).otherwise(F.col("start")))
+    return repeats.select("__id", "__key", "start", "end")
 
 
-def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id: str = "doc_id", text: str = "text", passage: int | None = None) -> DataFrame:
     """Every row of `docs` with the shortened text, and n_sentences, n_removed in place of columns of those names.
 
+    With `passage`, no passage of so many words is left in two texts, however
+    long its sentences are; n_removed counts the sentences that go as a whole.
     A null text stays null and has no sentences. Rows without an id come last in
     the order of documents. Rows with equal id and text are one document that
     occurs more than once: they keep or lose the same sentences. A document that
@@ -109,7 +157,7 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id:
     """
     through = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     keyed = docs.select(*through, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(text).alias("__key"))
-    runs = repeated_runs(keyed, sentences, words, text)
+    runs = repeated_runs(keyed, sentences, words, text, passage)
     gone = runs.groupBy("__id", "__key").agg(F.collect_set(F.struct("start", "end")).alias("__gone"))
     joined = keyed.join(gone, ["__id", "__key"], "left")
     rows = docs.select(*through)
@@ -123,15 +171,22 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id:
         gone = chunk.column("__gone")
         for d in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
             texts = texts or column.to_pylist()
-            out = np.zeros(int(found.counts[d]), bool)
+            base, n = int(found.words.offs[d]), int(found.words.counts[d])
+            out = np.zeros(n, bool)
             for r in gone[d].as_py():
                 out[r["start"] : r["end"]] = True
-            at = np.flatnonzero(out) + found.offs[d]
-            removed[d] = len(at)
-            keep = np.ones(int(found.offsets[d + 1] - found.offsets[d]), bool)
-            for a, b in zip(*(x - found.offsets[d] for x in found.bytes_of(at)), strict=True):
-                keep[a:b] = False
-            texts[d] = np.frombuffer(texts[d].encode(), np.uint8)[keep].tobytes().decode()
+            first = found.first_word[found.offs[d] : found.offs[d + 1]] - base
+            whole = np.logical_and.reduceat(out, first)
+            removed[d] = whole.sum()
+            # words of other sentences go with what follows them, the last one of a sentence without its end
+            part = np.flatnonzero(out & ~np.repeat(whole, np.diff(np.append(first, n))))
+            last = np.isin(part, np.append(first[1:], n) - 1)
+            ends = np.where(last, found.words.ends[base + part], found.words.starts[base + part + ~last])
+            cuts = np.zeros(int(found.offsets[d + 1] - found.offsets[d]) + 1, np.int64)
+            for a, b in (found.bytes_of(np.flatnonzero(whole) + found.offs[d]), (found.words.starts[base + part], ends)):
+                np.add.at(cuts, a - found.offsets[d], 1)
+                np.add.at(cuts, b - found.offsets[d], -1)
+            texts[d] = np.frombuffer(texts[d].encode(), np.uint8)[np.cumsum(cuts[:-1]) == 0].tobytes().decode()
         return {c: (texts if c == text and texts else chunk.column(c)) for c in through} | {"n_sentences": found.counts, "n_removed": removed}
 
     return map_chunks(joined, work, schema, text)

@@ -238,6 +238,25 @@ def test_substring_dedup(spark, edges):
     assert substring_dedup.remove_repeats(edges.limit(0)).count() == 0
 
 
+def test_passages_in_long_sentences(spark):
+    """No passage of 50 words is left in two texts, wherever its sentences end; the first text that holds it keeps it."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    long, cut, two = fresh(60), fresh(55), f"{fresh(40)}. {fresh(30)}"
+    texts = [f"{fresh(20)} {p} {fresh(n)}." for p in (long, cut, two) for n in (15, 30)] + [f"Start. {long}", f"{fresh(9)}, {cut[5:]}! End here.", two, fresh(49), "same words here now " * 60, None, f"é {long} é"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in pipeline.substring_dedup(spark, docs, DIR).collect()}
+    windows = collections.Counter()
+    for t in got.values():
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        windows.update({tuple(words[i : i + 50]) for i in range(len(words) - 49)})
+    assert windows and max(windows.values()) == 1
+    assert all(got[i] == texts[i] for i in (0, 2, 4, 9, 11))
+    assert all(len(got[i].split()) <= len(texts[i].split()) - 26 for i in (1, 3, 5)) and got[6].startswith("Start.") and got[7].endswith("! End here.")
+    assert got[10].split()[:26] == texts[10].split()[:26] and len(got[10].split()) < 60 and got[12].startswith("é ") and got[12].endswith(" é")
+
+
 # --- 8
 def _distance(a, b):
     row = list(range(len(b) + 1))
