@@ -14,14 +14,26 @@ from ..sources.storage import new_path
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The events of a folder or a file as they come; `ts` in UTC."""
+    """The events of a folder or a file as they come; `ts` in UTC.
+
+    What is there at the start is one batch, of however many files: files come by
+    the time of writing, and a batch of some of them would be out of the order of
+    `ts`, so that folds would take rows too early and watermarks drop others.
+    """
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads a single file only by a pattern
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def first_notices(events: DataFrame, key: str = "event_key", late: str = "7 days") -> DataFrame:
-    """Each notice once; state is kept as long as a repeat may be late."""
+def first_notices(events: DataFrame, key: str = "event_key", late: str | None = None) -> DataFrame:
+    """Each notice once, however late; the state holds every key.
+
+    With `late`, state is kept only as long as a repeat may be late; a first
+    notice that is later than that behind the latest `ts` of the batches before
+    is lost.
+    """
+    if late is None:
+        return events.dropDuplicates([key])
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
@@ -46,8 +58,10 @@ def quotas(events: DataFrame, limits: Mapping[str, int], rates: Mapping[str, int
     """What becomes of each request, with quota and balance of its account as state.
 
     `events` has account, event_id, ts, meter (null for a top-up), n and amount.
-    Rows of one batch are taken in order; a request that the balance cannot pay
-    takes nothing.
+    Rows of one batch are taken in order, and an account's are held together; a
+    row that comes in a later batch is taken after all before, whatever its ts,
+    as what was answered stands. A request that the balance cannot pay takes
+    nothing.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

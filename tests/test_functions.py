@@ -85,6 +85,31 @@ def test_stream_quota_equals_batch(spark):
     assert sorted(map(tuple, batch)) == sorted(map(tuple, stream))
 
 
+def test_streams_of_many_files_out_of_order(spark, tmp_path):
+    """More than 64 files, the latest events written first: no notice is lost, and quotas are taken in the order of ts."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from lodestar.plans import registry
+    from lodestar.streaming import jobs
+
+    events = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by([("ts", "ascending")])
+    events = events.set_column(events.schema.get_field_index("user_id"), "user_id", pa.array([k % 5 for k in range(len(events))], pa.int64()))
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(70):
+        pq.write_table(events.slice(k * len(events) // 70, (k + 1) * len(events) // 70 - k * len(events) // 70), f := tmp_path / "events.parquet" / f"part-{k:02}.parquet")
+        os.utime(f, (1_700_000_000 - 60 * k,) * 2)
+    notices = [r["event_key"] for r in registry.QUERIES["stream_dedup"](spark, str(tmp_path)).collect()]
+    assert len(notices) == len(set(notices)) == len(events)
+    batch, stream = ([tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select("event_id", "accepted", "balance").collect()] for name in ("quota_consume", "stream_quota"))
+    assert sorted(batch) == sorted(stream)
+    # notices also come whole in several batches
+    few = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/events.parquet").schema).option("maxFilesPerTrigger", 30).parquet(f"{tmp_path}/events.parquet")
+    twice = jobs.first_notices(few.withColumn("event_key", F.col("event_id")).unionByName(few.withColumn("event_key", F.col("event_id"))))
+    assert sorted(r["event_key"] for r in jobs.run_available(twice.select("event_key"), "append").collect()) == sorted(events["event_id"].to_pylist())
+
+
 def test_plan_expiry(spark):
     day = 86400
     rows = spark.createDataFrame([(1, "a", 0, 1), (1, "a", 10 * day, 2), (1, "b", 20 * day, 3), (2, "a", 0, 4), (2, "a", 40 * day, 5)], "account long, plan string, ts long, event_id long")
