@@ -1,7 +1,7 @@
 """Toxicity by a lexicon with misspellings and context (operator 8).
 
 The lexicon is learned: words that labelled toxic documents hold far more often
-than others, in several different contexts. Its terms form a trie. The distinct
+than others, each distinct text counted once. Its terms form a trie. The distinct
 words of a chunk are matched by running a Levenshtein automaton along the trie:
 one edit for terms of five bytes or more, two from nine on. Before that, a
 vectorised test keeps the words that share a piece with a term, which every word
@@ -11,8 +11,8 @@ Each match is scored in its window of words: learned weights of the words around
 it and quotation marks separate a quoted term from an abusive one. A logistic
 regression over the counts and window scores gives the score of the document.
 
-The fit uses a bounded sample of the labelled rows (`sample`); the lexicon, the
-context words and the weights are bounded and broadcast. Scoring reads every
+The fit uses a bounded sample of the labelled rows (`sample`); the lexicon and
+the context words are some of its words, and so bounded, and broadcast. Scoring reads every
 whole text, without a shuffle.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM, Words, binary_column, buffers, bytes_of, map_chunks, materialise, mix, span_hashes, table
 
-#: Bounds of the model: labelled rows of the fit, terms, context words.
-SAMPLE, TERMS, CONTEXT_WORDS = 20_000, 2_000, 20_000
+#: Labelled rows of the fit.
+SAMPLE = 20_000
 #: Words on each side of a match.
 WINDOW = 6
 FEATURES = 7
@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         return model
 
     def count(chunk: pa.RecordBatch) -> dict[str, object]:
-        """Documents of either kind that hold a word, and a few bits of each context in which toxic ones hold it."""
+        """Documents of either kind that hold a word."""
         words = Words(*buffers(chunk.column("__text")), ALNUM, lower=True)
         y = chunk.column("__y").to_numpy()[words.doc]
         order = np.lexsort((words.doc, words.hashes))
@@ -296,10 +296,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         size = number[-1] + 1 if len(h) else 0
         toxic = np.bincount(number[new & (y[order] == 1)], minlength=size)
         other = np.bincount(number[new & (y[order] == 0)], minlength=size)
-        before = mix(np.append(np.uint64(0), words.hashes[:-1]))[order] >> np.uint64(58)
-        bits = np.zeros(size, np.uint64)
-        mine = y[order] == 1
-        np.bitwise_or.at(bits, number[mine], np.uint64(1) << before[mine])
         first = order[new_word]
         keep = toxic > 0
         length = (words.ends - words.starts)[first]
@@ -307,15 +303,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         rest = np.flatnonzero(~keep & (length <= 64))
         spelled += [bytes(words.data[s:e]) for s, e in zip(words.starts[first[rest]], words.ends[first[rest]], strict=True)]
         at = np.concatenate([np.flatnonzero(keep), rest])
-        return {"word": pa.array(spelled, pa.binary()), "toxic": toxic[at], "other": other[at], "bits": bits.view(np.int64)[at]}
-
-    counted = map_chunks(rows, count, "word binary, toxic long, other long, bits long", "__text")
-    totals = counted.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"), F.bit_count(F.bit_or("bits")).alias("contexts"))
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    # a word of copied texts comes in few contexts, a term in about as many as there are texts with it
-    varied = F.col("contexts") >= F.least(F.lit(32), F.greatest(F.lit(3), F.col("a") / 2))
-    terms = totals.filter(F.octet_length("word").between(3, 64) & (F.col("a") >= 3) & varied).withColumns({"odds": odds, "llr": _llr(F.col("a"), F.col("b"), n1, n0)})
-    terms = terms.filter("odds > 2 and llr > 25").orderBy(F.desc("llr"), "word").limit(TERMS).collect()
+        return {"word": pa.array(spelled, pa.binary()), "toxic": toxic[at], "other": other[at]}
+
+    # copies of a text tell nothing new of its words
+    once = materialise(rows.dropDuplicates(["__text", "__y"]))
+    distinct = {r["__y"]: r["n"] for r in once.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    u0, u1 = distinct[0], distinct[1]
+    counted = map_chunks(once, count, "word binary, toxic long, other long", "__text")
+    totals = counted.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    odds = F.log((F.col("a") + 0.5) / (u1 + 1)) - F.log((F.col("b") + 0.5) / (u0 + 1))
+    terms = totals.filter(F.octet_length("word").between(3, 64) & (F.col("a") >= 3)).withColumns({"odds": odds, "llr": _llr(F.col("a"), F.col("b"), u1, u0)})
+    terms = terms.filter("odds > 2 and llr > 25").orderBy(F.desc("llr"), "word").collect()
     model.terms = {bytes(r["word"]): float(r["odds"]) for r in terms}
     if not model.terms:
         return model
@@ -328,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         return {"h": h, "a": np.bincount(at[y == 1], minlength=len(h)), "b": np.bincount(at[y == 0], minlength=len(h))}
 
     near = map_chunks(rows, windows, "h long, a long, b long", "__text").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    near = near.filter("a + b >= 5").orderBy(F.desc(F.col("a") + F.col("b")), "h").limit(CONTEXT_WORDS).collect()
+    near = near.filter("a + b >= 5").orderBy(F.desc(F.col("a") + F.col("b")), "h").collect()
     na, nb = sum(r["a"] for r in near) + 100, sum(r["b"] for r in near) + 100
     model.context = {r["h"]: float(np.log((r["a"] + 100 * rate) / na) - np.log((r["b"] + 100 * (1 - rate)) / nb) - np.log(rate / (1 - rate))) for r in near} if nb > 100 else {}
 

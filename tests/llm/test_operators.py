@@ -314,6 +314,16 @@ def test_toxicity_on_held_out_rows(spark, edges):
     assert toxicity.score(edges, none).filter("score is null").count() == 0
 
 
+def test_terms_of_fixed_phrases(spark):
+    """A term may follow one and the same word always; the words of a copied text are no terms."""
+    rng = random.Random(12)
+    copied = prose(60, rng) + " zzcopied"
+    rows = [(i, f"{prose(30, rng)} you vermin {prose(20, rng)}", 1) for i in range(60)] + [(100 + i, copied, 1) for i in range(60)] + [(1000 + i, prose(50, rng), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert b"vermin" in model.terms and b"zzcopied" not in model.terms
+
+
 def test_quotation_is_seen():
     import pyarrow as pa
 
