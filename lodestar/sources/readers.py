@@ -50,7 +50,8 @@ def paged_source(name: str, schema: str, count: Callable[[str | None], int], fet
 
     `count(part)` is the number of records and `fetch(part, page, per_page)` gives
     those of a page; part None asks for everything. A service that shows no more
-    than `cap` records of one query is asked part by part where there are more.
+    than `cap` records of one query is asked part by part where there are more; a
+    part that has more itself is an error, as its last records cannot be read.
     Each page is a partition, so pages are read side by side and a lost one is
     read again.
     """
@@ -59,7 +60,10 @@ def paged_source(name: str, schema: str, count: Callable[[str | None], int], fet
         def partitions(self) -> Sequence[InputPartition]:
             total = count(None)
             asked = [(None, total)] if total <= cap or not parts else [(p, count(p)) for p in parts]
-            return [Page(p, k) for p, n in asked for k in range(-(-min(n, cap) // per_page))]
+            for p, n in asked:
+                if n > cap:
+                    raise ValueError(f"{name}: {'the service' if p is None else f'part {p!r}'} has {n} records and shows {cap}; finer parts are needed")
+            return [Page(p, k) for p, n in asked for k in range(-(-n // per_page))]
 
         def read(self, page: InputPartition | None) -> Iterator[tuple]:
             if page is not None:  # Spark reads an empty list of pages as one nothing

@@ -110,6 +110,16 @@ def test_streams_of_many_files_out_of_order(spark, tmp_path):
     assert sorted(r["event_key"] for r in jobs.run_available(twice.select("event_key"), "append").collect()) == sorted(events["event_id"].to_pylist())
 
 
+@pytest.mark.parametrize("parts, named", [(["a", "b"], "part 'b'"), ([], "the service")])
+def test_paged_source_with_more_than_it_shows(parts, named):
+    from lodestar.sources import readers
+
+    sizes = {None: 150, "a": 40, "b": 110}
+    source = readers.paged_source("few", "k long", sizes.get, lambda part, page, per_page: [], 25, 100, parts)
+    with pytest.raises(ValueError, match=named):
+        source({}).reader(None).partitions()
+
+
 def test_plan_expiry(spark):
     day = 86400
     rows = spark.createDataFrame([(1, "a", 0, 1), (1, "a", 10 * day, 2), (1, "b", 20 * day, 3), (2, "a", 0, 4), (2, "a", 40 * day, 5)], "account long, plan string, ts long, event_id long")
