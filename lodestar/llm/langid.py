@@ -3,7 +3,11 @@
 Each language has a probability for every piece of a fixed public vocabulary. A
 word's likelihood is the sum over all its segmentations into pieces, computed by
 a forward algorithm along a trie of the vocabulary, for all distinct words of a
-chunk and all languages at once; a text's is the product over its words.
+chunk and all languages at once; a text's is the product over its words. A long
+word, as in scripts without spaces, is taken whole: where no piece of the
+vocabulary crosses a place, all segmentations part there and the sum is the
+product of both sides; what still is long is summed byte by byte in logarithms.
+Sums are scaled on the way, so no likelihood becomes zero, however rare pieces are.
 
 The probabilities come from all documents with a language: a forward-backward
 pass with weights that do not depend on the language gives the expected count of
@@ -15,6 +19,7 @@ piece at most, whatever the size of the input.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +32,14 @@ from .text import Words, buffers, chunks, map_chunks, table
 
 #: Languages that a model may have; each costs one number for each piece.
 MAX_LANGUAGES = 500
-#: Bytes of a word that are segmented together; a longer word is cut into such runs.
-RUN = 32
-#: Words of one forward pass.
-_BLOCK = 16_384
-#: Every byte counts as this factor, so that products stay in the range of doubles.
-_LIFT = 16.0
+#: Bytes of the longest piece that is used, and of the parts of words that one pass takes together.
+LONGEST_PIECE, PART = 32, 64
+#: Words of one forward pass, and the numbers that it may hold.
+_BLOCK, _CELLS = 16_384, 8 << 20
+#: Every byte counts as this factor, so that products stay in the range of doubles; sums are scaled after so many bytes.
+_LIFT, _SCALE_EVERY = 16.0, 8
+#: Weights that find the expected counts: of a piece, and of a single byte.
+_PIECE, _SINGLE = 1e-2, 1e-4
 #: Words are runs of a-z (after lower-casing A-Z) and all bytes beyond ASCII.
 LETTERS = np.array([0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 _SPACE = 0x20
@@ -44,7 +51,7 @@ def vocabulary_pieces(path: str) -> list[bytes]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
-    usable = [p for p in plain if p and len(p) <= RUN and all(LETTERS[b] for b in (p[1:] if p[0] == _SPACE else p))]
+    usable = [p for p in plain if p and len(p) <= LONGEST_PIECE and all(LETTERS[b] for b in (p[1:] if p[0] == _SPACE else p))]
     return sorted({*usable, *(bytes([b]) for b in [_SPACE, *np.flatnonzero(LETTERS).tolist()])})
 
 
@@ -92,6 +99,37 @@ class Trie:
                 whole = piece >= 0
                 yield begin, end, at[whole], piece[whole]
 
+    def reach(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """End of the longest piece from each place, within the word that ends at `ends`."""
+        out, live, node = at + 1, np.arange(len(at)), np.zeros(len(at), np.int64)
+        for k in range(LONGEST_PIECE):
+            fits = at[live] + k < ends[live]
+            live, node = live[fits], node[fits]
+            node = self.next[node * self.width + self.symbol[data[at[live] + k]]]
+            on = node > 0
+            live, node = live[on], node[on]
+            if not len(live):
+                break
+            whole = self.piece[node] >= 0
+            out[live[whole]] = at[live[whole]] + k + 1
+        return out
+
+    def arcs(self, symbols: np.ndarray) -> list[list[tuple[int, int]]]:
+        """(end, piece) of all pieces from each place of one long part."""
+        follow, piece, width, n = self.next, self.piece, self.width, len(symbols)
+        symbols = symbols.tolist()
+        out = []
+        for begin in range(n):
+            node, here = 0, []
+            for end in range(begin, min(n, begin + LONGEST_PIECE)):
+                node = int(follow[node * width + symbols[end]])
+                if not node:
+                    break
+                if piece[node] >= 0:
+                    here.append((end + 1, int(piece[node])))
+            out.append(here)
+        return out
+
 
 @functools.lru_cache(4)
 def trie(pieces: tuple[bytes, ...]) -> Trie:
@@ -99,40 +137,63 @@ def trie(pieces: tuple[bytes, ...]) -> Trie:
 
 
 class Runs:
-    """The distinct words of a chunk, cut into runs, as blocks of symbols, longest first."""
+    """The distinct words of a chunk; those longer than PART bytes as the parts between places that no piece crosses."""
 
-    def __init__(self, words: Words, symbol: np.ndarray):
+    def __init__(self, words: Words, t: Trie):
         _, first, self.inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         starts, ends = words.starts[first], words.ends[first]
-        pieces = np.maximum(-(-(ends - starts) // RUN), 1)
-        self.n = len(first)
-        self.word = np.repeat(np.arange(len(first)), pieces)
-        number = np.arange(len(self.word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.start = starts[self.word] + number * RUN
-        self.end = np.minimum(self.start + RUN, ends[self.word])
-        self.marked = number == 0
-        self.data, self.symbol = words.data, symbol
-
-    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(word of each run, symbols, lengths)."""
-        length = self.end - self.start + self.marked
-        order = np.argsort(-length, kind="stable")
-        for k in range(0, len(order), _BLOCK):
-            at = order[k : k + _BLOCK]
-            n = length[at]
+        self.n, self.data, self.symbol = len(first), words.data, t.symbol
+        long = ends - starts > PART
+        self.word, self.start, self.end = np.flatnonzero(~long), starts[~long], ends[~long]
+        self.marked = np.ones(len(self.word), bool)
+        if long.any():
+            # the mark before the word takes part: its longest piece may cross the first cuts
+            length = (ends - starts)[long]
+            offs = np.cumsum(length + 1) - length - 1
+            marked = np.zeros(int((length + 1).sum()), np.uint8)
+            marked[offs] = _SPACE
+            inside = np.ones(len(marked), bool)
+            inside[offs] = False
+            owner = np.repeat(np.arange(len(length)), length + 1)
+            source = np.arange(len(marked)) - offs[owner] + starts[long][owner] - 1
+            marked[inside] = words.data[source[inside]]
+            reach = t.reach(marked, np.arange(len(marked)), (offs + length + 1)[owner])
+            cut = np.append(True, np.maximum.accumulate(reach)[:-1] <= np.arange(1, len(marked)))
+            begin = np.flatnonzero(cut)
+            end = np.append(begin[1:], len(marked))
+            self.word = np.concatenate([self.word, np.flatnonzero(long)[owner[begin]]])
+            self.start = np.concatenate([self.start, source[begin] + ~inside[begin]])
+            self.end = np.concatenate([self.end, source[end - 1] + 1])
+            self.marked = np.concatenate([self.marked, ~inside[begin]])
+        self.length = self.end - self.start + self.marked
+        self.long = np.flatnonzero(self.length > PART + 1)
+
+    def blocks(self, wide: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word of each part, symbols, lengths), longest first, without the long parts; `wide` numbers are kept for each byte."""
+        order = np.argsort(-self.length, kind="stable")[len(self.long) :]
+        size = max(64, min(_BLOCK, _CELLS // (wide * (PART + 2))))
+        for k in range(0, len(order), size):
+            at = order[k : k + size]
+            n = self.length[at]
             place = self.start[at, None] + np.arange(n[0]) - self.marked[at, None]
             inside = np.arange(n[0]) < n[:, None]
             byte = self.data[np.where(inside, np.clip(place, 0, len(self.data) - 1), 0)]
             byte[self.marked[at], 0] = _SPACE
             yield self.word[at], self.symbol[byte], n
 
+    def long_parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(word, symbols) of each long part."""
+        for k in self.long.tolist():
+            symbols = self.symbol[self.data[self.start[k] : self.end[k]]]
+            yield int(self.word[k]), np.append(self.symbol[_SPACE], symbols) if self.marked[k] else symbols
+
 
 def expected_counts(words: Words, language: np.ndarray, n_languages: int, pieces: tuple[bytes, ...]) -> np.ndarray:
     """Expected pieces by language: a forward-backward pass in which all segmentations count, those into fewer pieces more."""
     t = trie(pieces)
-    weight = np.where(t.single, 1e-4, 1e-2)
+    weight = np.where(t.single, _SINGLE, _PIECE)
     out = np.zeros((n_languages, len(pieces)))
-    runs = Runs(words, t.symbol)
+    runs = Runs(words, t)
     times = np.bincount(runs.inverse * n_languages + language[words.doc], minlength=runs.n * n_languages).reshape(runs.n, n_languages)
     for word, grid, lengths in runs.blocks():
         alpha, beta = np.zeros((2, len(word), grid.shape[1] + 1))
@@ -153,9 +214,36 @@ def expected_counts(words: Words, language: np.ndarray, n_languages: int, pieces
             share = alpha[at, begin] * weight[piece] * _LIFT ** (end - begin) * beta[at, end] * whole[at]
             for k in range(n_languages):
                 out[k] += np.bincount(piece, weights=share * own[at, k], minlength=len(pieces))
+    for word, symbols in runs.long_parts():
+        _count_long(t.arcs(symbols), np.log(weight), times[word], out)
     return out
 
 
+def _count_long(arcs: list[list[tuple[int, int]]], log_weight: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
+    """Add the expected pieces of one long part, in logarithms."""
+    n = len(arcs)
+    low, cost = -math.inf, log_weight.tolist()
+    alpha, beta = [low] * (n + 1), [low] * (n + 1)
+    alpha[0] = beta[n] = 0.0
+
+    def both(x: float, y: float) -> float:
+        high, less = (x, y) if x > y else (y, x)
+        return high if less == low else high + math.log1p(math.exp(less - high))
+
+    for begin, here in enumerate(arcs):
+        for end, piece in here:
+            alpha[end] = both(alpha[end], alpha[begin] + cost[piece])
+    for begin in range(n - 1, -1, -1):
+        for end, piece in arcs[begin]:
+            beta[begin] = both(beta[begin], beta[end] + cost[piece])
+    share: dict[int, float] = {}
+    for begin, here in enumerate(arcs):
+        for end, piece in here:
+            share[piece] = share.get(piece, 0.0) + math.exp(alpha[begin] + cost[piece] + beta[end] - alpha[n])
+    at = np.fromiter(share, np.int64, len(share))
+    out[:, at] += times[:, None] * np.fromiter(share.values(), np.float64, len(share))
+
+
 @dataclass
 class Model:
     """Languages in order, log priors, and the pieces' probabilities (piece by language)."""
@@ -168,19 +256,42 @@ class Model:
     def word_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each distinct word by language, and which of them each word is."""
         t = trie(self.pieces)
-        runs = Runs(words, t.symbol)
-        out = np.zeros((runs.n, len(self.languages)))
-        for word, grid, lengths in runs.blocks():
-            alpha = np.zeros((grid.shape[1] + 1, len(word), len(self.languages)))
+        runs = Runs(words, t)
+        n_languages = len(self.languages)
+        out = np.zeros((runs.n, n_languages))
+        for word, grid, lengths in runs.blocks(n_languages):
+            alpha = np.zeros((grid.shape[1] + 1, len(word), n_languages))
             alpha[0] = 1
+            scale = np.zeros((len(word), n_languages))
+            scaled = 0
             for begin, end, at, piece in t.steps(grid, lengths):
+                if begin >= scaled + _SCALE_EVERY:  # the longer words come first
+                    scaled = begin
+                    live = alpha[begin : begin + LONGEST_PIECE, : np.searchsorted(-lengths, -begin)]
+                    most = live.max(axis=0)
+                    live /= most
+                    scale[: len(most)] += np.log(most)
                 alpha[end, at] += alpha[begin, at] * (self.probability[piece] * _LIFT ** (end - begin))
-            np.add.at(out, word, np.log(alpha[lengths, np.arange(len(word))]))
+            np.add.at(out, word, np.log(alpha[lengths, np.arange(len(word))]) + scale)
+        logs = np.log(self.probability) if len(runs.long) else None
+        for word, symbols in runs.long_parts():
+            arcs, n = t.arcs(symbols), len(symbols)
+            ring = np.full((LONGEST_PIECE + 1, n_languages), -np.inf)
+            ring[0] = 0
+            for begin, here in enumerate(arcs):
+                own = ring[begin % len(ring)].copy()
+                ring[begin % len(ring)] = -np.inf
+                for end, piece in here:
+                    ring[end % len(ring)] = np.logaddexp(ring[end % len(ring)], own + logs[piece])
+            out[word] += ring[n % len(ring)] + n * np.log(_LIFT)
         return out, runs.inverse
 
 
 def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", text: str = "text", smooth: float = 0.05) -> Model:
-    """Learn from every row that has a text and a language."""
+    """Learn from every row that has a text and a language, repeated rows included; runs the count when called.
+
+    An empty table gives a model without languages; other columns are not read.
+    """
     pieces = tuple(vocabulary_pieces(vocabulary))
     rows = docs.select(F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text")).filter("`__lang` is not null and `__text` is not null")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
@@ -225,8 +336,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """The columns of `keep`, lang_pred and score (its posterior probability) of every row.
 
     A null text, or one without a letter, is `und` with the score 0, and so is
-    every text if the model has no language. Repeated rows are judged each; an
-    empty table gives an empty result; other columns are not read.
+    every text if the model has no language. Texts and words of any length are
+    scored whole. Of languages that are equally likely the first by name is taken.
+    Repeated rows are judged each; an empty table gives an empty result; other
+    columns are not read.
     """
     rows = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
