@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.storage import materialise, shared_folder  # noqa: F401
 
@@ -60,15 +61,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+class Spans:
+    """Hashes of any spans of one buffer, from one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (self.total[ends] - self.total[starts]) * self.down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for every span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return Spans(data).hashes(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 class Words:
@@ -194,5 +202,23 @@ def bytes_of(column: pa.Array) -> memoryview:
     return memoryview(data)[offs[0] : offs[-1]]
 
 
+#: A key with one of so many parts of all rows is hot; the tasks that share its rows.
+HOT, SALTS = 1000, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """The keys with a thousandth of `total` rows or more, a thousand at most, to be broadcast."""
+    return F.broadcast(counts.filter(F.col(n) * HOT >= total).select(*keys, F.lit(True).alias("__hot")))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, deal: Column, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for a `right` with a row for each key: rows of hot keys are dealt out over SALTS tasks by the number `deal`."""
+    salt = F.when(F.col("__hot"), F.pmod(deal, F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    copied = right.join(hot, keys, "left").select(*right.columns, copies.alias("__salt"))
+    return dealt.join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
