@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, Words, binary_column, buffers, bytes_of, map_chunks, materialise, mix, span_hashes, table
+from .text import ALNUM, Spans, Words, binary_column, buffers, bytes_of, map_chunks, materialise, mix, span_hashes, table
 
 #: Labelled rows of the fit.
 SAMPLE = 20_000
 #: Words on each side of a match.
 WINDOW = 6
 FEATURES = 7
-_QUOTES = [b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode()]
+#: Quotation marks; those that open and those that close if the words around do not say otherwise (fixed values).
+_OPENING, _CLOSING, _EITHER = "«„‹", "»”›", '"“'
 
 
 def edits_for(term: bytes) -> int:
@@ -90,10 +91,11 @@ class Lexicon:
         out = np.zeros(len(starts), bool)
         live = np.flatnonzero((ends - starts >= self.shortest[0]) & (ends - starts <= self.longest[0])) if self.terms else np.zeros(0, np.int64)
         lengths = (ends - starts).astype(np.uint64)
+        spans = Spans(data) if len(live) else None
         for (at, length), known in self.pieces.items():
             fit = live[~out[live] & (starts[live] + at + length <= ends[live])]
             if len(fit):
-                h = mix(span_hashes(data, starts[fit] + at, starts[fit] + at + length) ^ lengths[fit])
+                h = mix(spans.hashes(starts[fit] + at, starts[fit] + at + length) ^ lengths[fit])
                 out[fit[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]] = True
         return out
 
@@ -197,13 +199,9 @@ class Matches:
         self.at = np.flatnonzero(edits[inverse] >= 0) if len(first) else np.zeros(0, np.int64)
         self.weight, self.edits = weight[inverse[self.at]], edits[inverse[self.at]]
         self.doc = words.doc[self.at]
-        self.quoted = np.zeros(len(self.at))
-        for d in np.unique(self.doc).tolist():
-            a, b = int(words.offsets[d]), int(words.offsets[d + 1])
-            text = raw[a:b]
-            marks = np.sort([p for q in _QUOTES for p in _places(text, q)])
-            mine = self.doc == d
-            self.quoted[mine] = np.searchsorted(marks, words.starts[self.at[mine]] - a) % 2 if len(marks) else 0
+        begins, closes = quotations(words.data, words.offsets)
+        k = np.searchsorted(begins, words.starts[self.at], "right") - 1
+        self.quoted = ((k >= 0) & (words.starts[self.at] < closes[k])).astype(float) if len(begins) else np.zeros(len(self.at))
 
     def around(self) -> tuple[np.ndarray, np.ndarray]:
         """(match, word) for the words in the windows, within the same text."""
@@ -214,12 +212,37 @@ class Matches:
         return match[inside], word[inside]
 
 
-def _places(text: bytes, mark: bytes) -> list[int]:
-    out, at = [], text.find(mark)
-    while at >= 0:
-        out.append(at)
-        at = text.find(mark, at + 1)
-    return out
+def quotations(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte after and place of the mark at the end of each quotation.
+
+    A mark opens or closes by its form; a straight one, or one of a form that
+    languages use either way, by the white space around it. A quotation is an
+    opening mark with the closing one that is the next mark of the text, so a
+    mark without its partner changes nothing else.
+    """
+    places, sizes, kinds = [], [], []
+    for kind, marks in enumerate((_OPENING, _CLOSING, _EITHER)):
+        for mark in marks:
+            raw = mark.encode()
+            at = np.flatnonzero(data == raw[0])
+            for i, b in enumerate(raw[1:], 1):
+                at = at[at + i < len(data)]
+                at = at[data[at + i] == b]
+            places.append(at)
+            sizes.append(np.full(len(at), len(raw)))
+            kinds.append(np.full(len(at), kind))
+    at = np.concatenate(places)
+    if len(at) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(at)
+    at, size, kind = at[order], np.concatenate(sizes)[order], np.concatenate(kinds)[order]
+    doc = np.searchsorted(offsets, at, "right") - 1
+    apart = np.isin(data, np.frombuffer(b" \t\r\n\v\f([{", np.uint8))
+    before = (at == offsets[doc]) | apart[np.maximum(at - 1, 0)]
+    after = (at + size == offsets[doc + 1]) | apart[np.minimum(at + size, len(data) - 1)]
+    opens = np.where(kind == 2, before, np.where(kind == 0, before | ~after, before & ~after))
+    pair = np.flatnonzero(opens[:-1] & ~opens[1:] & (doc[1:] == doc[:-1]))
+    return at[pair] + size[pair], at[pair + 1]
 
 
 def features(column: pa.Array, model: Model) -> np.ndarray:
@@ -269,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     """Learn from the `sample` labelled rows with the smallest hash of their ids.
 
     Labels that are null or neither 0 nor 1 are left out; of several labels of one
-    id the largest counts. Without labelled texts of both kinds the model has no
+    id the largest counts. A null text has no words; copies of a text count once
+    for the lexicon. Runs the fit when called. Without labelled texts of both kinds the model has no
     terms and gives every text the share of toxic labels.
     """
     spark = docs.sparkSession
@@ -343,8 +367,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, and score, n_hits, n_near, n_quoted of every row.
 
-    A null or empty text has no hits and the score of that. Repeated rows are
-    scored each; an empty table gives an empty result; other columns are not read.
+    A null or empty text has no hits and the score of that; texts of any length
+    are scored whole. Of two terms that are equally near the heavier one counts,
+    of equals the first. Repeated rows are scored each; an empty table gives an
+    empty result; other columns are not read.
     """
     rows = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
