@@ -6,11 +6,12 @@ URL fits an entry exactly if one of its keys, a suffix of its host with a prefix
 of its path, is the entry; only the path lengths that the list has are tried.
 
 The filter has blocks of eight 32-bit words (one bit set in each word for an
-entry). It is a table with a row for each block that is not empty, built by one
-aggregation. Keys that may be listed, and only those, go on to an exact join
-with the list, which removes the false positives; the longest entry wins. The
-joins are by key, and Spark broadcasts a side only where its measured size
-allows it, so list and filter may grow as large as they like.
+entry), two words to a number. It is a table with a row for each block that is
+not empty, built by one aggregation, and is broadcast as long as it has at most
+`MAX_BLOCKS` blocks (some 16 million entries): so keys are tested where they are
+read, and only those that may be listed are shuffled to the exact join with the
+list, which removes the false positives; the longest entry wins. A longer list is
+joined exactly without a filter, which would have to be shuffled to like the list.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .text import table
 
 #: Filter bits for each entry; 16 give about one false positive in 700 keys.
 BITS_PER_ENTRY = 16
+#: Blocks that may be broadcast, about 70 bytes each.
+MAX_BLOCKS = 1 << 20
 #: Odd multipliers that pick the bit in each word of a block (fixed values of the published split-block filter).
 SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,37 +43,47 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _times(low: Column, s: int) -> Column:
+    """low * s modulo 2 ** 32, for a 32-bit `low`, without a product beyond 64 bits."""
+    upper = (low * F.lit(s >> 16)).bitwiseAND(F.lit(0xFFFF))
+    return (F.shiftleft(upper, 16) + low * F.lit(s & 0xFFFF)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def _probe(key: Column, n_blocks: int) -> tuple[Column, list[Column]]:
-    """Block number and the eight masks of a key."""
+    """Block number and the masks of a key in four numbers of two words each."""
     h = F.xxhash64(key)
     low = h.bitwiseAND(F.lit(0xFFFFFFFF))
-    bit = lambda s: F.shiftright((low * F.lit(s & 0x7FFFFFFF)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int")
-    masks = [F.call_function("shiftleft", F.lit(1), bit(s)) for s in SALTS]
+    bit = lambda s: F.shiftright(_times(low, s), 27).cast("int")
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    masks = [one(bit(a)).bitwiseOR(one(bit(b) + 32)) for a, b in zip(SALTS[::2], SALTS[1::2], strict=True)]
     return F.pmod(F.shiftrightunsigned(h, 32), F.lit(n_blocks)), masks
 
 
 def bloom_blocks(keys: DataFrame, n_blocks: int) -> DataFrame:
-    """The filter: a row (block, w0 ... w7) for each block that is not empty. `keys` has a column `key`."""
+    """The filter: a row (block, w0 ... w3) for each block that is not empty. `keys` has a column `key`."""
     block, masks = _probe(F.col("key"), n_blocks)
     rows = keys.select(block.alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(masks)])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)])
+    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
 def maybe_listed(keys: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """The rows of `keys` whose `key` may be in the filter."""
+    """The rows of `keys` whose `key` may be in the filter, which is broadcast."""
+    if n_blocks > MAX_BLOCKS:
+        raise ValueError(f"the filter has {n_blocks} blocks; {MAX_BLOCKS} may be broadcast")
     block, masks = _probe(F.col("key"), n_blocks)
     hit = F.lit(True)
     for i, m in enumerate(masks):
-        hit &= F.col(f"w{i}").bitwiseAND(m) != 0
+        hit &= F.col(f"w{i}").bitwiseAND(m) == m
     columns = keys.columns
-    return keys.withColumn("block", block).join(blocks, "block").filter(hit).select(*columns)
+    return keys.withColumn("block", block).join(F.broadcast(blocks), "block").filter(hit).select(*columns)
 
 
 def url_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
     """All host suffixes (at label borders) with all path prefixes of the given lengths."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths))]))
+    fitting = F.filter(F.lit(sorted(set(lengths))), lambda n: n <= F.length(path))
+    prefixes = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
 
@@ -80,8 +93,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow", u
     `listed` has host, path and verdict; a repeated entry counts once (of several
     verdicts the smallest). A null URL, or one without `://`, has an empty host
     and path and fits only entries with an empty host; what fits no entry has a null rule and the
-    verdict `otherwise`. Repeated rows are judged each; empty tables give an
-    empty result or the verdict `otherwise`; further columns pass through.
+    verdict `otherwise`. URLs of any length are judged whole; of two entries that
+    fit the longer one wins, and two of one length cannot both fit. Repeated rows
+    are judged each, a URL that is common only once; empty tables give an empty
+    result or the verdict `otherwise`; further columns pass through. The list is
+    counted when this is called.
     """
     pages = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
     listed = listed.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.collect_set(F.length("path")).alias("n"))
@@ -92,7 +108,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow", u
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
     distinct = parsed.select("host", "path").distinct()
     keys = distinct.select("host", "path", F.explode(url_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    candidates = maybe_listed(keys, bloom_blocks(listed, n_blocks), n_blocks)
+    candidates = maybe_listed(keys, bloom_blocks(listed, n_blocks), n_blocks) if n_blocks <= MAX_BLOCKS else keys
     exact = candidates.join(listed.select("key", F.col("verdict").alias("__verdict")), "key")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("key", "__verdict"), F.struct(F.length("key"), "key")).alias("__best"))
     return parsed.join(best, ["host", "path"], "left").select(
