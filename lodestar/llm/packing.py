@@ -1,18 +1,19 @@
 """Lexical retrieval packing (operator 4).
 
 Documents become token ids, closed by an end id. Whole windows of a long document
-are sequences of their own; what is left of it, and every shorter document, is
-packed by lexical retrieval: documents are laid out by a weighted MinHash of
-their tokens, so that similar ones fall into the same shard, and each shard of
-bounded size has a BM25 inverted index over token ids. From a seed document, its
-unused neighbours in the order of their BM25 scores fill the window; the last
-one is cut where the window is full, and what is left of it is the next seed. So
-there is no padding inside a partition; the window that is open at its end is
-cut into sequences whose lengths are powers of two.
+are sequences of their own where they are read; what is left of it, and every
+shorter document, is packed by lexical retrieval: these rests, each shorter than
+a window, are laid out by two weighted MinHashes of their tokens, so that similar
+ones fall into the same shard, and each shard of bounded size has a BM25 inverted
+index over token ids. From a seed, its unused neighbours in the order of their
+BM25 scores fill the window; the last one is cut where the window is full, and
+what is left of it is the next seed. So there is no padding inside a partition;
+the window that is open at its end is cut into sequences whose lengths are powers
+of two.
 
 Document frequencies and the mean length are counted over all documents: a row
 for each id of the vocabulary at most, so they may be collected and broadcast at
-any size of the input. The ids of every document are shuffled once.
+any size of the input. Only the rests are shuffled, once, in ranges of equal counts.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .token_counts import byte_of_char
 
 #: Documents of one inverted index.
 SHARD = 1024
-#: Token bytes of a partition, on average, unless the session asks for more partitions.
-PARTITION_BYTES = 32 << 20
+#: Token bytes of a partition, on average; and the partitions of a table that would need fewer, of a shard each at least.
+PARTITION_BYTES, LEAST_PARTS = 32 << 20, 64
 K1, B = 1.2, 0.75
 
 
@@ -51,11 +52,24 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def tokenise(docs: DataFrame, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, tie, n, ids): the ids of each text and the end id, as little-endian 32-bit numbers; a null text is empty.
+def _weighted_min_hash(ids: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of the id that wins each document's draw, in which an id stands for log(id) tickets; no document is empty."""
+    if not len(n):
+        return np.zeros(0, np.int64)
+    draw = ((mix(ids.astype(np.uint64) + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+    cost = -np.log(draw) / np.log(ids + np.float64(2))
+    begin = np.cumsum(n) - n
+    at = np.flatnonzero(cost == np.repeat(np.minimum.reduceat(cost, begin), n))
+    first = at[np.searchsorted(at, begin)]
+    return mix(ids[first].astype(np.uint64) + np.uint64(3 * salt)).view(np.int64)
 
-    `key` is a MinHash of the distinct ids, weighted by log(id): a byte-pair
-    vocabulary adds its rarer tokens later. It orders the documents for sharding.
+
+def tokenise(docs: DataFrame, vocabulary: str, window: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, key2, tie, n, whole, rest): the n ids of each text and the end id, as little-endian 32-bit numbers; a null text is empty.
+
+    `whole` are as many as fill windows, `rest` are the others. `key` and `key2`
+    are MinHashes of the rest's distinct ids, weighted by log(id), as a byte-pair
+    vocabulary adds its rarer tokens later. They order the rests for sharding.
     """
     rows = docs.select(doc_id, F.col(text).alias("__text"), F.xxhash64(doc_id, text).alias("__tie"))
 
@@ -63,18 +77,20 @@ def tokenise(docs: DataFrame, vocabulary: str, end_id: int = 0, doc_id: str = "d
         encoding = encoder(vocabulary)
         parts = [np.append(encoding.encode_to_numpy(t or "", allowed_special="all"), np.uint32(end_id)) for t in chunk.column("__text").to_pylist()]
         n = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts)
-        draw = ((mix(ids.astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
-        cost = -np.log(draw) / np.log(ids + np.float64(2))
-        key = np.minimum.reduceat(cost, np.cumsum(n) - n)
-        return {doc_id: chunk.column(doc_id), "key": key, "tie": chunk.column("__tie"), "n": n, "ids": binary_column(ids, n)}
+        ids, left = np.concatenate(parts), n % window
+        in_rest = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n) >= np.repeat(n - left, n)
+        rest, some = ids[in_rest], left > 0
+        keys = np.zeros((2, len(n)), np.int64)
+        for i, salt in enumerate((1, 1 << 32)):
+            keys[i, some] = _weighted_min_hash(rest, left[some], salt)
+        return {doc_id: chunk.column(doc_id), "key": keys[0], "key2": keys[1], "tie": chunk.column("__tie"), "n": n, "whole": binary_column(ids[~in_rest], n - left), "rest": binary_column(rest, left)}
 
     kind = rows.schema[doc_id].dataType.simpleString()
-    return map_chunks(rows, work, f"`{doc_id}` {kind}, key double, tie long, n long, ids binary", "__text")
+    return map_chunks(rows, work, f"`{doc_id}` {kind}, key long, key2 long, tie long, n long, whole binary, rest binary", "__text")
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(bytes_of(batch.column("ids")), np.uint32), batch.column("n").to_numpy()
+def _ids(batch: pa.RecordBatch, column: str = "ids") -> np.ndarray:
+    return np.frombuffer(bytes_of(batch.column(column)), np.uint32)
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -84,7 +100,8 @@ def frequencies(tokens: DataFrame) -> DataFrame:
         df, docs, length = np.zeros(1, np.int64), 0, 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
-                ids, n = _ids(batch.slice(begin, 512))
+                part = batch.slice(begin, 512)
+                ids, n = _ids(part), part.column("n").to_numpy()
                 if len(ids):
                     key = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | ids
                     key.sort()
@@ -96,7 +113,7 @@ def frequencies(tokens: DataFrame) -> DataFrame:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [docs, length]))], ["id", "df"])
 
-    return tokens.select("n", "ids").mapInArrow(work, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
+    return tokens.select("n", F.concat("whole", "rest").alias("ids")).mapInArrow(work, "id long, df long").groupBy("id").agg(F.sum("df").alias("df"))
 
 
 class Shard:
@@ -168,9 +185,30 @@ class _Pieces:
             self.close(1 << (sum(len(x[2]) for x in self.open).bit_length() - 1))
 
 
+def _columns(doc_id: str) -> list[str]:
+    return [doc_id, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def _whole_windows(batches: Iterator[pa.RecordBatch], doc_id: str, window: int) -> Iterator[pa.RecordBatch]:
+    """The pieces that are sequences of their own; their numbers are from 2 ** 62 on."""
+    sequence = 1 << 62 | TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 512):
+            part = batch.slice(begin, 512)
+            n = part.column("n").to_numpy()
+            times = n // window
+            row = np.repeat(np.arange(len(n)), times)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)) * window
+            full = np.full(len(row), window)
+            ids = binary_column(_ids(part, "whole"), full)
+            columns = [part.column(doc_id).take(pa.array(row)), pa.array(start), pa.array(full), ids, pa.array(n[row]), pa.array(sequence + np.arange(len(row))), pa.array(np.zeros(len(row), np.int64))]
+            sequence += len(row)
+            yield pa.RecordBatch.from_arrays(columns, _columns(doc_id))
+
+
 def _pack(batches: Iterator[pa.RecordBatch], doc_id: str, kind: pa.DataType, window: int, idf: np.ndarray, mean: float) -> Iterator[pa.RecordBatch]:
     out = _Pieces(window, TaskContext.get().partitionId() << 40)
-    names = [doc_id, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    names = _columns(doc_id)
 
     def flush() -> Iterator[pa.RecordBatch]:
         for begin in range(0, len(out.rows), 4096):
@@ -208,16 +246,10 @@ def _pack(batches: Iterator[pa.RecordBatch], doc_id: str, kind: pa.DataType, win
     for batch in batches:
         for begin in range(0, batch.num_rows, SHARD):
             part = batch.slice(begin, SHARD)
-            ids, n = _ids(part)
-            ends = np.cumsum(n)
+            ids, n = _ids(part, "rest"), part.column("n").to_numpy()
+            ends = np.cumsum(n % window)
             for doc, end, total in zip(part.column(doc_id).to_pylist(), ends.tolist(), n.tolist(), strict=True):
-                own = ids[end - total : end]
-                whole = total // window * window
-                for start in range(0, whole, window):
-                    out.rows.append((doc, start, own[start : start + window], total, out.sequence, 0))
-                    out.sequence += 1
-                if whole < total:
-                    held.append((doc, whole, own[whole:], total))
+                held.append((doc, total // window * window, ids[end - total % window : end], total))
                 if len(held) == SHARD:
                     shard(held)
                     held = []
@@ -235,13 +267,14 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
     of a document lies in exactly one piece. A sequence has `window` ids, or a
     smaller power of two. A null or empty text is the end id alone. Repeated rows
     are packed each; rows without an id have pieces without an id; an empty table
-    gives an empty result; other columns are not read. `window` must be a power
-    of two.
+    gives an empty result; other columns are not read. A very long text is one
+    row until it is cut into windows. `window` must be a power of two. The texts
+    are tokenised, and their ids written, when this is called.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, vocabulary, end_id, doc_id, text))
+    tokens = materialise(tokenise(docs, vocabulary, window, end_id, doc_id, text))
     counts = {r["id"]: r["df"] for r in frequencies(tokens).collect()}  # a row for each id of the vocabulary at most
     n_docs, length = counts.pop(-1, 0), counts.pop(-2, 0)
     idf = np.zeros(max(counts, default=0) + 1)
@@ -249,14 +282,17 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
         idf[i] = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     mean = max(1.0, length / max(1, n_docs))
     shared = spark.sparkContext.broadcast(idf)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * length // PARTITION_BYTES))
+    parts = max(min(LEAST_PARTS, -(-n_docs // SHARD)), -(-4 * length // PARTITION_BYTES), 1)
     kind = tokens.schema[doc_id].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(kind)
-    laid = tokens.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
     schema = f"`{doc_id}` {kind.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return laid.mapInArrow(lambda batches: _pack(batches, doc_id, arrow, window, shared.value, mean), schema)
+    order = ["key", "key2", "tie"]
+    laid = tokens.filter(F.col("n") % window > 0).select(doc_id, "n", "rest", *order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rests = laid.mapInArrow(lambda batches: _pack(batches, doc_id, arrow, window, shared.value, mean), schema)
+    whole = tokens.filter(F.col("n") >= window).select(doc_id, "n", "whole").mapInArrow(lambda batches: _whole_windows(batches, doc_id, window), schema)
+    return rests.union(whole)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
