@@ -28,14 +28,21 @@ SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Limits. A repeat counts from `min_repeat` words; a document is rejected if repeats cover more than `max_covered` of its words, or if one repeat has more than `max_longest` words and more than `max_longest_part` of all words."""
+    """Limits.
+
+    A repeat counts from `min_repeat` words; a document is rejected if repeats
+    cover more than `max_covered` of its words, or if one repeat has more than
+    `max_longest` words and more than `max_longest_part` of all words. So a
+    paragraph that stands twice rejects a page of some hundred words, and a
+    heading or a line that stands twice rejects none.
+    """
 
     min_words: int = 50
     max_window_share: int = 50
     min_repeat: int = 8
-    max_covered: float = 0.4
-    max_longest: int = 50
-    max_longest_part: float = 0.2
+    max_covered: float = 0.35
+    max_longest: int = 30
+    max_longest_part: float = 0.1
 
 
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -147,8 +154,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def judge(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), text: str = "text") -> DataFrame:
     """Every row of `docs` with the counts, `base_failed` and `kept` in place of columns of those names.
 
-    A null or empty text has no words and fails the base rule. Repeated rows are
-    judged each; an empty table gives an empty result; further columns pass through.
+    A null or empty text has no words and fails the base rule; a very long text
+    is one suffix array, in one task. A count that is equal to its limit passes.
+    Repeated rows are judged each; an empty table gives an empty result; further
+    columns pass through.
     """
     made = {*COUNTS, "base_failed", "kept"}
     through = [c for c in docs.columns if c not in made or c == text]
