@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, Words, buffers, map_chunks, materialise, mix, table
+from .text import ALNUM, HOT, SALTS, Words, buffers, hot_keys, map_chunks, materialise, mix, spread_join, table
 
 _STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-LAST = (1 << 63) - 1
-#: A hash with one of so many parts of all repeats is hot; the tasks that share its rows.
-HOT, SALTS = 1000, 64
+#: What tells rows apart: hashes of the id and the text together.
+_KEY = ["__key", "__key2"]
+_ROW = ["__id", *_KEY]
 
 
 class Sentences:
@@ -112,7 +112,7 @@ def _range_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 
 def repeated_runs(docs: DataFrame, sentences: int, words: int, text: str, passage: int | None = None) -> DataFrame:
-    """(__id, __key, start, end): first word and end of the runs that are not the first of their kind.
+    """(__key, __key2, start, end): first word and end of the runs that are not the first of their kind.
 
     With `passage`, a run that overlaps the first of its kind in the same text begins where that ends.
     """
@@ -124,24 +124,26 @@ def repeated_runs(docs: DataFrame, sentences: int, words: int, text: str, passag
             start, end, h1, h2 = (np.concatenate(x) for x in zip((start, end, h1, h2), found.spans(passage), strict=True))
         doc = found.words.doc[start]
         base = found.words.offs[doc]
-        return {"__id": chunk.column("__id").to_numpy()[doc], "__key": chunk.column("__key").to_numpy()[doc], "start": start - base, "end": end - base, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
+        own = {c: chunk.column(c).take(pa.array(doc)) for c in _ROW}
+        return own | {"start": start - base, "end": end - base, "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
 
-    runs = map_chunks(docs.select("__id", "__key", F.col(text).alias("__text")), work, "`__id` long, `__key` long, start int, end int, h1 long, h2 long", "__text")
+    kind = docs.schema["__id"].dataType.simpleString()
+    runs = map_chunks(docs.select(*_ROW, F.col(text).alias("__text")), work, f"`__id` {kind}, `__key` long, `__key2` long, start int, end int, h1 long, h2 long", "__text")
     often = materialise(runs.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"))
     total = often.agg(F.sum("n")).first()[0] or 0
     # a hash with a thousandth of the repeats is dealt out by salt; there are a thousand such at most
     hot = F.broadcast(often.filter(F.col("n") * HOT >= total).select("h1", F.lit(True).alias("hot")))
     copies = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("__id", "__key", "start"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("__key", "__key2", "start"), F.lit(SALTS)).cast("int")).otherwise(0)
     salted = runs.join(hot, "h1", "left").withColumn("salt", salt).drop("hot")
     again = materialise(salted.join(often.join(hot, "h1", "left").select("h1", copies), ["h1", "salt"], "left_semi"))
-    place = F.struct("__id", "__key", "start")
+    place = F.struct(F.col("__id").isNull().alias("last"), *_ROW, "start")  # rows without an id come last
     first = again.groupBy("h1", "h2").agg(F.min(place).alias("first")).join(hot, "h1", "left").select("h1", "h2", "first", copies)
-    repeats = again.join(first, ["h1", "h2", "salt"]).filter(place != F.col("first"))
+    repeats = again.join(first, ["h1", "h2", "salt"]).filter(~place.eqNullSafe(F.col("first")))
     if passage:
-        same = (F.col("__id") == F.col("first.__id")) & (F.col("__key") == F.col("first.__key"))
+        same = (F.col("__key") == F.col("first.__key")) & (F.col("__key2") == F.col("first.__key2"))
         repeats = repeats.withColumn("start", F.when(same, F.greatest("start", F.col("first.start") + F.col("end") - F.col("start"))).otherwise(F.col("start")))
-    return repeats.select("__id", "__key", "start", "end")
+    return repeats.select(*_KEY, "start", "end")
 
 
 def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id: str = "doc_id", text: str = "text", passage: int | None = None) -> DataFrame:
@@ -149,17 +151,22 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 15, doc_id:
 
     With `passage`, no passage of so many words is left in two texts, however
     long its sentences are; n_removed counts the sentences that go as a whole.
-    A null text stays null and has no sentences. Rows without an id come last in
-    the order of documents. Rows with equal id and text are one document that
+    A null text stays null and has no sentences; a very long one is searched
+    whole. Ids may have any type that has an order. Rows without an id come last
+    in the order of documents. Rows with equal id and text are one document that
     occurs more than once: they keep or lose the same sentences. A document that
     loses all its sentences stays as a row with what is left of its text. An
-    empty table gives an empty result; further columns pass through.
+    empty table gives an empty result; further columns pass through (names that
+    begin with two underscores are used inside). The runs are counted, and the
+    repeated ones written, when this is called.
     """
     through = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    keyed = docs.select(*through, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(text).alias("__key"))
+    marks = {"__id": F.col(doc_id), "__key": F.xxhash64(text, doc_id), "__key2": F.xxhash64(doc_id, F.lit(1), text)}
+    keyed = docs.select(*through, *[c.alias(k) for k, c in marks.items()])
     runs = repeated_runs(keyed, sentences, words, text, passage)
-    gone = runs.groupBy("__id", "__key").agg(F.collect_set(F.struct("start", "end")).alias("__gone"))
-    joined = keyed.join(gone, ["__id", "__key"], "left")
+    gone = runs.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("__gone"), F.count("*").alias("n"))
+    gone = materialise(gone.withColumn("n", F.col("n") / F.size("__gone")))  # about the rows that are this document
+    joined = spread_join(keyed, gone.select(*_KEY, "__gone"), _KEY, hot_keys(gone, _KEY, docs.count()), F.monotonically_increasing_id(), "left")
     rows = docs.select(*through)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["n_sentences long, n_removed long"])
 
