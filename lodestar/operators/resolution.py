@@ -32,16 +32,16 @@ def merge_cross_source(rows: DataFrame, key: str = "hash", order: str = "seq") -
 
     Confidence starts with the first row's and with every further source becomes
     min(100, max(so far, new) + 5). The fold is over one row for each source of a
-    key, so its list is as short as the sources are few.
+    key, so its list is as short as the sources are few; of code lists each
+    different one is held once.
     """
     by_source = rows.groupBy(key, "source").agg(
-        F.min(order).alias(order), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"),
-        *[_filled(c, False, order).alias(c) for c in ("name", "email", "phone", "website")],
+        F.min(order).alias(order), F.max("confidence").alias("confidence"), F.collect_set("codes").alias("lists"), *[_filled(c, False, order).alias(c) for c in ("name", "email", "phone", "website")],
     )
     fold = F.aggregate(F.array_sort(F.collect_list(F.struct(order, "source", F.col("confidence").cast("long").alias("c")))), F.lit(-1).cast("long"), lambda a, x: F.when(a < 0, x["c"]).otherwise(F.least(F.lit(100).cast("long"), F.greatest(a, x["c"]) + 5)))
     return by_source.groupBy(key).agg(
         *[_filled(c, False, order).alias(c) for c in ("name", "email", "phone", "website")], fold.alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.array_sort(F.collect_set("source")).alias("sources"),
+        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("lists"))))).alias("codes"), F.array_sort(F.collect_set("source")).alias("sources"),
     )
 
 

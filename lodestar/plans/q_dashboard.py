@@ -146,7 +146,7 @@ def focus_usage(v: Views) -> DataFrame:
     FULL JOIN (SELECT heading, count(*) parts FROM v_taxonomy WHERE part_id % 3 = 0 GROUP BY 1) b ON a.heading = b.heading"""))
 def coverage_full_outer(v: Views) -> DataFrame:
     """Two aggregates of the same key, each with keys that the other lacks."""
-    shipped = v.shipment.filter("flag = 'R' and weight > 45 and value > 8000000").groupBy("heading").agg(F.count("*").alias("shipments"))
+    shipped = v.shipments("flag", "weight", "value", "heading").filter("flag = 'R' and weight > 45 and value > 8000000").groupBy("heading").agg(F.count("*").alias("shipments"))
     listed = v.taxonomy.filter("part_id % 3 = 0").groupBy("heading").agg(F.count("*").alias("parts"))
     return shipped.join(listed, "heading", "full").fillna(0, ["shipments", "parts"])
 
@@ -177,7 +177,7 @@ def daily_counts(v: Views) -> DataFrame:
 
 @query("array_size_stats", sql("SELECT isum(len(codes)) codes, count(*) FILTER (WHERE len(codes) > 1) several, count(*) entities FROM (SELECT entity_id, list(DISTINCT heading) codes FROM v_shipment GROUP BY 1)"))
 def array_size_stats(v: Views) -> DataFrame:
-    codes = v.shipment.groupBy("entity_id").agg(F.collect_set("heading").alias("codes"))
+    codes = v.shipments("entity_id", "heading").groupBy("entity_id").agg(F.collect_set("heading").alias("codes"))
     return codes.agg(F.sum(F.size("codes")).alias("codes"), F.count_if(F.size("codes") > 1).alias("several"), F.count("*").alias("entities"))
 
 

@@ -114,7 +114,7 @@ def alerts_all_rules(v: Views) -> DataFrame:
     from ..operators.alerts import alerts
 
     focus = v.event.select("account", (F.col("account") % 5).alias("region")).distinct()
-    return alerts(v.shipment, v.supplier, v.entity.select(F.col("id").alias("entity_id"), "region"), v.saved, focus, "03", AS_OF, EVENTS_AS_OF)
+    return alerts(v.shipments("entity_id", "supplier_id", "day", "heading"), v.supplier, v.entity.select(F.col("id").alias("entity_id"), "region"), v.saved, focus, "03", AS_OF, EVENTS_AS_OF)
 
 
 @query("message_tracking", sql(f"""SELECT event_id, age > 120 AND h < 65 opened, age > 360 AND h < 25 AND age > 120 replied FROM (SELECT event_id, (event_id * 2654435761) % 100 h, {_NOW_S} - CAST(floor(epoch(ts)) AS BIGINT) age FROM v_event WHERE event_type = 'view')"""))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import resolution as r
-from .q_explorer import buyer_12m_yoy
 from .q_search import RATED_SQL, rated
 from .registry import SQL, query
 from .views import AS_OF, Views, sql
@@ -49,7 +48,7 @@ FOCUS = ["010305", "020411", "031107", "040201"]
 
 
 def _codes6(v: Views) -> DataFrame:
-    return v.shipment.filter("day >= date'2001-01-01'").groupBy("entity_id").agg(F.collect_set("code6").alias("codes"))
+    return v.shipments("entity_id", "day", "code6").filter("day >= date'2001-01-01'").groupBy("entity_id").agg(F.collect_set("code6").alias("codes"))
 
 
 @query("product_fit", sql(f"SELECT id, CAST({_FIT_SQL} AS BIGINT) fit FROM (SELECT id, codes, {FOCUS} f6 FROM v_entity LEFT JOIN c ON id = entity_id)", c=_CODES6))
@@ -74,9 +73,17 @@ def final_score(v: Views) -> DataFrame:
     supplier has delivered lately.
     """
     c = F.col
-    yoy = buyer_12m_yoy(v).select(c("entity_id").alias("y_id"), "n_12m", "growth")
-    home = v.shipment.filter("day >= date'2001-06-01'").join(v.supplier.filter("is_home"), "supplier_id").select(c("entity_id").alias("h_id")).distinct()
-    rows = v.entity.join(_codes6(v), c("id") == c("entity_id"), "left").join(yoy, c("id") == c("y_id"), "left").join(home, c("id") == c("h_id"), "left")
+    # one pass over the shipments of two years gives all that is known of an entity
+    day, year = c("day"), F.add_months(F.to_date(F.lit(AS_OF)), -12)
+    two_years = v.shipments("entity_id", "supplier_id", "day", "value", "code6").filter((day >= F.add_months(F.to_date(F.lit(AS_OF)), -24)) & (day < AS_OF))
+    home = v.supplier.filter("is_home").select("supplier_id", F.lit(True).alias("home"))
+    known = two_years.join(home, "supplier_id", "left").groupBy("entity_id").agg(
+        F.count_if(day >= year).alias("n_12m"), F.sum(F.when(day >= year, c("value"))).alias("late"), F.sum(F.when(day < year, c("value"))).alias("early"),
+        F.collect_set(F.when(day >= "2001-01-01", c("code6"))).alias("all_codes"), F.max(c("home") & (day >= "2001-06-01")).alias("has_home"),
+    )
+    growth = F.when(c("early") > 0, F.floor((F.coalesce("late", F.lit(0)) - c("early")) * 100.0 / c("early") + 0.5))
+    known = known.withColumns({"growth": growth, "codes": F.when(F.size("all_codes") > 0, c("all_codes")), "h_id": F.when(c("has_home"), c("entity_id"))})
+    rows = v.entity.join(known, c("id") == c("entity_id"), "left")
     points = lambda col, n: F.when(c(col).isNotNull(), n).otherwise(0)
     return rows.select("id", scoring.final_score(
         F.least(F.lit(100), F.coalesce("n_12m", F.lit(0)) * 10), F.when(c("growth").isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), 50 + F.floor(c("growth") / 2)))),
@@ -108,10 +115,10 @@ def mission_priority(v: Views) -> DataFrame:
 
     Both sides of the matrix are configuration: headings and countries.
     """
-    shipped = v.shipment.filter("day >= date'2001-06-01'").join(v.supplier, "supplier_id").groupBy("heading", F.col("supplier_country").alias("country"))
+    shipped = v.shipments("day", "supplier_id", "heading", "order_id", "line", "part_id", "value").filter("day >= date'2001-06-01'").join(v.supplier, "supplier_id").groupBy("heading", F.col("supplier_country").alias("country"))
     done = shipped.agg(F.count("*").alias("n"), F.max("day").alias("last_day"), F.max(F.struct("day", "order_id", "line", "part_id", "value"))["value"].alias("v")).withColumn("last_value", F.col("v") % 7)
-    countries = v.table("nation").agg(F.collect_set("n_name").alias("all"))  # 25 names in one row
-    matrix = v.taxonomy.select("heading").distinct().join(F.broadcast(countries), F.lit(True)).select("heading", F.explode("all").alias("country"))
+    countries = F.array(*[F.lit(r[0]) for r in v.table("nation").select("n_name").distinct().collect()])  # 25 names, as settings are
+    matrix = v.taxonomy.select("heading").distinct().select("heading", F.explode(countries).alias("country"))
     rows = matrix.join(done, ["heading", "country"], "left").filter(F.col("last_day").isNull() | (F.col("last_day") < F.date_sub(F.to_date(F.lit(AS_OF)), 10)))
     weight = F.when(F.col("heading") < "0300", 3.0).otherwise(1.0) * F.when(F.col("country") < "NATION_2", 2.0).otherwise(1.0)
     priority = weight / (1 + F.coalesce("n", F.lit(0)) / 15.0) * F.when(F.col("n").isNull(), 1.5).otherwise(1.0) * F.when(F.col("last_value") == 0, 0.4).otherwise(1.0)
@@ -186,15 +193,20 @@ _RAW_SQL = """SELECT *, md5(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ',
 
 def raw_entities(v: Views) -> DataFrame:
     """Rows of several sources for the same entities, in order of arrival (seq), with their content hash."""
-    c, k = F.col, F.col("id")
-    cols = ["id", "name", "country", "email", "phone", "website", "confidence", "source", "seq", "codes"]
-    text = lambda x: F.col(x).cast("string")
+    k, text = F.col("id"), lambda x: F.col(x).cast("string")
     none = F.lit(None).cast("string")
-    one = v.entity.withColumns({"seq": k * 4, "codes": F.array(text("n_codes"))}).select(*cols)
-    two = v.entity.filter(k % 2 == 0).select("id", F.concat(F.lit("  "), F.upper("name"), F.lit(" ")).alias("name"), "country", F.when(k % 2 == 0, F.concat(F.lit("sales@x"), k, F.lit(".example.com"))).alias("email"), none.alias("phone"), F.concat(F.lit("https://x"), k, F.lit(".example.com")).alias("website"), (60 + k % 30).alias("confidence"), F.lit("other").alias("source"), (k * 4 + 1).alias("seq"), F.array(F.lit("90"), text("n_codes")).alias("codes"))
-    three = v.entity.filter(k % 3 == 0).select("id", F.replace("name", F.lit("#"), F.lit(" # ")).alias("name"), "country", F.concat(F.lit("info@y"), k, F.lit(".example.com")).alias("email"), F.concat(F.lit("+33"), 10000000 + k).alias("phone"), none.alias("website"), (50 + k % 50).alias("confidence"), F.lit("third").alias("source"), (k * 4 + 2).alias("seq"), F.array(F.lit("91")).alias("codes"))
-    four = v.entity.filter(k % 5 == 0).select("id", "name", "country", F.concat(F.lit("new@z"), k, F.lit(".example.com")).alias("email"), none.alias("phone"), none.alias("website"), F.lit(77).cast("long").alias("confidence"), "source", (k * 4 + 3).alias("seq"), F.array(F.lit("92")).alias("codes"))
-    return one.unionByName(two).unionByName(three).unionByName(four).withColumn("hash", r.content_hash(c("name"), c("country")))
+
+    def row(n: int, name, email, phone, website, confidence, source, codes):
+        return F.struct(name.alias("name"), F.col("country"), email.alias("email"), phone.alias("phone"), website.alias("website"), confidence.cast("long").alias("confidence"), source.alias("source"), (k * 4 + n).alias("seq"), codes.alias("codes"))
+
+    c = F.col
+    rows = [  # an entity's own row, and those of other sources that some entities have
+        row(0, c("name"), c("email"), c("phone"), c("website"), c("confidence"), c("source"), F.array(text("n_codes"))),
+        F.when(k % 2 == 0, row(1, F.concat(F.lit("  "), F.upper("name"), F.lit(" ")), F.concat(F.lit("sales@x"), k, F.lit(".example.com")), none, F.concat(F.lit("https://x"), k, F.lit(".example.com")), 60 + k % 30, F.lit("other"), F.array(F.lit("90"), text("n_codes")))),
+        F.when(k % 3 == 0, row(2, F.replace("name", F.lit("#"), F.lit(" # ")), F.concat(F.lit("info@y"), k, F.lit(".example.com")), F.concat(F.lit("+33"), 10000000 + k), none, 50 + k % 50, F.lit("third"), F.array(F.lit("91")))),
+        F.when(k % 5 == 0, row(3, c("name"), F.concat(F.lit("new@z"), k, F.lit(".example.com")), none, none, F.lit(77), c("source"), F.array(F.lit("92")))),
+    ]
+    return v.entity.select("id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("id", "r.*").withColumn("hash", r.content_hash(c("name"), c("country")))
 
 
 @query("content_hash", sql("SELECT seq, hash FROM raw", raw=_RAW_SQL))
@@ -253,7 +265,7 @@ def stale_rows(v: Views) -> DataFrame:
 @query("codes_union", sql("SELECT hash, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') codes, array_to_string(list_sort(list_intersect(list_distinct(flatten(list(codes))), ['90', '91', '5', '6'])), ',') named FROM raw GROUP BY 1", raw=_RAW_SQL))
 def codes_union(v: Views) -> DataFrame:
     """United codes of a key, and those of them that are named."""
-    by = raw_entities(v).groupBy("hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
+    by = raw_entities(v).select("hash", F.explode("codes").alias("code")).groupBy("hash").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     named = F.array_sort(F.array_intersect("codes", F.array(*map(F.lit, ("90", "91", "5", "6")))))
     return by.select("hash", F.array_join("codes", ",").alias("codes"), F.array_join(named, ",").alias("named"))
 

@@ -107,7 +107,7 @@ CODES_SQL = "SELECT entity_id, list_sort(list(DISTINCT heading)) codes FROM v_sh
 
 def entity_codes(v: Views) -> DataFrame:
     """The sorted headings that each entity ships."""
-    return v.shipment.groupBy("entity_id").agg(F.array_sort(F.collect_set("heading")).alias("codes"))
+    return v.shipments("entity_id", "heading").groupBy("entity_id").agg(F.array_sort(F.collect_set("heading")).alias("codes"))
 
 
 @query("filter_code", sql("SELECT id, name, array_to_string(codes, ',') codes FROM v_entity JOIN codes ON id = entity_id WHERE list_contains(codes, '0111')", codes=CODES_SQL))
@@ -129,12 +129,12 @@ def filter_text(v: Views) -> DataFrame:
 
 @query("filter_prefix", sql("SELECT code6, count(*) n FROM v_shipment WHERE code6 LIKE '03%' GROUP BY 1"))
 def filter_prefix(v: Views) -> DataFrame:
-    return v.shipment.filter(F.col("code6").startswith("03")).groupBy("code6").agg(F.count("*").alias("n"))
+    return v.shipments("code6").filter(F.col("code6").startswith("03")).groupBy("code6").agg(F.count("*").alias("n"))
 
 
 @query("filter_recent", sql("SELECT flag, count(*) n, isum(value) AS value FROM v_shipment WHERE day >= DATE '2001-11-05' - 365 GROUP BY 1"))
 def filter_recent(v: Views) -> DataFrame:
-    return v.shipment.filter("day >= date_sub(date'2001-11-05', 365)").groupBy("flag").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    return v.shipments("day", "flag", "value").filter("day >= date_sub(date'2001-11-05', 365)").groupBy("flag").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 @query("filter_visible", sql("SELECT coalesce(hidden_reason, '') reason, count(*) n FROM rated GROUP BY 1", rated=RATED_SQL))
@@ -173,7 +173,7 @@ def sort_bool_first(v: Views) -> DataFrame:
 @query("same_chapter_first", sql("SELECT heading, n, rn AS place FROM (SELECT heading, n, row_number() OVER (ORDER BY (left(heading, 2) = '04') DESC, n DESC, heading) rn FROM (SELECT heading, count(*) n FROM v_shipment GROUP BY 1)) WHERE rn <= 30"))
 def same_chapter_first(v: Views) -> DataFrame:
     """Headings by traffic, those of one chapter first."""
-    counted = v.shipment.groupBy("heading").agg(F.count("*").alias("n"))
+    counted = v.shipments("heading").groupBy("heading").agg(F.count("*").alias("n"))
     return s.page(counted, [F.col("heading").startswith("04").desc(), F.desc("n"), F.asc("heading")], 1, 30).select("heading", "n", F.col("rank").alias("place"))
 
 

@@ -316,9 +316,9 @@ def tidy_name(v: Views) -> DataFrame:
 @query("query_generator", sql("SELECT heading, country, replace(replace(tpl, '{p}', heading), '{c}', country) query, coalesce(n, 0) n FROM (SELECT * FROM (SELECT DISTINCT heading FROM v_taxonomy), (SELECT DISTINCT n_name country FROM nation), (VALUES ('{p} importers {c}'), ('{c} {p} Einkauf')) x(tpl)) LEFT JOIN (SELECT heading, supplier_country country, count(*) n FROM v_shipment JOIN v_supplier USING (supplier_id) GROUP BY 1, 2) USING (heading, country)"))
 def query_generator(v: Views) -> DataFrame:
     """Search queries for each product, country and template, with what is known of the pair."""
-    known = v.shipment.join(v.supplier, "supplier_id").groupBy("heading", F.col("supplier_country").alias("country")).agg(F.count("*").alias("n"))
-    names = v.table("nation").agg(F.collect_set("n_name").alias("all"))  # 25 names in one row
-    pairs = v.taxonomy.select("heading").distinct().join(F.broadcast(names), F.lit(True)).select("heading", F.explode("all").alias("country"))
+    known = v.shipments("supplier_id", "heading").join(v.supplier, "supplier_id").groupBy("heading", F.col("supplier_country").alias("country")).agg(F.count("*").alias("n"))
+    names = F.array(*[F.lit(r[0]) for r in v.table("nation").select("n_name").distinct().collect()])  # 25 names, as settings are
+    pairs = v.taxonomy.select("heading").distinct().select("heading", F.explode(names).alias("country"))
     rows = pairs.join(known, ["heading", "country"], "left").withColumn("tpl", F.explode(F.array(F.lit("{p} importers {c}"), F.lit("{c} {p} Einkauf"))))
     return rows.select("heading", "country", F.replace(F.replace("tpl", F.lit("{p}"), F.col("heading")), F.lit("{c}"), F.col("country")).alias("query"), F.coalesce("n", F.lit(0)).alias("n"))
 

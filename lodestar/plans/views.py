@@ -64,13 +64,26 @@ class Views:
         heading = F.concat(chapter, F.lpad(F.regexp_extract("p_brand", r"(\d+)$", 1), 2, "0"))
         return self.table("part").select(F.col("p_partkey").alias("part_id"), chapter.alias("chapter"), heading.alias("heading"), F.concat(heading, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("code6"), F.col("p_name").alias("description"))
 
-    @cached_property
-    def shipment(self) -> DataFrame:
-        """A row for each line item; joins are by key, and Spark picks their form by measured sizes."""
-        li, o = self.table("lineitem"), self.table("orders").select("o_orderkey", "o_custkey")
-        return li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(self.taxonomy.drop("description"), F.col("l_partkey") == F.col("part_id")).select(
-            F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.to_date("l_shipdate").alias("day"), F.col("o_custkey").alias("entity_id"), F.col("l_suppkey").alias("supplier_id"),
-            "part_id", "code6", "heading", "chapter", F.col("l_quantity").cast("long").alias("weight"), _cents("l_extendedprice").alias("value"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    def shipments(self, *columns: str) -> DataFrame:
+        """A row for each line item with the columns asked for.
+
+        Only what they need is joined: orders for entity_id, parts for the codes.
+        Every line item has its order and its part, so a join changes no row, but
+        Catalyst cannot know that and would shuffle all line items for each.
+        Joins are by key, and Spark picks their form by measured sizes.
+        """
+        of_item = {
+            "order_id": F.col("l_orderkey"), "line": F.col("l_linenumber"), "day": F.to_date("l_shipdate"), "supplier_id": F.col("l_suppkey"), "part_id": F.col("l_partkey"),
+            "weight": F.col("l_quantity").cast("long"), "value": _cents("l_extendedprice"), "flag": F.col("l_returnflag"), "status": F.col("l_linestatus"),
+        }
+        of_part = {"code6", "heading", "chapter"}
+        keys = [k for k, needed in (("l_orderkey", "entity_id" in columns), ("l_partkey", bool(of_part & set(columns)))) if needed]
+        rows = self.table("lineitem").select(*keys, *[of_item[c].alias(c) for c in columns if c in of_item])
+        if "entity_id" in columns:
+            rows = rows.join(self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("entity_id")), "l_orderkey")
+        if of_part & set(columns):
+            rows = rows.join(self.taxonomy.select(F.col("part_id").alias("l_partkey"), *[c for c in columns if c in of_part]), "l_partkey")
+        return rows.select(*columns)
 
     @cached_property
     def event(self) -> DataFrame:
