@@ -12,13 +12,39 @@ MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaa
 #: Legal forms that are no part of a name (fixed values).
 LEGAL_FORMS = ["ag", "bv", "co", "corp", "gmbh", "inc", "llc", "ltd", "sa", "sarl", "spa", "srl"]
 #: Hosts of mail boxes that anyone can have (fixed values).
-FREEMAIL = ["gmail.com", "gmx.de", "hotmail.com", "outlook.com", "yahoo.com"]
-#: Local parts that name a role, the most useful first (fixed values).
-ROLES = ["purchasing", "einkauf", "import", "info", "sales", "office", "contact"]
-#: Local parts that are never a contact (fixed values).
+FREEMAIL = [
+    "gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.uk", "yahoo.fr", "yahoo.de", "hotmail.com", "hotmail.co.uk", "hotmail.fr", "outlook.com", "live.com", "msn.com", "aol.com", "icloud.com", "me.com",
+    "gmx.de", "gmx.net", "gmx.at", "web.de", "t-online.de", "freenet.de", "orange.fr", "wanadoo.fr", "free.fr", "laposte.net", "libero.it", "virgilio.it", "naver.com", "daum.net", "qq.com", "163.com", "126.com",
+    "yandex.ru", "mail.ru", "protonmail.com", "proton.me", "zoho.com", "bigpond.com", "seznam.cz", "wp.pl",
+]
+#: Words that a local part of a role begins with, by rank: 0 are the most useful (fixed values).
+ROLE_RANKS = {
+    0: "purchasing purchase procurement buying buyer sourcing einkauf achat compras acquisti inkoop import",
+    1: "trade trading commercial export",
+    2: "info contact kontakt office mail hello hallo general enquiries inquiries enquiry inquiry",
+    3: "service sales vertrieb verkauf ventas vendite order bestellung customerservice",
+    4: "admin support",
+}
+#: Ranks of local parts that name no role (fixed values).
+OTHER_RANK, PERSON_RANK = 5, 6
+#: Beginnings of local parts that are never a contact, and marks of addresses that soon end (fixed values).
+NEVER = r"^(no-?reply|do-?not-?reply|bounce|mailer-daemon|postmaster|abuse|webmaster|privacy|datenschutz|gdpr|dpo|jobs|careers|karriere|bewerbung|hr|press|presse|newsletter)\b"
+DISPOSABLE = r"(mailinator|tempmail|10minutemail|guerrillamail|trashmail)"
+#: Hosts and endings of what looks like an address on a page and is none (fixed values).
+NO_ADDRESS = r"@(sentry|example\.|localhost|test\.|domain\.|sample\.|placeholder\.|wixpress\.com|jsdelivr|cloudflare|googletagmanager|hotjar|intercom|sentry-next)"
+NO_ADDRESS_END = r"\.(png|jpe?g|gif|svg|webp|css|js|ico)$"
+#: Local parts that are never a contact, in free text (fixed values).
 BLOCKED_LOCALS = ["noreply", "no-reply", "privacy", "abuse", "postmaster"]
 #: Second-level labels under which names are registered (fixed values).
-SECOND_LEVEL = ["ac", "co", "com", "gov", "net", "org"]
+SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "or", "ne"]
+#: Numbers after a word that announces them, and international ones (fixed values).
+LABELLED_PHONE = r"(?i)(?:tel(?:efon|ephone|éfono|efone)?|phone|fon|t\.|ph\.|call|電話|电话|전화)\s*[:.]?\s*(\+?[0-9][0-9\s().\-/]{6,20}[0-9])"
+WORLD_PHONE = r"((?:\+|00)[0-9][0-9\s().-]{7,17}[0-9])"
+#: Words of links that lead to contacts (fixed values).
+CONTACT_LINK = r"(?i)(contact|kontakt|contacto|contatti|impressum|about|over-ons|uber-uns|ueber-uns|qui-sommes|nous-contacter|company|unternehmen|empresa|azienda|team|imprint|会社|お問い合わせ|联系|关于|회사|문의)"
+#: Labels of a link to the next page, and addresses of numbered pages (fixed values).
+NEXT_LABEL = r"(?i)^(next|next page|›|»|>|weiter|nächste|suivant|suivante|volgende|siguiente|successiva|próxima|次へ|下一页|다음)$"
+PAGE_NUMBER = r"(?i)([?&](page|p|pg|seite|pagina|start|offset)=[0-9]+)|(/page/[0-9]+)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ()./-]{6,20}[0-9]"
 
@@ -56,13 +82,27 @@ def website(url: Column, social: tuple[str, ...] = ("facebook.com", "linkedin.co
     return F.when(~bad, F.concat(F.lit("https://"), name))
 
 
+def email_kind(email: Column) -> Column:
+    """(kind, rank) of an address: role, personal or other; the lower the rank, the better."""
+    local = F.substring_index(F.lower(F.trim(email)), "@", 1)
+    role = F.coalesce(*[F.when(local.rlike(f"^(?:{'|'.join(words.split())})"), rank) for rank, words in ROLE_RANKS.items()])
+    personal = local.rlike(r"^[a-z]{2,}[._-][a-z]{2,}$") | local.rlike(r"^[a-z]\.?[a-z]{3,}$")
+    kind = F.when(role.isNotNull(), "role").when(personal, "personal").otherwise("other")
+    return F.struct(kind.alias("kind"), F.coalesce(role, F.when(personal, PERSON_RANK).otherwise(OTHER_RANK)).alias("rank"))
+
+
 def email_status(email: Column) -> Column:
     """freemail, role, personal or domain; null for what is no address."""
     address = F.lower(F.trim(email))
-    local, domain = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
-    role = local.rlike(f"^(?:{'|'.join(ROLES)})") | F.split(local, r"[._-]")[0].isin(ROLES)
-    personal = local.rlike(r"^[a-z]{2,}[._-][a-z]{2,}$") | local.rlike(r"^[a-z]\.?[a-z]{3,}$")
-    return F.when(address.rlike(f"^{EMAIL}$"), F.when(domain.isin(FREEMAIL), "freemail").when(role, "role").when(personal, "personal").otherwise("domain"))
+    kind = email_kind(email)["kind"]
+    return F.when(address.rlike(f"^{EMAIL}$"), F.when(F.substring_index(address, "@", -1).isin(FREEMAIL), "freemail").when(kind == "other", "domain").otherwise(kind))
+
+
+def email_usable(email: Column) -> Column:
+    """Whether an address may be a contact: well formed, read by someone, there to stay."""
+    address = F.lower(F.trim(email))
+    ok = address.rlike(f"^{EMAIL}$") & ~F.substring_index(address, "@", 1).rlike(NEVER) & ~address.rlike(DISPOSABLE)
+    return F.coalesce(ok, F.lit(False))
 
 
 def phone(number: Column) -> Column:
@@ -112,6 +152,77 @@ def links(html: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)))
 
 
+def scripts_of_data(html: Column) -> Column:
+    """The texts of a page's structured data."""
+    return F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)
+
+
+def data_values(html: Column, *names: str) -> Column:
+    """All text values of these names in a page's structured data, at any depth, in order."""
+    pattern = F.lit(rf'(?i)"(?:{"|".join(names)})"\s*:\s*"([^"]*)"')
+    return F.flatten(F.transform(scripts_of_data(html), lambda s: F.regexp_extract_all(s, pattern, 1)))
+
+
+def page_emails(html: Column) -> Column:
+    """All distinct addresses of a page, sorted: of mail links, hidden as hex, in structured data, in the text."""
+    linked = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']mailto:([^"'?]+)"""), 1)
+    hidden = F.regexp_extract_all(html, F.lit(r"""(?i)(?:data-cfemail=["']|/cdn-cgi/l/email-protection#)([0-9a-f]+)"""), 1)
+    named = F.transform(data_values(html, "email"), lambda e: F.regexp_replace(e, "mailto:", ""))
+    found = F.concat(F.transform(linked, lambda e: F.replace(e, F.lit("%40"), F.lit("@"))), F.transform(hidden, email_from_hex), named, emails(html_text(html)))
+    clean = F.transform(F.array_compact(found), lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^[.,;:]+|[.,;:]+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(clean, lambda e: e.rlike(f"^{EMAIL}$") & ~e.rlike(NO_ADDRESS) & ~e.rlike(NO_ADDRESS_END))))
+
+
+def page_phones(html: Column) -> Column:
+    """The digits of all distinct numbers of a page, sorted: of call links, in structured data, announced or international ones in the text."""
+    linked = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']tel:([^"']+)"""), 1)
+    text = html_text(html)
+    found = F.concat(linked, data_values(html, "telephone", "phone"), F.regexp_extract_all(text, F.lit(LABELLED_PHONE), 1), F.regexp_extract_all(text, F.lit(WORLD_PHONE), 1))
+    digits = F.transform(found, lambda p: F.regexp_replace(p, "[^0-9]", ""))
+    return F.array_sort(F.array_distinct(F.filter(digits, lambda d: F.length(d).between(8, 15) & ~d.rlike("^(19|20)[0-9]{6,}$"))))
+
+
+def meta_description(html: Column, longest: int = 400) -> Column:
+    """What a page says of itself; null if nothing."""
+    tag = F.regexp_extract(html, r"""(?is)(<meta\s[^>]*(?:name=["']description["']|property=["']og:description["'])[^>]*>)""", 1)
+    content = F.regexp_extract(tag, r"""(?is)content=["']([^"']*)["']""", 1)
+    return F.nullif(F.substring(F.trim(F.regexp_replace(content, r"\s+", " ")), 1, longest), F.lit(""))
+
+
+def anchors(html: Column, url: Column) -> Column:
+    """(href, label) of the links to the same host, hrefs made absolute and without their fragment, in order."""
+    whole = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>"""), 0)
+    site, base = F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1), F.regexp_extract(url, r"^([a-z]+://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    base = F.when(base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))
+    scheme = F.regexp_extract(url, r"^([a-z]+:)", 1)
+
+    def absolute(href: Column) -> Column:
+        full = F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(base, href))
+        return F.regexp_replace(full, "#.*$", "")
+
+    raw = F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"""(?is)<a\s[^>]*href="([^"]*)\"""", 1).alias("href"), F.trim(F.regexp_replace(F.regexp_replace(a, r"(?s)<[^>]*>", " "), r"\s+", " ")).alias("label")))
+    kept = F.filter(raw, lambda x: ~x["href"].rlike("(?i)^(mailto:|tel:|javascript:|#)"))
+    full = F.transform(kept, lambda x: F.struct(absolute(x["href"]).alias("href"), x["label"].alias("label")))
+    return F.filter(full, lambda x: host(x["href"]).eqNullSafe(host(url)))
+
+
+def contact_links(html: Column, url: Column) -> Column:
+    """The distinct links of a page that lead to contacts, sorted."""
+    found = F.filter(anchors(html, url), lambda x: x["href"].rlike(CONTACT_LINK) | x["label"].rlike(CONTACT_LINK))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x["href"])))
+
+
+def paging_links(html: Column, url: Column) -> Column:
+    """The distinct links of a page that go on with its list, sorted: labelled `next`, or numbered or lettered ones under the same path."""
+    path = lambda u: F.regexp_extract(u, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    bare = lambda u: F.regexp_replace(path(u), "/$", "")
+    folder = F.regexp_replace(path(url), "/[^/]*$", "")
+    near = lambda x: (bare(x["href"]) == bare(url)) | path(x["href"]).startswith(folder)
+    goes_on = lambda x: x["label"].rlike(NEXT_LABEL) | (near(x) & (x["href"].rlike(PAGE_NUMBER) | x["label"].rlike("^([0-9]{1,3}|[A-Z])$")))
+    found = F.filter(anchors(html, url), lambda x: (x["href"] != url) & goes_on(x))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x["href"])))
+
+
 def name_tokens(name: Column) -> Column:
     """Words of a company's name that identify it."""
     return F.filter(words(name, 3), lambda w: ~w.isin(LEGAL_FORMS))

@@ -14,8 +14,8 @@ from ..functions.text import norm, words
 #: Words that say nothing in a search (fixed values).
 STOP_WORDS = ["and", "for", "from", "of", "the", "with"]
 #: Points of a whole word or of a prefix in each field (fixed values).
-FIELD_WEIGHTS = {"own": 6.0, "context": 4.0, "head": 2.5}
-OTHER_WEIGHTS = {"own": 4.0, "context": 3.0, "head": 2.0}
+FIELD_WEIGHTS = {"own": 6.0, "context": 4.0, "head": 2.5, "en": 3.0, "enctx": 1.5}
+OTHER_WEIGHTS = {"own": 4.0, "context": 3.0, "head": 2.0, "en": 2.5, "enctx": 1.2}
 
 
 def tree(leaves: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def expand(text: str, synonyms: Mapping[str, Sequence[str]]) -> list[str]:
 def ranked(nodes: DataFrame, text: str, synonyms: Mapping[str, Sequence[str]] | None = None, preferred: Sequence[str] = (), boosted: Sequence[str] = (), limit: int = 20) -> DataFrame:
     """Codes by how well they fit a query, best first.
 
-    `nodes` has code, level and the normalised fields own, context and head. Each
+    `nodes` has code, level and the normalised fields own, context, head, and en
+    and enctx in a second language. Each
     word scores its best field, further words only the best of all of them. No
     join with the words: a query has a few, so each is an expression.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import contacts as k_
 from ..operators import taxonomy as x
 from .registry import query
 from .views import Views, sql
@@ -33,11 +34,11 @@ def taxonomy_tree(v: Views) -> DataFrame:
     return x.tree(v.taxonomy)
 
 
-_LABEL_SQL = "SELECT code6 code, heading head_code, min(description) own, max(description) context, min(split_part(description, ' ', 2)) head FROM v_taxonomy GROUP BY 1, 2"
+_LABEL_SQL = "SELECT code6 code, heading head_code, min(description) own, max(description) context, min(split_part(description, ' ', 2)) head, min(p_brand || ' widget') en, max(split_part(description, ' ', 1) || ' goods') enctx FROM v_taxonomy GROUP BY 1, 2"
 
 
 def _labelled(v: Views) -> DataFrame:
-    return v.taxonomy.groupBy(F.col("code6").alias("code"), F.col("heading").alias("head_code")).agg(F.min("description").alias("own"), F.max("description").alias("context"), F.min(F.split_part("description", F.lit(" "), F.lit(2))).alias("head"))
+    return v.taxonomy.groupBy(F.col("code6").alias("code"), F.col("heading").alias("head_code")).agg(F.min("description").alias("own"), F.max("description").alias("context"), F.min(F.split_part("description", F.lit(" "), F.lit(2))).alias("head"), F.min(F.concat("p_brand", F.lit(" widget"))).alias("en"), F.max(F.concat(F.split_part("description", F.lit(" "), F.lit(1)), F.lit(" goods"))).alias("enctx"))
 
 
 @query("taxonomy_labels", sql("SELECT code, array_to_string(list_filter([head, context, own], lambda p, i: length(p) > 0 AND lower(p) NOT IN ('other', 'others') AND (i = 1 OR p IS DISTINCT FROM [head, context, own][i - 1])), ' › ') path, CASE WHEN length(trim(split_part(context || '; ' || own, ';', 1))) > 6 THEN regexp_replace(left(trim(split_part(context || '; ' || own, ';', 1)), 6), '\\s+\\S*$', '') || '…' ELSE trim(split_part(context || '; ' || own, ';', 1)) END short FROM l", l=_LABEL_SQL))
@@ -47,11 +48,11 @@ def taxonomy_labels(v: Views) -> DataFrame:
     return _labelled(v).select("code", x.label_path(c("head"), c("context"), c("own")).alias("path"), t.short_title(F.concat(c("context"), F.lit("; "), c("own")), 6).alias("short"))
 
 
-_NODES_SQL = f"SELECT code, 6 AS level, {_norm('own')} own, {_norm('context')} context, {_norm('head')} head FROM l"
+_NODES_SQL = f"SELECT code, 6 AS level, {', '.join(f'{_norm(f)} {f}' for f in x.FIELD_WEIGHTS)} FROM l"
 
 
 def _nodes(v: Views) -> DataFrame:
-    return _labelled(v).select("code", F.lit(6).alias("level"), *[t.norm(F.col(k)).alias(k) for k in ("own", "context", "head")])
+    return _labelled(v).select("code", F.lit(6).alias("level"), *[t.norm(F.col(k)).alias(k) for k in x.FIELD_WEIGHTS])
 
 
 def _score_sql(base: list[str], other: list[str], preferred: str, boosted: str) -> str:
@@ -67,7 +68,7 @@ def _score_sql(base: list[str], other: list[str], preferred: str, boosted: str)
         + CASE WHEN starts_with(own, ' {phrase}') OR starts_with(head, ' {phrase}') THEN 12 ELSE 0 END + CASE WHEN code = '{preferred}' THEN 40 ELSE 0 END + CASE WHEN left(code, 4) = '{boosted}' THEN 20 ELSE 0 END raw FROM nodes) WHERE m > 0 OR e > 0 OR code = '{preferred}' ORDER BY raw DESC, code LIMIT 20"""
 
 
-_QUERY = "Red widgets for the ring"
+_QUERY = "Red goods and widgets for the ring"
 _SYNONYMS = {"ring": ["steel bolt", "gear"], "valve": ["gadget"]}
 
 
@@ -127,11 +128,12 @@ def classify_code_gate(v: Views) -> DataFrame:
     return rows.select("part_id", F.array_join(F.array_sort(x.classify(F.col("acts"), F.col("named"), _NARROW, _GATED)), ",").alias("codes"))
 
 
-@query("classify_name", "SELECT p_partkey part_id, regexp_matches(lower(p_name), 'ring|bolt') AND regexp_matches(lower(p_name), 'red|blue|steel') AND (p_size > 25 OR regexp_matches(lower(p_type), 'promo|economy')) fits FROM part")
+@query("classify_name", "SELECT p_partkey part_id, regexp_matches(lower(p_name), 'bolt|ring') AND regexp_matches(lower(p_name), 'blue|red|steel') AND (regexp_matches(lower(p_name), 'steel') OR p_size > 25) fits FROM part")
 def classify_name(v: Views) -> DataFrame:
-    """A trade word and a commodity word, and either a specific or a strong sign."""
-    n = F.lower("p_name")
-    return v.table("part").select(F.col("p_partkey").alias("part_id"), (n.rlike("ring|bolt") & n.rlike("red|blue|steel") & ((F.col("p_size") > 25) | F.lower("p_type").rlike("promo|economy"))).alias("fits"))
+    """A trade word and a commodity word, and either a specific word or a strong sign; the words are relations."""
+    words = lambda *w: v.spark.createDataFrame([(x,) for x in w], "word string")
+    fits = k_.fits_name("p_name", words("ring", "bolt"), words("red", "blue", "steel"), words("steel"), F.col("p_size") > 25)
+    return v.table("part").select(F.col("p_partkey").alias("part_id"), fits.alias("fits"))
 
 
 _PREFIXES = {"01": "Economy", "0111": "Economy eleven", "02": "Large", "021": "Large one", "0": "Any"}
@@ -139,9 +141,9 @@ _PREFIXES = {"01": "Economy", "0111": "Economy eleven", "02": "Large", "021": "L
 
 @query("industry_prefix", sql(f"SELECT code6, arg_max(label, length(prefix)) label FROM (SELECT DISTINCT code6 FROM v_taxonomy) LEFT JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _PREFIXES.items())}) v(prefix, label) ON starts_with(code6, prefix) GROUP BY 1"))
 def industry_prefix(v: Views) -> DataFrame:
-    """The label of the longest prefix: from the shortest to the longest, the last that fits."""
-    label = F.coalesce(*[F.when(F.col("code6").startswith(p), name) for p, name in sorted(_PREFIXES.items(), key=lambda kv: -len(kv[0]))])
-    return v.taxonomy.select("code6").distinct().withColumn("label", label)
+    """The label of the longest prefix that fits, from a relation of prefixes."""
+    labels = v.spark.createDataFrame(list(_PREFIXES.items()), "prefix string, label string")
+    return k_.prefix_labels(v.taxonomy.select("code6").distinct(), "code6", labels)
 
 
 _EMAILS_SQL = f"""list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower(s), '\\s*[(\\[]\\s*at\\s*[)\\]]\\s*', '@', 'g'), '\\s*[(\\[]\\s*dot\\s*[)\\]]\\s*', '.', 'g'), '{t.EMAIL}'),
@@ -166,20 +168,46 @@ def phone_extract(v: Views) -> DataFrame:
     return _contact_text(v).select("doc_id", F.array_join(t.phones(F.col("s")), ",").alias("phones"))
 
 
-_ADDRESS_SQL = "SELECT c_custkey id, CASE c_custkey % 7 WHEN 0 THEN 'Info@Firm' || c_custkey || '.de' WHEN 1 THEN 'max.muster@firm.example.co.uk' WHEN 2 THEN 'someone' || c_custkey || '@gmail.com' WHEN 3 THEN 'jdoe@firm' || c_custkey || '.com' WHEN 4 THEN 'x1@firm.com' WHEN 5 THEN 'not an address' END email FROM customer"
-_STATUS_SQL = f"""CASE WHEN regexp_matches(a, '^{t.EMAIL}$') THEN CASE WHEN split_part(a, '@', 2) IN ({', '.join(f"'{f}'" for f in t.FREEMAIL)}) THEN 'freemail' WHEN regexp_matches(split_part(a, '@', 1), '^(?:{'|'.join(t.ROLES)})') OR list_contains({t.ROLES}, regexp_extract(split_part(a, '@', 1), '^[^._-]*')) THEN 'role'
-    WHEN regexp_matches(split_part(a, '@', 1), '^[a-z]{{2,}}[._-][a-z]{{2,}}$') OR regexp_matches(split_part(a, '@', 1), '^[a-z]\\.?[a-z]{{3,}}$') THEN 'personal' ELSE 'domain' END END"""
+_ADDRESS_SQL = """SELECT c_custkey id, 'www.firm' || (c_custkey % 50) || '.com' site_host, 'page' || c_custkey % 3 source_url, CASE c_custkey % 13 WHEN 0 THEN 'Info@Firm' || c_custkey % 50 || '.com' WHEN 1 THEN 'max.muster@firm' || c_custkey % 50 || '.com' WHEN 2 THEN 'someone' || c_custkey || '@gmail.com' WHEN 3 THEN 'jdoe@firm' || c_custkey || '.com'
+    WHEN 4 THEN 'x1@firm' || c_custkey % 50 || '.com' WHEN 5 THEN 'not an address' WHEN 6 THEN 'einkauf-' || c_custkey || '@mail.firm' || c_custkey % 50 || '.com' WHEN 7 THEN 'no-reply@firm' || c_custkey % 50 || '.com' WHEN 8 THEN 'buyer@mailinator.com' WHEN 9 THEN 'vertrieb@firm' || c_custkey % 50 || '.com' WHEN 10 THEN 'trading@other.co.uk' END email FROM customer"""
+
+
+def _role_sql(local: str, kind: bool) -> str:
+    roles = " ".join(f"WHEN regexp_matches({local}, '^(?:{'|'.join(words.split())})') THEN {"'role'" if kind else rank}" for rank, words in t.ROLE_RANKS.items())
+    person = f"regexp_matches({local}, '^[a-z]{{2,}}[._-][a-z]{{2,}}$') OR regexp_matches({local}, '^[a-z]\\.?[a-z]{{3,}}$')"
+    return f"CASE {roles} WHEN {person} THEN {"'personal'" if kind else t.PERSON_RANK} ELSE {"'other'" if kind else t.OTHER_RANK} END"
+
+
+_LOCAL = "split_part(a, '@', 1)"
+_FREE_SQL = f"split_part(a, '@', 2) IN ({', '.join(f"'{f}'" for f in t.FREEMAIL)})"
+_STATUS_SQL = f"CASE WHEN regexp_matches(a, '^{t.EMAIL}$') THEN CASE WHEN {_FREE_SQL} THEN 'freemail' WHEN {_role_sql(_LOCAL, True)} = 'other' THEN 'domain' ELSE {_role_sql(_LOCAL, True)} END END"
+_USABLE_SQL = f"coalesce(regexp_matches(a, '^{t.EMAIL}$') AND NOT regexp_matches({_LOCAL}, '{t.NEVER}') AND NOT regexp_matches(a, '{t.DISPOSABLE}'), FALSE)"
+_SECOND = ", ".join(f"'{x}'" for x in t.SECOND_LEVEL)
+
+
+def _registrable_sql(h: str) -> str:
+    p = f"string_split({h}, '.')"
+    return f"CASE WHEN len({p}) < 2 THEN {h} WHEN len({p}) >= 3 AND {p}[-2] IN ({_SECOND}) AND length({p}[-1]) = 2 THEN array_to_string({p}[-3:], '.') ELSE array_to_string({p}[-2:], '.') END"
+
+
+_CANDIDATES_SQL = f"SELECT *, same OR {_FREE_SQL} AS own FROM (SELECT *, {_registrable_sql("split_part(a, '@', 2)")} = {_registrable_sql("replace(site_host, 'www.', '')")} same FROM (SELECT *, lower(trim(email)) a FROM ({_ADDRESS_SQL}))) WHERE {_USABLE_SQL}"
 
 
 def _addresses(v: Views) -> DataFrame:
     k = F.col("c_custkey")
-    email = F.when(k % 7 == 0, F.concat(F.lit("Info@Firm"), k, F.lit(".de"))).when(k % 7 == 1, "max.muster@firm.example.co.uk").when(k % 7 == 2, F.concat(F.lit("someone"), k, F.lit("@gmail.com"))).when(k % 7 == 3, F.concat(F.lit("jdoe@firm"), k, F.lit(".com"))).when(k % 7 == 4, "x1@firm.com").when(k % 7 == 5, "not an address")
-    return v.table("customer").select(k.alias("id"), email.alias("email"))
+    firm = F.concat(F.lit("firm"), k % 50, F.lit(".com"))
+    forms = [
+        F.concat(F.lit("Info@Firm"), k % 50, F.lit(".com")), F.concat(F.lit("max.muster@"), firm), F.concat(F.lit("someone"), k, F.lit("@gmail.com")), F.concat(F.lit("jdoe@firm"), k, F.lit(".com")), F.concat(F.lit("x1@"), firm),
+        F.lit("not an address"), F.concat(F.lit("einkauf-"), k, F.lit("@mail."), firm), F.concat(F.lit("no-reply@"), firm), F.lit("buyer@mailinator.com"), F.concat(F.lit("vertrieb@"), firm), F.lit("trading@other.co.uk"),
+    ]
+    email = F.get(F.array(*forms), (k % 13).cast("int"))
+    return v.table("customer").select(k.alias("id"), F.concat(F.lit("www."), firm).alias("site_host"), F.concat(F.lit("page"), k % 3).alias("source_url"), email.alias("email"))
 
 
-@query("email_class", f"SELECT id, {_STATUS_SQL} status FROM (SELECT id, lower(trim(email)) a FROM ({_ADDRESS_SQL}))")
+@query("email_class", f"SELECT id, {_STATUS_SQL} status, CASE WHEN a IS NOT NULL THEN {_role_sql(_LOCAL, True)} ELSE 'other' END kind, CASE WHEN a IS NOT NULL THEN {_role_sql(_LOCAL, False)} ELSE {t.OTHER_RANK} END AS rank FROM (SELECT id, lower(trim(email)) a FROM ({_ADDRESS_SQL}))")
 def email_class(v: Views) -> DataFrame:
-    return _addresses(v).select("id", t.email_status(F.col("email")).alias("status"))
+    """Status, kind and rank of each address."""
+    return _addresses(v).select("id", t.email_status(F.col("email")).alias("status"), t.email_kind(F.col("email"))["kind"].alias("kind"), t.email_kind(F.col("email"))["rank"].alias("rank"))
 
 
 @query("email_norm", f"SELECT id, CASE WHEN {_STATUS_SQL} IS NOT NULL THEN a END email, {_STATUS_SQL} status FROM (SELECT id, lower(trim(email)) a FROM ({_ADDRESS_SQL}))")
@@ -188,22 +216,16 @@ def email_norm(v: Views) -> DataFrame:
     return _addresses(v).select("id", F.when(status.isNotNull(), F.lower(F.trim("email"))).alias("email"), status.alias("status"))
 
 
-@query("email_accept", f"SELECT id, coalesce({_STATUS_SQL} IN ('role', 'personal') AND split_part(a, '@', 2) LIKE '%.de', FALSE) accepted FROM (SELECT id, lower(trim(email)) a FROM ({_ADDRESS_SQL}))")
+@query("email_accept", f"SELECT id, a address, same FROM ({_CANDIDATES_SQL}) WHERE own")
 def email_accept(v: Views) -> DataFrame:
-    """Addresses of a role or person under the wanted top level."""
-    e = F.lower(F.trim("email"))
-    ok = t.email_status(F.col("email")).isin("role", "personal") & F.substring_index(e, "@", -1).endswith(".de")
-    return _addresses(v).select("id", F.coalesce(ok, F.lit(False)).alias("accepted"))
+    """Addresses that may be a contact: read by someone, not disposable, of the site's own domain or a free host."""
+    return k_.usable_addresses(_addresses(v)).select("id", "address", "same")
 
 
-@query("best_email", f"""SELECT site, arg_min(a, lpad(CAST(other AS VARCHAR), 1, '0') || lpad(CAST(rank AS VARCHAR), 2, '0') || a) email FROM (SELECT id % 50 site, a, CASE WHEN split_part(a, '@', 2) = 'firm' || id || '.com' THEN 0 ELSE 1 END other, CASE WHEN s = 'role' THEN 0 WHEN s = 'personal' THEN 1 ELSE 2 END rank
-    FROM (SELECT id, a, {_STATUS_SQL} s FROM (SELECT id, lower(trim(email)) a FROM ({_ADDRESS_SQL}))) WHERE s IS NOT NULL) GROUP BY 1""")
+@query("best_email", f"""SELECT site_host, x.a email, x.s status, x.u source_url FROM (SELECT site_host, min({{'o': NOT same, 'r': {_role_sql(_LOCAL, False)}, 'a': a, 'u': source_url, 's': {_STATUS_SQL}}}) x FROM ({_CANDIDATES_SQL}) WHERE own GROUP BY 1)""")
 def best_email(v: Views) -> DataFrame:
-    """The best address of each site: of its own domain, then by role, then the first in order."""
-    e, status = F.lower(F.trim("email")), t.email_status(F.col("email"))
-    rows = _addresses(v).select((F.col("id") % 50).alias("site"), e.alias("e"), status.alias("s"), (F.substring_index(e, "@", -1) != F.concat(F.lit("firm"), "id", F.lit(".com"))).alias("other")).filter("s is not null")
-    rank = F.when(F.col("s") == "role", 0).when(F.col("s") == "personal", 1).otherwise(2)
-    return rows.groupBy("site").agg(F.min(F.struct("other", rank.alias("rank"), "e"))["e"].alias("email"))
+    """The best address of each site: of its own domain, then by the rank of its role, then the first in order."""
+    return k_.best_addresses(_addresses(v), "site_host")
 
 
 _HTML_SQL = "html"
@@ -237,11 +259,20 @@ _HOST_SQL = "nullif(regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+
 _REG_SQL = f"CASE WHEN len(p) < 2 THEN h WHEN len(p) >= 3 AND p[-2] IN ({', '.join(f"'{s}'" for s in t.SECOND_LEVEL)}) AND length(p[-1]) = 2 THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END"
 
 
-@query("host_registrable", f"SELECT page_id, h host, {_REG_SQL} registered, {_REG_SQL} IN ('example.org', 'facebook.com') blocked FROM (SELECT page_id, h, string_split(h, '.') p FROM (SELECT page_id, {_HOST_SQL} h FROM pages))")
+@query("host_registrable", f"SELECT page_id, h host, {_REG_SQL} registered FROM (SELECT page_id, h, string_split(h, '.') p FROM (SELECT page_id, {_HOST_SQL} h FROM pages))")
 def host_registrable(v: Views) -> DataFrame:
     h = t.host(F.col("url"))
-    reg = t.registrable(h)
-    return v.table("pages").select("page_id", h.alias("host"), reg.alias("registered"), reg.isin("example.org", "facebook.com").alias("blocked"))
+    return v.table("pages").select("page_id", h.alias("host"), t.registrable(h).alias("registered"))
+
+
+_BLOCKED_HOSTS = ["example.org", "facebook.com", "news.example.net", "com"]
+
+
+@query("company_hosts", f"SELECT page_id, h host FROM (SELECT page_id, {_HOST_SQL} h FROM pages) p WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{b}')" for b in _BLOCKED_HOSTS)}) v(b) WHERE h = b OR ends_with(h, '.' || b))")
+def company_hosts(v: Views) -> DataFrame:
+    """Pages that are not on a directory, a network or another host that is no company's, nor on one of its subdomains."""
+    blocked = v.spark.createDataFrame([(b,) for b in _BLOCKED_HOSTS], "host string")
+    return k_.without_hosts(v.table("pages").select("page_id", "url"), "url", blocked).select("page_id", t.host(F.col("url")).alias("host"))
 
 
 _PAGE_NORM_SQL = f"SELECT page_id, url, plain, {_norm('plain')} n, title FROM (SELECT page_id, url, {_HTML_SQL} plain, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title FROM pages)"
@@ -323,10 +354,16 @@ def query_generator(v: Views) -> DataFrame:
     return rows.select("heading", "country", F.replace(F.replace("tpl", F.lit("{p}"), F.col("heading")), F.lit("{c}"), F.col("country")).alias("query"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("keyword_category", "SELECT p_partkey part_id, CASE WHEN contains(p_name, 'ring') THEN 'jewellery' WHEN contains(p_name, 'bolt') THEN 'hardware' WHEN contains(p_name, 'red') THEN 'colour' ELSE 'general' END category FROM part")
+_KEYWORDS = [(1, "steel ring", "jewellery"), (2, "bolt", "hardware"), (3, "ring", "jewellery"), (4, "red", "colour"), (5, "blue", "colour")]
+
+
+@query("keyword_category", f"SELECT part_id, coalesce(arg_min(c, place), any_value(fallback)) category FROM (SELECT p_partkey part_id, {_norm('p_name')} n, CASE WHEN p_size > 40 THEN 'large goods' ELSE 'general' END fallback FROM part) LEFT JOIN (VALUES {', '.join(str(k) for k in _KEYWORDS)}) v(place, w, c) ON contains(n, ' ' || w || ' ') GROUP BY 1")
 def keyword_category(v: Views) -> DataFrame:
-    n = F.col("p_name")
-    return v.table("part").select(F.col("p_partkey").alias("part_id"), F.when(n.contains("ring"), "jewellery").when(n.contains("bolt"), "hardware").when(n.contains("red"), "colour").otherwise("general").alias("category"))
+    """The category of the first keyword that a name has, from a relation of keywords; else by size, else a default."""
+    keywords = v.spark.createDataFrame(_KEYWORDS, "place int, keyword string, category string")
+    found = k_.keyword_categories(v.table("part"), "p_name", keywords, "")
+    fallback = F.when(F.col("p_size") > 40, "large goods").otherwise("general")
+    return found.select(F.col("p_partkey").alias("part_id"), F.coalesce(F.nullif("category", F.lit("")), fallback).alias("category"))
 
 
 @query("pick_by_preference", sql("SELECT heading, code, rate FROM (SELECT heading, code6 code, CASE WHEN part_id % 3 = 0 THEN part_id % 20 END rate, row_number() OVER (PARTITION BY heading ORDER BY (part_id % 3 = 0) DESC, code6, part_id) rn FROM v_taxonomy) WHERE rn = 1"))
@@ -428,20 +465,68 @@ def tag_gate(v: Views) -> DataFrame:
     return v.table("events").select("event_id", ((k >= 30) & (F.col("user_id") % 3 != 0) & ((F.col("user_id") % 2 == 0) | (F.col("event_type") == "view"))).alias("admitted"))
 
 
-@query("pagination_links", f"SELECT page_id, regexp_matches(url, '[?&]page=[0-9]+') AND {_HOST_SQL} IS NOT NULL paged, CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT) number FROM pages")
+_EXTRA_SQL = """html || '<meta name="description" content="  About  page ' || page_id || ' ">' || '<a href="mailto:Buying' || page_id || '%40firm' || page_id % 9 || '.de?subject=x">write</a><a href="tel:+49 30 ' || (100000 + page_id) || '">call</a><span data-cfemail="' || CASE WHEN page_id % 2 = 0 THEN '0a63646c654a6c6378672e6e6f' ELSE 'zz' END || '"></span>'
+    || '<script type="application/ld+json">{"@graph": [{"contactPoint": {"email": "a' || page_id || '@firm.de", "x": [1]}}, {"telephone": "+4930' || (100000 + page_id) || '"}]}</script><p>Tel.: 030/55 66-' || (1000 + page_id) || ', sales (at) firm' || page_id || ' (dot) fr, 20240131, logo@2x.png</p><script type="application/ld+json">[{"a": {"Email": "mailto:second@firm.de"}}]</script>'
+    || '<a class="x" href="/kontakt#top">Write <b>us</b></a><a href="next?page=2">2</a><a href="https://elsewhere.test/contact">Contact</a><a href="about.html">Who we are</a><a href="//www.elsewhere.test/x">B</a><a href="/list/page/3">more</a><a href="?p=4">›</a>'"""
+
+
+def _rich_pages(v: Views) -> DataFrame:
+    """The pages with more of what pages have: mail and call links, hidden addresses, structured data, links."""
+    k, lit = F.col("page_id"), F.lit
+    parts = [
+        F.col("html"), lit('<meta name="description" content="  About  page '), k, lit(' ">'), lit('<a href="mailto:Buying'), k, lit("%40firm"), k % 9, lit('.de?subject=x">write</a><a href="tel:+49 30 '), 100000 + k, lit('">call</a><span data-cfemail="'),
+        F.when(k % 2 == 0, "0a63646c654a6c6378672e6e6f").otherwise("zz"), lit('"></span><script type="application/ld+json">{"@graph": [{"contactPoint": {"email": "a'), k, lit('@firm.de", "x": [1]}}, {"telephone": "+4930'), 100000 + k, lit('"}]}</script><p>Tel.: 030/55 66-'), 1000 + k,
+        lit(", sales (at) firm"), k, lit(' (dot) fr, 20240131, logo@2x.png</p><script type="application/ld+json">[{"a": {"Email": "mailto:second@firm.de"}}]</script>'),
+        lit('<a class="x" href="/kontakt#top">Write <b>us</b></a><a href="next?page=2">2</a><a href="https://elsewhere.test/contact">Contact</a><a href="about.html">Who we are</a><a href="//www.elsewhere.test/x">B</a><a href="/list/page/3">more</a><a href="?p=4">›</a>'),
+    ]
+    return v.table("pages").select("page_id", "url", F.concat(*parts).alias("html"))
+
+
+_DATA_SQL = "flatten(list_transform(regexp_extract_all(html, '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>', 1), lambda s: regexp_extract_all(s, '(?i)\"(?:{})\"\\s*:\\s*\"([^\"]*)\"', 1)))"
+_HEX_SQL = "CASE WHEN regexp_matches(c, '^[0-9a-fA-F]{6,}$') AND length(c) % 2 = 0 THEN array_to_string(list_transform(range(1, length(c) // 2), lambda i: chr(xor(CAST('0x' || substr(c, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER), CAST('0x' || left(c, 2) AS INTEGER)))), '') END"
+_PAGE_EMAILS_SQL = f"""list_sort(list_distinct(list_filter(list_transform(list_filter(flatten([
+    list_transform(regexp_extract_all(html, '(?i)href=["'']mailto:([^"''?]+)', 1), lambda e: replace(e, '%40', '@')), list_transform(regexp_extract_all(html, '(?i)(?:data-cfemail=["'']|/cdn-cgi/l/email-protection#)([0-9a-f]+)', 1), lambda c: {_HEX_SQL}),
+    list_transform({_DATA_SQL.format('email')}, lambda e: replace(e, 'mailto:', '')), {_EMAILS_SQL.replace('lower(s)', 'lower(plain)')}]), lambda e: e IS NOT NULL), lambda e: regexp_replace(lower(trim(e)), '^[.,;:]+|[.,;:]+$', '', 'g')),
+    lambda e: regexp_matches(e, '^{t.EMAIL}$') AND NOT regexp_matches(e, '{t.NO_ADDRESS}') AND NOT regexp_matches(e, '{t.NO_ADDRESS_END}'))))"""
+_PAGE_PHONES_SQL = f"""list_sort(list_distinct(list_filter(list_transform(flatten([regexp_extract_all(html, '(?i)href=["'']tel:([^"'']+)', 1), {_DATA_SQL.format('telephone|phone')}, regexp_extract_all(plain, '{t.LABELLED_PHONE}', 1), regexp_extract_all(plain, '{t.WORLD_PHONE}', 1)]), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 8 AND 15 AND NOT regexp_matches(d, '^(19|20)[0-9]{{6,}}$'))))"""
+_RICH_SQL = f"SELECT *, {_HTML_SQL} plain FROM (SELECT page_id, url, {_EXTRA_SQL} html FROM pages)"
+_ANCHORS_SQL = f"""list_filter(list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>'), lambda a: {{'h': regexp_extract(a, '(?is)<a\\s[^>]*href="([^"]*)"', 1), 'l': trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))}}), lambda x: NOT regexp_matches(x.h, '(?i)^(mailto:|tel:|javascript:|#)')),
+    lambda x: {{'h': regexp_replace(CASE WHEN regexp_matches(x.h, '^[a-z]+://') THEN x.h WHEN starts_with(x.h, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || x.h WHEN starts_with(x.h, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || x.h ELSE rtrim(regexp_extract(url, '^([a-z]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || x.h END, '#.*$', ''), 'l': x.l}}),
+    lambda x: {_HOST_SQL.replace('lower(url)', 'lower(x.h)')} IS NOT DISTINCT FROM {_HOST_SQL})"""
+
+
+@query("page_emails", f"SELECT page_id, array_to_string({_PAGE_EMAILS_SQL}, ',') emails FROM ({_RICH_SQL})")
+def page_emails(v: Views) -> DataFrame:
+    """Addresses of a page from all the places where pages have them."""
+    return _rich_pages(v).select("page_id", F.array_join(t.page_emails(F.col("html")), ",").alias("emails"))
+
+
+@query("page_phones", f"SELECT page_id, array_to_string({_PAGE_PHONES_SQL}, ',') phones FROM ({_RICH_SQL})")
+def page_phones(v: Views) -> DataFrame:
+    return _rich_pages(v).select("page_id", F.array_join(t.page_phones(F.col("html")), ",").alias("phones"))
+
+
+@query("page_meta", f"SELECT page_id, nullif(left(trim(regexp_replace(regexp_extract(regexp_extract(html, '(?is)(<meta\\s[^>]*(?:name=[\"'']description[\"'']|property=[\"'']og:description[\"''])[^>]*>)', 1), '(?is)content=[\"'']([^\"'']*)[\"'']', 1), '\\s+', ' ', 'g')), 400), '') description, array_to_string(list_sort(list_distinct(list_transform(list_filter(a, lambda x: regexp_matches(x.h, '{t.CONTACT_LINK}') OR regexp_matches(x.l, '{t.CONTACT_LINK}')), lambda x: x.h))), ' ') contacts FROM (SELECT *, {_ANCHORS_SQL} a FROM ({_RICH_SQL}))")
+def page_meta(v: Views) -> DataFrame:
+    """What a page says of itself, and its links to contacts on the same host."""
+    return _rich_pages(v).select("page_id", t.meta_description(F.col("html")).alias("description"), F.array_join(t.contact_links(F.col("html"), F.col("url")), " ").alias("contacts"))
+
+
+_PATH_SQL = "regexp_extract({}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query("pagination_links", f"""SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(a, lambda x: x.h <> url AND (regexp_matches(x.l, '{t.NEXT_LABEL}') OR ((regexp_replace({_PATH_SQL.format('x.h')}, '/$', '') = regexp_replace({_PATH_SQL.format('url')}, '/$', '') OR starts_with({_PATH_SQL.format('x.h')}, regexp_replace({_PATH_SQL.format('url')}, '/[^/]*$', '')))
+    AND (regexp_matches(x.h, '{t.PAGE_NUMBER}') OR regexp_matches(x.l, '^([0-9]{{1,3}}|[A-Z])$'))))), lambda x: x.h))), ' ') pages FROM (SELECT *, {_ANCHORS_SQL} a FROM ({_RICH_SQL}))""")
 def pagination_links(v: Views) -> DataFrame:
-    u = F.col("url")
-    return v.table("pages").select("page_id", (u.rlike(r"[?&]page=[0-9]+") & t.host(u).isNotNull()).alias("paged"), F.nullif(F.regexp_extract(u, r"[?&]page=([0-9]+)", 1), F.lit("")).cast("long").alias("number"))
+    """Links that go on with a page's list: labelled as next, numbered, or a letter, on the same host."""
+    return _rich_pages(v).select("page_id", F.array_join(t.paging_links(F.col("html"), F.col("url")), " ").alias("pages"))
 
 
-@query("jsonld_contacts", "SELECT page_id, 'a' || page_id || '@firm.example' email, '+4930' || (100000 + page_id) phone FROM pages")
+@query("jsonld_contacts", f"SELECT page_id, array_to_string({_DATA_SQL.format('email')}, ',') emails, array_to_string({_DATA_SQL.format('telephone|phone')}, ',') phones FROM ({_RICH_SQL})")
 def jsonld_contacts(v: Views) -> DataFrame:
-    """Contacts from structured data at any depth of a page's JSON."""
-    k = F.col("page_id")
-    page = F.concat("html", F.lit('<script type="application/ld+json">{"@graph": [{"contactPoint": {"email": "a'), k, F.lit('@firm.example", "x": [1]}}, {"telephone": "+4930'), 100000 + k, F.lit('"}]}</script>'))
-    data = F.regexp_extract(page, r'(?is)<script type="application/ld\+json">(.*?)</script>', 1)
-    field = lambda name: F.regexp_extract(data, rf'"{name}"\s*:\s*"([^"]*)"', 1)
-    return v.table("pages").select("page_id", field("email").alias("email"), field("telephone").alias("phone"))
+    """Contacts from structured data at any depth, of all its scripts."""
+    h = F.col("html")
+    return _rich_pages(v).select("page_id", F.array_join(t.data_values(h, "email"), ",").alias("emails"), F.array_join(t.data_values(h, "telephone", "phone"), ",").alias("phones"))
 
 
 def _loose(text: str | None) -> str | None:

@@ -62,7 +62,7 @@ class Views:
         """A row for each part: its six-digit code and description."""
         chapter = F.create_map(*[F.lit(x) for pair in CHAPTERS.items() for x in pair])[F.split("p_type", " ")[0]]
         heading = F.concat(chapter, F.lpad(F.regexp_extract("p_brand", r"(\d+)$", 1), 2, "0"))
-        return self.table("part").select(F.col("p_partkey").alias("part_id"), chapter.alias("chapter"), heading.alias("heading"), F.concat(heading, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("code6"), F.col("p_name").alias("description"))
+        return self.table("part").select(F.col("p_partkey").alias("part_id"), chapter.alias("chapter"), heading.alias("heading"), F.concat(heading, F.lpad(F.col("p_size").cast("string"), 2, "0")).alias("code6"), F.col("p_name").alias("description"), "p_brand")
 
     def shipments(self, *columns: str) -> DataFrame:
         """A row for each line item with the columns asked for.
