@@ -137,3 +137,58 @@ def spaced(rows: DataFrame, key: tuple[str, ...], seconds: int) -> DataFrame:
             yield b[[*names, "event_id", "accepted"]]
 
     return laid.mapInPandas(fold, f"{kinds}, event_id long, accepted boolean")
+
+
+def order_requests(rows: DataFrame, reuse: int = 1800, span: int = 3600, most: int = 5) -> DataFrame:
+    """(event_id, account, outcome, order_id): what becomes of each request for an order that stays unpaid.
+
+    `rows` has account, item, ts (seconds) and event_id. A request for the item of
+    an order of the last `reuse` seconds gets that order again (the last one);
+    else it is refused while `most` orders of the last `span` seconds are there;
+    else it makes an order of its own, named by its event_id. Only requests that
+    make orders count later. An account's state is at most `most` orders, so an
+    account may have any number of requests: Spark sorts, the fold reads batches.
+    """
+    laid = rows.repartition("account").sortWithinPartitions("account", "ts", "event_id").select("account", "ts", "event_id", "item")
+    kind = rows.schema["account"].dataType.simpleString()
+
+    def fold(batches):
+        account, orders, first = None, [], True
+        for b in batches:
+            outcomes, ids = [], []
+            for a, ts, event, item in b.itertuples(index=False, name=None):
+                if first or a != account:
+                    account, orders, first = a, [], False
+                orders = [o for o in orders if o[0] > ts - span]
+                same = [o[1] for o in orders if o[2] == item and o[0] > ts - reuse]
+                outcome = "reused" if same else "refused" if len(orders) >= most else "created"
+                if outcome == "created":
+                    orders.append((ts, event, item))
+                outcomes.append(outcome)
+                ids.append(same[-1] if same else event if outcome == "created" else None)
+            b["outcome"], b["order_id"] = outcomes, pd.array(ids, "Int64")
+            yield b[["event_id", "account", "outcome", "order_id"]]
+
+    return laid.mapInPandas(fold, f"event_id long, account {kind}, outcome string, order_id long")
+
+
+def queue_state(log: DataFrame) -> DataFrame:
+    """The state of each job from its log (job, ts, event_id, state, found, meta): a fold by partial aggregates.
+
+    `created` is its first entry, `state` and `result_count` the last ones that
+    are given, and `meta` has the last value of each key over all entries.
+    """
+    place = F.struct("ts", "event_id")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place))
+    by = log.groupBy("job").agg(F.min(place).alias("created"), last("state").alias("state"), last("found").alias("result_count"))
+    keys = log.select("job", "ts", "event_id", F.explode("meta").alias("key", "value")).groupBy("job", "key").agg(F.max_by("value", place).alias("value"))
+    metas = keys.groupBy("job").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("meta"))
+    return by.join(metas, "job", "left")
+
+
+def claim(jobs: DataFrame, workers: int, most: int) -> DataFrame:
+    """(job, worker, place): the `most` oldest pending jobs in order, dealt to the workers in turn, each to one; nothing if none is pending."""
+    from .search import page
+
+    oldest = page(jobs.filter("state = 'pending'"), [F.col("created.ts").asc(), F.col("created.event_id").asc()], 1, most)
+    return oldest.select("job", ((F.col("rank") - 1) % workers).alias("worker"), F.col("rank").alias("place"))

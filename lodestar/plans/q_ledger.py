@@ -88,12 +88,22 @@ def unlock_once(v: Views) -> DataFrame:
     return g.once(unlocks, ("account", "event_type", "entity_id")).filter("not duplicate").groupBy("account").agg(F.count("*").alias("charged"))
 
 
-@query("pending_rate_limit", sql("SELECT event_id, pending, pending >= 5 refused FROM (SELECT event_id, count(*) OVER (PARTITION BY account ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) pending FROM v_event)"))
+@query("pending_rate_limit", sql("SELECT event_id, pending, pending >= 5 refused FROM (SELECT event_id, count(*) OVER (PARTITION BY account ORDER BY CAST(floor(epoch(ts)) AS BIGINT) // 48 RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) pending FROM v_event)"))
 def pending_rate_limit(v: Views) -> DataFrame:
-    """Orders of its account in the day before each order."""
-    day = W.partitionBy("account").orderBy("s").rangeBetween(-86400, -1)
-    rows = v.event.select("event_id", "account", F.unix_seconds("ts").alias("s"))
-    return rows.withColumn("pending", F.count("*").over(day)).select("event_id", "pending", (F.col("pending") >= 5).alias("refused"))
+    """Orders of its account in the hour before each order (events are spread over a month; their time runs 48 times faster here)."""
+    hour = W.partitionBy("account").orderBy("s").rangeBetween(-3600, -1)
+    rows = v.event.select("event_id", "account", F.floor(F.unix_seconds("ts") / 48).alias("s"))
+    return rows.withColumn("pending", F.count("*").over(hour)).select("event_id", "pending", (F.col("pending") >= 5).alias("refused"))
+
+
+@query("order_requests", """WITH RECURSIVE e AS (SELECT event_id, user_id account, event_type item, CAST(floor(epoch(ts)) AS BIGINT) // 200 s, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) // 200, event_id) k FROM events),
+    w AS (SELECT account, k, event_id, 'created' outcome, event_id order_id, [{'s': s, 'id': event_id, 'item': item}] orders FROM e WHERE k = 1
+      UNION ALL SELECT account, k, event_id, CASE WHEN len(same) > 0 THEN 'reused' WHEN len(live) >= 5 THEN 'refused' ELSE 'created' END, CASE WHEN len(same) > 0 THEN same[-1].id WHEN len(live) < 5 THEN event_id END, CASE WHEN len(same) > 0 OR len(live) >= 5 THEN live ELSE list_append(live, {'s': s, 'id': event_id, 'item': item}) END
+      FROM (SELECT *, list_filter(live, lambda o: o.item = item AND o.s > s - 1800) same FROM (SELECT e.account, e.k, e.event_id, e.item, e.s, list_filter(w.orders, lambda o: o.s > e.s - 3600) live FROM w JOIN e ON e.account = w.account AND e.k = w.k + 1)))
+    SELECT event_id, account, outcome, order_id FROM w""")
+def order_requests(v: Views) -> DataFrame:
+    """Requests for orders: the pending one again, refused, or a new one (time runs 200 times faster here)."""
+    return g.order_requests(v.event.select("account", F.col("event_type").alias("item"), F.floor(F.unix_seconds("ts") / 200).alias("ts"), "event_id"))
 
 
 @query("topup_validate", sql("SELECT event_id, CASE WHEN a < 10000 THEN 'too_small' WHEN a % 10000 <> 0 THEN 'not_a_multiple' WHEN a > 5000000 THEN 'too_large' END reason FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN amount * 2 ELSE (event_id % 700) * 10000 END a FROM v_event)"))
@@ -102,19 +112,27 @@ def topup_validate(v: Views) -> DataFrame:
     return v.event.select("event_id", g.topup_reason(amount).alias("reason"))
 
 
-_ALERT_SQL = f"""SELECT account, 'activity' kind, 'act:' || entity_id || ':' || last_day AS dedup_key FROM v_saved JOIN (SELECT entity_id, max(day) last_day FROM v_shipment GROUP BY 1) USING (entity_id) WHERE last_day >= DATE '{AS_OF}' - 21
-    UNION ALL SELECT account, 'new', 'nb:' || entity_id FROM (SELECT DISTINCT account, account % 5 AS region FROM v_event) f JOIN v_entity e USING (region) JOIN (SELECT entity_id, min(day) first_day, min(heading) FILTER (WHERE heading LIKE '03%') h FROM v_shipment GROUP BY 1) n ON e.id = n.entity_id WHERE h IS NOT NULL AND first_day >= DATE '{AS_OF}' - 2400
-    UNION ALL SELECT account, 'competitor', 'comp:' || entity_id || ':' || strftime(max(day), '%Y-%m') FROM v_saved JOIN v_shipment USING (entity_id) JOIN v_supplier USING (supplier_id) WHERE is_home AND day >= DATE '{AS_OF}' - 30 GROUP BY account, entity_id
-    UNION ALL SELECT account, 'reminder', 'rem:' || entity_id || ':' || CAST(CAST(saved_at AS DATE) + 5 AS DATE) FROM v_saved WHERE CAST(saved_at AS DATE) + 5 <= DATE '{EVENTS_AS_OF}'"""
+_ALERT_SQL = f"""SELECT account, 'activity' kind, 'act:' || entity_id || ':' || last_day AS dedup_key FROM sv JOIN (SELECT entity_id, max(day) last_day FROM v_shipment GROUP BY 1) USING (entity_id) WHERE last_day >= DATE '{AS_OF}' - 21
+    UNION ALL SELECT account, 'new', 'nb:' || entity_id FROM fc JOIN (SELECT DISTINCT entity_id, heading FROM v_shipment) h USING (heading) JOIN (SELECT entity_id, min(day) first_day FROM v_shipment GROUP BY 1) n USING (entity_id) JOIN v_entity e ON e.id = entity_id WHERE first_day >= DATE '{AS_OF}' - 2400 AND (account % 3 = 0 OR region = account % 5)
+    UNION ALL SELECT account, 'competitor', 'comp:' || entity_id || ':' || strftime(max(day), '%Y-%m') FROM sv JOIN v_shipment USING (entity_id) JOIN v_supplier USING (supplier_id) WHERE is_home AND day >= DATE '{AS_OF}' - 30 GROUP BY account, entity_id
+    UNION ALL SELECT account, 'reminder', 'rem:' || entity_id || ':' || CAST(CAST(saved_at AS DATE) + 5 AS DATE) FROM sv WHERE CAST(saved_at AS DATE) + 5 <= DATE '{EVENTS_AS_OF}'"""
 
 
-@query("alerts_all_rules", sql("SELECT DISTINCT account, kind, dedup_key FROM a", a=_ALERT_SQL))
+@query("alerts_all_rules", sql("SELECT DISTINCT account, kind, dedup_key FROM a", sv="SELECT * FROM v_saved WHERE account % 7 <> 0", fc="SELECT DISTINCT account, '0' || (1 + account % 6) || '11' heading FROM v_event WHERE account % 7 <> 0 UNION SELECT DISTINCT account, '0' || (1 + account % 4) || '23' FROM v_event WHERE account % 7 <> 0", a=_ALERT_SQL))
 def alerts_all_rules(v: Views) -> DataFrame:
-    """Alerts of four rules, each once."""
+    """Alerts of four rules, each once: accounts follow two headings, some of them one region; every seventh has a plan without alerts.
+
+    First shipments lie years back in these tables, so `new` looks back 2,400 days and not 45.
+    """
     from ..operators.alerts import alerts
 
-    focus = v.event.select("account", (F.col("account") % 5).alias("region")).distinct()
-    return alerts(v.shipments("entity_id", "supplier_id", "day", "heading"), v.supplier, v.entity.select(F.col("id").alias("entity_id"), "region"), v.saved, focus, "03", AS_OF, EVENTS_AS_OF)
+    k = F.col("account")
+    accounts = v.event.select("account").distinct()
+    allowed = accounts.select("account", F.when(k % 7 == 0, 0).otherwise(10).alias("alerts"))
+    code = lambda n, tail: F.concat(F.lit("0"), 1 + k % n, F.lit(tail))
+    followed = accounts.select("account", F.explode(F.array(code(6, "11"), code(4, "23"))).alias("heading"))
+    wanted = accounts.filter(k % 3 != 0).select("account", (k % 5).alias("region"))
+    return alerts(v.shipments("entity_id", "supplier_id", "day", "heading"), v.supplier, v.entity.select(F.col("id").alias("entity_id"), "region"), v.saved, allowed, followed, wanted, "region", AS_OF, EVENTS_AS_OF, new_days=2400)
 
 
 @query("message_tracking", sql(f"""SELECT event_id, age > 120 AND h < 65 opened, age > 360 AND h < 25 AND age > 120 replied FROM (SELECT event_id, (event_id * 2654435761) % 100 h, {_NOW_S} - CAST(floor(epoch(ts)) AS BIGINT) age FROM v_event WHERE event_type = 'view')"""))
@@ -156,10 +174,30 @@ def stale_revisit_queue(v: Views) -> DataFrame:
     return page(due, [F.asc_nulls_first("checked"), F.desc("confidence"), F.asc("id")], 1, 200).select("id", F.col("rank").alias("place"))
 
 
-@query("job_state", sql("SELECT account, arg_max(event_type, event_id) state, count(*) changes, count(*) FILTER (WHERE event_type = 'purchase') done, arg_min(event_id, event_id) FILTER (WHERE event_type = 'signup') claimed FROM v_event GROUP BY 1"))
+_JOB_SQL = """SELECT user_id * 10 + event_id % 4 job, ts, event_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'failed' END state,
+    CASE WHEN event_type = 'purchase' THEN CAST(round(value) AS BIGINT) END found, map([event_type, 'k'], [CAST(event_id AS VARCHAR), json_extract_string(props, '$.k')]) meta FROM events"""
+
+
+def _job_log(v: Views) -> DataFrame:
+    """Entries of jobs: state, results found, further facts by key."""
+    states = F.create_map(*[F.lit(x) for x in ("signup", "pending", "click", "pending", "view", "running", "purchase", "done", "error", "failed")])
+    e = v.table("events")
+    facts = F.map_from_arrays(F.array("event_type", F.lit("k")), F.array(F.col("event_id").cast("string"), F.get_json_object("props", "$.k")))
+    return e.select((F.col("user_id") * 10 + F.col("event_id") % 4).alias("job"), "ts", "event_id", states[F.col("event_type")].alias("state"), F.when(F.col("event_type") == "purchase", F.round("value").cast("long")).alias("found"), facts.alias("meta"))
+
+
+@query("job_state", f"""SELECT job, state, result_count, created, array_to_string(list_sort(list_transform(map_entries(m), lambda x: x.key || '=' || x.value)), ',') meta FROM (SELECT job, arg_max(state, (ts, event_id)) state, arg_max(found, (ts, event_id)) FILTER (WHERE found IS NOT NULL) result_count, min((ts, event_id))[2] created FROM l GROUP BY 1)
+    JOIN (SELECT job, map_from_entries(list((k, val))) m FROM (SELECT job, x.key k, arg_max(x.value, (ts, event_id)) val FROM (SELECT job, ts, event_id, unnest(map_entries(meta)) x FROM l) GROUP BY 1, 2) GROUP BY 1) USING (job)""".replace("FROM l", f"FROM ({_JOB_SQL})"))
 def job_state(v: Views) -> DataFrame:
-    """The state of each job from its log: the last change, and the oldest that is pending."""
-    return v.event.groupBy("account").agg(F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("changes"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.min(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("claimed"))
+    """The state of each job from its log: the last change, the results, all facts merged."""
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return g.queue_state(_job_log(v)).select("job", "state", "result_count", F.col("created.event_id").alias("created"), entries.alias("meta"))
+
+
+@query("job_claim", f"SELECT job, CAST((rn - 1) % 3 AS BIGINT) worker, rn place FROM (SELECT job, row_number() OVER (ORDER BY created) rn FROM (SELECT job, arg_max(state, (ts, event_id)) state, min((ts, event_id)) created FROM ({_JOB_SQL}) GROUP BY 1) WHERE state = 'pending') WHERE rn <= 20")
+def job_claim(v: Views) -> DataFrame:
+    """The next twenty pending jobs, the oldest first, dealt to three workers."""
+    return g.claim(g.queue_state(_job_log(v)), 3, 20).select("job", F.col("worker").cast("long").alias("worker"), F.col("place").cast("long").alias("place"))
 
 
 @query("status_transition", sql("SELECT account, entity_id, CASE WHEN EXISTS (SELECT 1 FROM v_event e WHERE e.account = x.account AND e.event_type = 'click' AND e.ts > x.saved_at) THEN 'contacted' ELSE 'new' END status FROM v_saved x"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import resolution as r
+from ..sources.storage import new_path
 from .q_search import RATED_SQL, rated
 from .registry import SQL, query
 from .views import AS_OF, Views, sql
@@ -25,20 +26,8 @@ def hidden_reason(v: Views) -> DataFrame:
 
 #: Parts of names that mark shells and dead companies (fixed values).
 JUNK = ["nominee", "liquidat", "dormant", "000013"]
-_PURGE_SQL = f"""CASE WHEN regexp_matches(lower(name), '{'|'.join(JUNK)}') THEN 'junk_name' WHEN confidence < 50 AND email IS NULL AND website IS NULL THEN 'bare' WHEN country IS NULL THEN 'no_country'
-    WHEN regexp_matches(industry, '(?i)furn') AND n_codes < 3 THEN 'off_topic' WHEN rn > 1 THEN 'duplicate' END"""
-
-
-@query("purge_buckets", sql(f"SELECT coalesce(reason, 'kept') reason, count(*) n FROM (SELECT {_PURGE_SQL} reason FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(phone, 'id' || id) ORDER BY updated DESC, id DESC) rn FROM v_entity)) GROUP BY 1"))
-def purge_buckets(v: Views) -> DataFrame:
-    """Rows by the first rule that removes them; a row without a phone is no duplicate of another."""
-    c = F.col
-    rows = v.entity.withColumn("rn", F.row_number().over(W.partitionBy(F.coalesce("phone", F.concat(F.lit("id"), "id"))).orderBy(F.desc("updated"), F.desc("id"))))
-    reason = scoring.first_reason([
-        ("junk_name", F.lower("name").rlike("|".join(JUNK))), ("bare", (c("confidence") < 50) & c("email").isNull() & c("website").isNull()), ("no_country", c("country").isNull()),
-        ("off_topic", c("industry").rlike("(?i)furn") & (c("n_codes") < 3)), ("duplicate", c("rn") > 1),
-    ])
-    return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+#: Industries that rows of one source may have (fixed values).
+KEPT_CODES = ["1", "3", "5", "7", "9"]
 
 
 _FIT_SQL = """CASE WHEN codes IS NULL THEN 50 WHEN len(list_intersect(codes, f6)) > 0 THEN 100 WHEN len(list_intersect(list_transform(codes, lambda x: left(x, 4)), list_transform(f6, lambda x: left(x, 4)))) > 0 THEN 75
@@ -209,6 +198,20 @@ def raw_entities(v: Views) -> DataFrame:
     return v.entity.select("id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("id", "r.*").withColumn("hash", r.content_hash(c("name"), c("country")))
 
 
+_PURGE_SQL = f"""CASE WHEN regexp_matches(lower(name), '{'|'.join(JUNK)}') THEN 'junk_name' WHEN confidence < 55 AND email IS NULL AND phone IS NULL AND website IS NULL THEN 'bare' WHEN country IS NULL THEN 'no_country'
+    WHEN source = 'third' AND id % 9 = 0 THEN 'wrong_class' WHEN source = 'other' AND codes[2] NOT IN ({', '.join(f"'{c}'" for c in KEPT_CODES)}) THEN 'off_topic' END"""
+
+
+@query("purge_buckets", sql(f"SELECT coalesce(reason, CASE WHEN rn > 1 THEN 'duplicate' ELSE 'kept' END) reason, count(*) n FROM (SELECT reason, row_number() OVER (PARTITION BY reason, hash ORDER BY seq DESC) rn FROM (SELECT *, {_PURGE_SQL} reason FROM raw)) GROUP BY 1", raw=_RAW_SQL))
+def purge_buckets(v: Views) -> DataFrame:
+    """Rows by the first rule that removes them; of what the other rules leave, the newest row of each content hash stays."""
+    c = F.col
+    return r.purge(raw_entities(v), [
+        ("junk_name", F.lower("name").rlike("|".join(JUNK))), ("bare", (c("confidence") < 55) & c("email").isNull() & c("phone").isNull() & c("website").isNull()), ("no_country", c("country").isNull()),
+        ("wrong_class", (c("source") == "third") & (c("id") % 9 == 0)), ("off_topic", (c("source") == "other") & ~F.get("codes", F.lit(1)).isin(KEPT_CODES)),
+    ], "hash", "seq").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 @query("content_hash", sql("SELECT seq, hash FROM raw", raw=_RAW_SQL))
 def content_hash(v: Views) -> DataFrame:
     return raw_entities(v).select("seq", "hash")
@@ -299,6 +302,34 @@ def upsert_batch(v: Views) -> DataFrame:
     return r.upsert_status(rows.filter("seq % 4 <> 0 or id % 7 = 0"), rows.filter("seq % 4 = 0 and id % 7 <> 0"), "hash").groupBy("action").agg(F.count("*").alias("n"))
 
 
+_FIELDS = ("name", "email", "phone", "website")
+
+
+@query("upsert_table", sql(f"""SELECT s.hash, {', '.join(f'coalesce(s.{f}, m.{f}) {f}' for f in _FIELDS)}, CAST(list_reduce(list_prepend(s.confidence, list_transform(coalesce(steps, []), lambda z: CASE WHEN z.s = s.source THEN z.c ELSE z.c + 1000 END)), lambda a, x: CASE WHEN x < 1000 THEN greatest(a, x) ELSE least(100, greatest(a, x - 1000) + 5) END) AS BIGINT) confidence,
+    array_to_string(list_sort(list_distinct(list_concat(s.codes, coalesce(m.codes, [])))), ',') codes, array_to_string(list_sort(list_distinct(list_prepend(s.source, coalesce(m.sources, [])))), ',') sources
+    FROM (SELECT * FROM raw WHERE seq % 4 = 0 AND id % 11 <> 0) s LEFT JOIN (SELECT hash, {', '.join(f'arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL) {f}' for f in _FIELDS)}, list({{'s': source, 'c': c}} ORDER BY seq) steps, flatten(list(codes)) codes, list(source) sources
+      FROM (SELECT hash, source, min(seq) seq, max(confidence) c, {', '.join(f'arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL) {f}' for f in _FIELDS)}, flatten(list(codes)) codes FROM raw WHERE seq % 4 <> 0 AND id % 11 <> 0 GROUP BY 1, 2) GROUP BY 1) m USING (hash)""", raw=_RAW_SQL))
+def upsert_table(v: Views) -> DataFrame:
+    """The table that a batch leaves: rows that were stored, with those of the batch merged into them, and new ones."""
+    rows = raw_entities(v).filter("id % 11 <> 0")
+    stored = r.merge_cross_source(rows.filter("seq % 4 = 0"))
+    path = new_path(v.spark, "table")
+    r.write_table(stored, path)
+    r.write_table(r.upsert(v.spark.read.parquet(r.current(v.spark, path)), rows.filter("seq % 4 <> 0")), path)
+    merged = v.spark.read.parquet(r.current(v.spark, path))
+    return merged.select("hash", "name", "email", "phone", "website", "confidence", F.array_join("codes", ",").alias("codes"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("shipment_append", sql("SELECT order_id, line, entity_id, value FROM v_shipment WHERE entity_id % 4 <> 0 GROUP BY ALL"))
+def shipment_append(v: Views) -> DataFrame:
+    """Shipments of a batch added to those that are stored: known ones are left out, as are those of entities that are gone."""
+    rows = v.shipments("order_id", "line", "entity_id", "value", "day").drop("day").distinct()
+    key = ["order_id", "line", "entity_id", "value"]
+    stored, batch = rows.filter("entity_id % 4 = 1"), rows.filter("entity_id % 4 <> 0 or order_id % 2 = 0")
+    known = v.entity.filter("id % 4 <> 0").select(F.col("id").alias("entity_id"))
+    return r.append_children(stored, batch, key, known, "entity_id").select(*key)
+
+
 @query("cascade_delete", sql("SELECT event_id, account FROM v_event WHERE account NOT IN (SELECT id FROM v_entity WHERE balance < 0)"))
 def cascade_delete(v: Views) -> DataFrame:
     """The children that stay when some accounts go."""
