@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +92,111 @@ def partition_split_scan(v: Views) -> DataFrame:
     return v.spark.read.format("register_parts").load()
 
 
+def _offset_fetch(endpoint: str, attempt: int, part: str, offset: int, limit: int, ordered: bool) -> list[tuple]:
+    """A service with two endpoints, one of which is down, that takes no order for one part and fails now and then."""
+    if endpoint == "down" or (offset % 40 == 20 and attempt < 2):
+        raise OSError("no answer")
+    if part == "b" and ordered:
+        raise readers.BadRequest("no order here")
+    return [(part, k, f"Firm {k}") for k in range(offset, min(offset + limit, 73 if part == "a" else 40))]
+
+
+@query("offset_scan", "SELECT p AS part, i number, 'Firm ' || i AS name FROM (VALUES ('a', 73), ('b', 40)) t(p, n), range(73) r(i) WHERE i < n")
+def offset_scan(v: Views) -> DataFrame:
+    """A service read by offset until it ends, with failures, refusals of the order and a second endpoint."""
+    v.spark.dataSource.register(readers.offset_source("city_register", "part string, number long, name string", _offset_fetch, 20, ["a", "b"], ["down", "up"], wait=0.0))
+    return v.spark.read.format("city_register").load()
+
+
+def _linked_fetch(endpoint: str, attempt: int, part: str, page: int) -> dict:
+    if attempt == 0 and page == 1:
+        raise OSError("no answer")
+    n = 23 if part == "x" else 0
+    items = [{"id": k, "address": {"city": f"City {k % 4}"} if k % 5 else None} for k in range(page * 10, min(n, page * 10 + 10))]
+    return {"page": {"totalPages": -(-n // 10)}} | ({"_embedded": {"items": items}} if items else {})
+
+
+@query("linked_scan", "SELECT i id, CASE WHEN i % 5 <> 0 THEN 'City ' || (i % 4) END city FROM range(23) t(i)")
+def linked_scan(v: Views) -> DataFrame:
+    """A service whose answers hold records and page counts under paths."""
+    v.spark.dataSource.register(readers.linked_source("linked_register", "id long, city string", _linked_fetch, ["x", "empty"], fields=("id", "address.city"), wait=0.0))
+    return v.spark.read.format("linked_register").load()
+
+
+def _packed(rows: DataFrame, pack) -> DataFrame:
+    """One archive for each task, of the rows that it has."""
+
+    def work(batches):
+        frames = list(batches)
+        if frames:
+            yield pd.DataFrame({"content": [pack(pd.concat(frames))]})
+
+    return rows.mapInPandas(work, "content binary")
+
+
+def _csv_archive(rows: pd.DataFrame) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("notes.txt", "not a table")
+        for k in range(2):
+            z.writestr(f"part{k}.csv", rows.iloc[k::2].to_csv(index=False, header=["CompanyName", " CompanyNumber", " Sector"]))
+    return out.getvalue()
+
+
+@query("csv_zip_scan", "SELECT CAST(c_custkey AS VARCHAR) AS \"CompanyNumber\", c_name || ', \"x\"' AS \"CompanyName\", c_mktsegment AS \"Sector\" FROM customer")
+def csv_zip_scan(v: Views) -> DataFrame:
+    """A register as CSV files in archives."""
+    rows = v.table("customer").select(F.concat("c_name", F.lit(', "x"')).alias("n"), F.col("c_custkey").cast("string").alias("k"), "c_mktsegment")
+    return readers.zip_csv(_packed(rows, _csv_archive)).select("CompanyNumber", "CompanyName", "Sector")
+
+
+def _xml_archive(rows: pd.DataFrame) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        items = "".join(f'<ABR><ABN status="{s}">{k}</ABN><Main><Name>{n}</Name></Main></ABR>' for k, n, s in rows.itertuples(index=False))
+        z.writestr("all.xml", f"<Transfer><Info>x</Info>{items}</Transfer>")
+    return out.getvalue()
+
+
+@query("xml_zip_scan", "SELECT s_suppkey number, s_name name, CASE WHEN s_suppkey % 2 = 0 THEN 'ACT' ELSE 'CAN' END status FROM supplier")
+def xml_zip_scan(v: Views) -> DataFrame:
+    """A register as XML files in archives, with attributes and nested elements."""
+    rows = v.table("supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 2 == 0, "ACT").otherwise("CAN").alias("s"))
+    found = readers.zip_xml(_packed(rows, _xml_archive), "ABR", "ABN struct<_VALUE: long, _status: string>, Main struct<Name: string>")
+    return found.select(F.col("ABN._VALUE").alias("number"), F.col("Main.Name").alias("name"), F.col("ABN._status").alias("status"))
+
+
+def _workbook(rows: pd.DataFrame) -> bytes:
+    """A workbook with a title row, a header in row 3, texts shared and inline, and a gap."""
+    texts = ["Directory of members", "Company Name", "Country", "Phone No.", "E-mail"]
+    cell = lambda ref, x: f'<c r="{ref}" t="s"><v>{x}</v></c>' if isinstance(x, int) else f'<c r="{ref}" t="inlineStr"><is><t>{x}</t></is></c>' if x is not None else ""
+    lines = [f'<row r="1">{cell("A1", 0)}</row>', '<row r="2"/>', "<row r=\"3\">" + "".join(cell(f"{c}3", i) for c, i in zip("ABDE", (1, 2, 3, 4), strict=True)) + "</row>"]
+    for k, (name, country, phone) in enumerate(rows.itertuples(index=False), 4):
+        lines.append(f'<row r="{k}">{cell(f"A{k}", name)}{cell(f"B{k}", country)}{cell(f"D{k}", phone)}<c r="E{k}"/></row>')
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {space}>{''.join(f'<si><t>{t}</t></si>' for t in texts)}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@query("workbook_scan", "SELECT s_name name, n_name country, CASE WHEN s_suppkey % 3 <> 0 THEN 'T' || s_suppkey END phone, CAST(NULL AS VARCHAR) email FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def workbook_scan(v: Views) -> DataFrame:
+    """Directories as workbooks whose header stands somewhere below the top."""
+    rows = v.table("supplier").join(F.broadcast(v.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name", F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("T"), "s_suppkey")).alias("p"))
+    return readers.workbook_rows(_packed(rows, _workbook), {"name": ["name"], "country": ["country"], "phone": ["phone"], "email": ["mail"]}, needed="name")
+
+
+@query("report_file", sql("SELECT industry, count(*) n, count(*) FILTER (WHERE email IS NOT NULL) with_email FROM v_entity GROUP BY 1"))
+def report_file(v: Views) -> DataFrame:
+    """A report as one JSON file, read back."""
+    path = new_path(v.spark, "report")
+    by = v.entity.groupBy("industry").agg(F.count("*").alias("n"), F.count("email").alias("with_email"))
+    sinks.write_report(by, path)
+    return v.spark.read.schema("industry string, n long, with_email long").json(path, multiLine=True)
+
+
 def _events(v: Views) -> DataFrame:
     return jobs.event_stream(v.spark, f"{v.sf_dir}/events.parquet")
 

@@ -1,9 +1,16 @@
-"""Scans: CSV with untidy headers, JSON trees and settings, XML records, paged services."""
+"""Scans: CSV with untidy headers, JSON trees and settings, XML records, archives, workbooks, paged services."""
 
 from __future__ import annotations
 
+import csv
+import functools
+import io
+import time
+import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,13 +25,18 @@ def csv_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def canonical_headers(df: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
     """Columns by the canonical names whose marks they contain: the first column wins, each name is used once."""
-    chosen: dict[str, str] = {}
-    for column in df.columns:
+    return df.select(*[F.col(f"`{df.columns[i]}`").alias(n) for n, i in chosen_columns(df.columns, fields).items()])
+
+
+def chosen_columns(header: Sequence[str], fields: Mapping[str, Sequence[str]]) -> dict[str, int]:
+    """The column of each canonical name: the first whose header contains one of its marks; a column has one name."""
+    chosen: dict[str, int] = {}
+    for i, column in enumerate(header):
         for name, marks in fields.items():
             if name not in chosen and any(m in column.lower() for m in marks):
-                chosen[name] = column
+                chosen[name] = i
                 break
-    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in chosen.items()])
+    return chosen
 
 
 def json_nodes(spark: SparkSession, path: str, schema: str, field: str = "nodes", by_line: bool = False) -> DataFrame:
@@ -37,6 +49,116 @@ def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFr
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+def _member_rows(content: bytes, suffix: str) -> Iterator[list[str]]:
+    """The records of the CSV members of an archive, the header of each first."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for name in sorted(n for n in archive.namelist() if n.lower().endswith(suffix)):
+            with archive.open(name) as raw:
+                yield from csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+
+
+def zip_csv(files: DataFrame, suffix: str = ".csv", rows: int = 10_000) -> DataFrame:
+    """The records of CSV files in archives, all columns text, blanks around their names dropped.
+
+    `files` has `content`, as spark.read.format("binaryFile") gives it: a task has
+    one archive and unpacks it record by record. All members have the header of
+    the first; a short record has nulls, and an archive without members no rows.
+    """
+
+    def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            first = [next(_member_rows(c, suffix), None) for c in batch["content"]]
+            yield pd.DataFrame({"names": [[x.strip() for x in f] for f in first if f]})
+
+    found = files.select("content").mapInPandas(header, "names array<string>").first()
+    names = found["names"] if found else []
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                held = []
+                for cells in _member_rows(content, suffix):
+                    if [c.strip() for c in cells] != names:
+                        held.append([*cells, *[None] * (len(names) - len(cells))][: len(names)])
+                    if len(held) == rows:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+                yield pd.DataFrame(held, columns=names)
+
+    return files.select("content").mapInPandas(records, ", ".join(f"`{n}` string" for n in names)) if names else files.sparkSession.range(0).select()
+
+
+def zip_xml(files: DataFrame, tag: str, schema: str, suffix: str = ".xml") -> DataFrame:
+    """The elements of one name in XML files in archives (`content`), read one after the other; Spark parses their fields."""
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(n for n in archive.namelist() if n.lower().endswith(suffix)):
+                        held = []
+                        with archive.open(name) as raw:
+                            for _, element in ElementTree.iterparse(raw):
+                                if element.tag == tag:
+                                    held.append(ElementTree.tostring(element, encoding="unicode"))
+                                    element.clear()
+                                if len(held) == 10_000:
+                                    yield pd.DataFrame({"xml": held})
+                                    held = []
+                        yield pd.DataFrame({"xml": held})
+
+    return files.select("content").mapInPandas(elements, "xml string").select(F.from_xml("xml", schema).alias("x")).select("x.*")
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of a workbook's first sheet, as text."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+        with book.open(min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))) as raw:
+            for _, element in ElementTree.iterparse(raw):
+                if element.tag != f"{_SHEET}row":
+                    continue
+                cells: dict[int, str | None] = {}
+                for place, cell in enumerate(element.iter(f"{_SHEET}c")):
+                    letters = "".join(x for x in cell.get("r", "") if x.isalpha())
+                    at = functools.reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0) - 1 if letters else place
+                    value = cell.find(f"{_SHEET}v")
+                    text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else value.text if value is not None else None
+                    cells[at] = shared[int(text)] if cell.get("t") == "s" and text is not None else text
+                yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+                element.clear()
+
+
+def workbook_rows(files: DataFrame, fields: Mapping[str, Sequence[str]], least: int = 4, needed: str | None = None) -> DataFrame:
+    """The rows of workbooks' first sheets (`content`), by the canonical names of `fields`, as text.
+
+    The header is the first row with `least` cells that are not empty; a field has
+    the first column whose header contains one of its marks, or nulls. Rows above
+    the header go, as do rows without the `needed` field.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                columns, out = None, []
+                for cells in _sheet_rows(content):
+                    if columns is None:
+                        if sum(bool(c and c.strip()) for c in cells) >= least:
+                            columns = chosen_columns([c or "" for c in cells], fields)
+                        continue
+                    out.append({f: (cells[i] or "").strip() or None if i < len(cells) else None for f, i in columns.items()})
+                yield pd.DataFrame(out, columns=list(fields), dtype=object)
+
+    found = files.select("content").mapInPandas(rows, ", ".join(f"`{f}` string" for f in fields))
+    return found.filter(F.col(needed).isNotNull()) if needed else found
+
+
 class Page(InputPartition):
     """One page of one part of a paged service."""
 
@@ -81,3 +203,119 @@ def paged_source(name: str, schema: str, count: Callable[[str | None], int], fet
             return Reader()
 
     return Source
+
+
+class BadRequest(Exception):
+    """A service refuses a request as it is; the same one will not do later."""
+
+
+def persistent(call: Callable[..., object], endpoints: Sequence[str] = ("",), attempts: int = 4, wait: float = 0.0) -> Callable[..., object]:
+    """call(endpoint, attempt, ...) until it succeeds: each attempt at the endpoint that has failed least; the last failure is raised.
+
+    Failures are remembered for as long as the task lives; a success takes one
+    back. Spark runs a task that failed again, which is the second pass.
+    """
+    fails = dict.fromkeys(endpoints, 0)
+
+    def run(*args: object) -> object:
+        for attempt in range(attempts):
+            endpoint = sorted(endpoints, key=fails.get)[attempt % len(endpoints)]
+            try:
+                answer = call(endpoint, attempt, *args)
+            except BadRequest:
+                raise
+            except Exception:
+                fails[endpoint] += 1
+                if attempt + 1 == attempts:
+                    raise
+                time.sleep(wait * (attempt + 1))
+            else:
+                fails[endpoint] = max(0, fails[endpoint] - 1)
+                return answer
+        raise AssertionError("unreachable")
+
+    return run
+
+
+def unwrap(answer: object, path: str) -> object:
+    """What an answer holds under a path of names, as `_embedded.items`; None if it is not there."""
+    for name in path.split("."):
+        answer = answer.get(name) if isinstance(answer, Mapping) else None
+    return answer
+
+
+def offset_source(name: str, schema: str, fetch: Callable[..., Sequence[tuple]], limit: int, parts: Sequence[str], endpoints: Sequence[str] = ("",), attempts: int = 4, wait: float = 5.0) -> type[DataSource]:
+    """A data source for a service that is read by offset and does not say how much it has; each part is a partition.
+
+    `fetch(endpoint, attempt, part, offset, limit, ordered)` gives records, fewer
+    than `limit` at the end. A service that refuses an order (BadRequest) is asked
+    without one from there on. Other failures are tried again, at the endpoint
+    that has failed least; what cannot be read is an error, not a gap.
+    """
+
+    class Reader(DataSourceReader):
+        def partitions(self) -> Sequence[InputPartition]:
+            return [Page(p, 0) for p in parts]
+
+        def read(self, page: InputPartition | None) -> Iterator[tuple]:
+            if page is None:
+                return
+            ask, offset, ordered = persistent(fetch, endpoints, attempts, wait), 0, True
+            while True:
+                try:
+                    records = ask(page.part, offset, limit, ordered)
+                except BadRequest:
+                    if not ordered:
+                        raise
+                    ordered = False
+                    continue
+                yield from records
+                if len(records) < limit:
+                    return
+                offset += limit
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return Reader()
+
+    return Source
+
+
+def linked_source(name: str, schema: str, fetch: Callable[..., Mapping], parts: Sequence[str], records: str = "_embedded.items", pages: str = "page.totalPages", fields: Sequence[str] = (), attempts: int = 4, wait: float = 5.0) -> type[DataSource]:
+    """A data source for a service whose answers say how many pages there are and hold their records under a path.
+
+    `fetch(endpoint, attempt, part, page)` gives an answer; a part's first one
+    tells its pages, and each page is a partition. Records become rows of `fields`,
+    names or paths, null where a record lacks one.
+    """
+
+    class Reader(DataSourceReader):
+        def partitions(self) -> Sequence[InputPartition]:
+            ask = persistent(fetch, attempts=attempts, wait=wait)
+            return [Page(p, k) for p in parts for k in range(int(unwrap(ask(p, 0), pages) or 0))]
+
+        def read(self, page: InputPartition | None) -> Iterator[tuple]:
+            if page is not None:
+                answer = persistent(fetch, attempts=attempts, wait=wait)(page.part, page.number)
+                for record in unwrap(answer, records) or []:
+                    yield tuple(unwrap(record, f) for f in fields)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return Reader()
+
+    return Source

@@ -27,6 +27,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report, a few rows, as one file with one JSON array; nulls included."""
+    whole = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]")).alias("value"))
+    whole.coalesce(1).write.text(path)
+
+
 def add_counters(stored: DataFrame, more: DataFrame, key: tuple[str, ...], value: str) -> DataFrame:
     """Counters with increments added; new keys start at their increment."""
     return stored.select(*key, value).unionByName(more.select(*key, value)).groupBy(*key).agg(F.sum(value).alias(value))
