@@ -24,6 +24,69 @@ def tree(leaves: DataFrame) -> DataFrame:
     return leaves.select(levels.alias("x")).groupBy("x.code", "x.level", "x.parent").agg(F.count("*").alias("n"))
 
 
+def build(book: DataFrame, deepest: int = 8) -> DataFrame:
+    """(code, level, parent, label, label_en, path, path_en, heading) from the lines of a tariff book, one row for each code.
+
+    `book` has chapter, place, code (null or without digits for a group line),
+    label and label_en, whose leading dashes say how deep a line is. A group line
+    or a subheading is the context of the deeper lines after it, until a line of
+    its own depth or less, or the next heading. That context needs no fold: for
+    each depth, the last line of this depth counts if it is also the last one of
+    this depth or less. So it is windows over a chapter, a few hundred lines.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\-–]+", ""), r"\s*:\s*$", ""), r"\s+", " "))
+    digits = F.regexp_replace(F.coalesce("code", F.lit("")), "[^0-9]", "")
+    depth = F.length(F.regexp_replace(F.regexp_extract(F.coalesce("label", F.lit("")), r"^((?:-\s*)+)", 1), "[^-]", ""))
+    lines = book.select("chapter", "place", digits.alias("digits"), depth.alias("depth"), clean(F.col("label")).alias("label"), clean(F.col("label_en")).alias("label_en"))
+    h4, is_group = F.substring("digits", 1, 4), F.col("digits") == ""
+    is_heading = (F.length("digits") == 4) | F.col("digits").rlike("^[0-9]{4}0000$")
+    upto = W.partitionBy("chapter").orderBy("place")
+    before = upto.rowsBetween(W.unboundedPreceding, -1)
+    lines = lines.withColumns({"h4": F.when(~is_group, h4), "is_heading": is_heading & ~is_group})
+    # a line under a heading that has no line of its own opens it
+    opens = ~is_group & (F.col("is_heading") | ~F.col("h4").eqNullSafe(F.last("h4", ignorenulls=True).over(before)))
+    lines = lines.withColumn("opens", opens)
+    lines = lines.withColumn("section", F.coalesce(F.last(F.when(F.col("opens"), F.col("place")), ignorenulls=True).over(upto), F.lit(-1)))
+    lines = lines.withColumn("kept", (is_group | (F.length("digits") == 6)) & ~F.col("is_heading"))
+    inside = W.partitionBy("chapter", "section").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    counts = ~F.col("is_heading")
+    contexts = []
+    for d in range(deepest + 1):
+        same = F.last(F.when(F.col("kept") & (F.col("depth") == d), F.struct("place", "label", "label_en")), ignorenulls=True).over(inside)
+        less = F.last(F.when(counts & (F.col("depth") <= d), F.col("place")), ignorenulls=True).over(inside)
+        contexts.append(F.when((F.col("depth") > d) & (same["place"] == less), same))
+    lines = lines.withColumn("context", F.array_compact(F.array(*contexts))).filter(~is_group)
+    heading = W.partitionBy("chapter", "section").orderBy("place")
+    lines = lines.withColumns({"h_label": F.first("label").over(heading), "h_label_en": F.first("label_en").over(heading)})
+    joined = lambda items, f: F.array_join(F.transform(items, lambda x: x[f]), " › ")
+    none = F.lit(None).cast("string")
+
+    def node(code, level, parent, label, label_en, path, path_en, head):
+        fields = zip(("code", "level", "parent", "label", "label_en", "path", "path_en", "heading"), (code, F.lit(level), parent, label, label_en, path, path_en, head), strict=True)
+        return F.struct(*[v.alias(n) for n, v in fields])
+
+    own, own_en, ctx = F.col("label"), F.col("label_en"), F.col("context")
+    top, six, whole = F.col("h4"), F.substring("digits", 1, 6), F.length("digits") == 8
+    last = F.element_at(ctx, -1)
+    rest = F.slice(ctx, F.lit(1), F.greatest(F.size(ctx) - 1, F.lit(0)))
+    chapter = F.substring("digits", 1, 2)
+    path, path_en = joined(ctx, "label"), joined(ctx, "label_en")
+    filled = lambda a, b: F.when(F.size(ctx) > 0, a).otherwise(b)
+    nodes = F.array(
+        F.when(F.col("opens"), node(top, 4, chapter, own, own_en, none, none, none)),
+        F.when(F.col("is_heading") & whole, node(F.concat(top, F.lit("00")), 6, top, own, own_en, none, none, top)),
+        F.when(F.col("is_heading") & whole, node(F.col("digits"), 8, F.concat(top, F.lit("00")), own, own_en, none, none, top)),
+        F.when(~F.col("is_heading") & (F.length("digits") == 6), node(six, 6, top, own, own_en, path, path_en, top)),
+        # a national line whose subheading has no line: the line itself, the heading, or the group that it stands in
+        F.when(~F.col("is_heading") & whole, F.when(F.col("digits").endswith("00"), node(six, 6, top, own, own_en, path, path_en, top))
+               .when(six.endswith("00"), node(six, 6, top, F.col("h_label"), F.col("h_label_en"), none, none, top))
+               .otherwise(node(six, 6, top, filled(last["label"], own), filled(last["label_en"], own_en), joined(rest, "label"), joined(rest, "label_en"), top))),
+        F.when(~F.col("is_heading") & whole, node(F.col("digits"), 8, six, own, own_en, path, path_en, top)),
+    )
+    found = lines.select("place", F.posexplode(F.array_compact(nodes)).alias("k", "node"))
+    return found.groupBy("node.code").agg(F.min_by("node", F.struct("place", "k")).alias("n")).select("n.*")
+
+
 def hit(field: Column, word: str) -> Column:
     """2 for a whole word of a normalised field, 1 for the start of one if the word has five letters, else 0."""
     start = F.when(F.contains(field, F.lit(f" {word}")), 1).otherwise(0) if len(word) >= 5 else F.lit(0)

@@ -34,6 +34,25 @@ def taxonomy_tree(v: Views) -> DataFrame:
     return x.tree(v.taxonomy)
 
 
+@query("taxonomy_build", sql("""SELECT code, level, parent, label, path FROM (SELECT heading code, 4 AS level, chapter parent, 'Heading ' || heading AS label, NULL path FROM g UNION ALL SELECT code6, 6, heading, 'Item ' || code6, 'Group ' || (CAST(substr(code6, 5, 2) AS INTEGER) // 10) FROM c
+    UNION ALL SELECT code6 || '10', 8, code6, 'Line of ' || code6, 'Group ' || (CAST(substr(code6, 5, 2) AS INTEGER) // 10) || ' › Item ' || code6 FROM c)""",
+    c="SELECT DISTINCT chapter, heading, code6 FROM v_taxonomy WHERE heading IS NOT NULL", g="SELECT DISTINCT chapter, heading FROM c"))
+def taxonomy_build(v: Views) -> DataFrame:
+    """The tree of a tariff book: headings, groups of ten codes, codes and a national line of each, with the path of dashes above."""
+    codes = v.taxonomy.select("chapter", "heading", "code6").filter("heading is not null").distinct()
+    c, lit = F.col, F.lit
+    ten = F.floor(F.substring("code6", 5, 2).cast("int") / 10)
+    line = lambda order, code, label: F.struct(order.alias("order"), code.alias("code"), label.alias("label"))
+    heads = codes.select("chapter", line(c("heading"), F.concat(F.substring("heading", 1, 2), lit("."), F.substring("heading", 3, 2)), F.concat(lit("Heading "), "heading", lit(" :"))).alias("x")).distinct()
+    groups = codes.select("chapter", line(F.concat("heading", ten.cast("string")), lit(""), F.concat(lit("- Group "), ten, lit(":"))).alias("x")).distinct()
+    items = codes.select("chapter", F.explode(F.array(
+        line(F.concat("heading", ten.cast("string"), "code6"), c("code6"), F.concat(lit("- - Item  "), "code6")),
+        line(F.concat("heading", ten.cast("string"), "code6", lit("x")), F.concat("code6", lit("10")), F.concat(lit("- - - Line of "), "code6")),
+    )).alias("x"))
+    book = heads.union(groups).union(items).select("chapter", c("x.order").alias("place"), c("x.code").alias("code"), c("x.label").alias("label"), c("x.label").alias("label_en"))
+    return x.build(book).select("code", "level", "parent", "label", "path")
+
+
 _LABEL_SQL = "SELECT code6 code, heading head_code, min(description) own, max(description) context, min(split_part(description, ' ', 2)) head, min(p_brand || ' widget') en, max(split_part(description, ' ', 1) || ' goods') enctx FROM v_taxonomy GROUP BY 1, 2"
 
 
@@ -308,15 +327,60 @@ def quote_grounding(v: Views) -> DataFrame:
     return _named_pages(v).select("page_id", t.quote_on_page(quote, F.col("n")).alias("grounded"))
 
 
-@query("verify_confidence", sql(f"""SELECT page_id, CASE WHEN NOT named THEN 'name_not_found' WHEN host LIKE '%example.org' THEN 'blocked_host' END reason, CASE WHEN named AND host NOT LIKE '%example.org' THEN least(92, 55 + CASE WHEN host IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN contains(plain, '@') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(plain, '[0-9]{{4}}') THEN 4 ELSE 0 END + CASE WHEN contains(n, ' the ') THEN 8 ELSE 0 END + CASE WHEN url LIKE '%/en/%' THEN 7 ELSE 0 END) END confidence
-    FROM (SELECT *, {_HOST_SQL} host, {_NAME_SQL} named FROM (SELECT *, {_TOKENS_SQL} toks FROM q))""", p=_PAGE_NORM_SQL, q=_NAMED_PAGES_SQL))
-def verify_confidence(v: Views) -> DataFrame:
-    """Why a candidate is refused, or how far it is trusted."""
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    rows = _named_pages(v).withColumns({"host": t.host(F.col("url")), "named": t.name_on_page(F.col("name"), F.col("n"))})
-    reason = F.when(~F.col("named"), "name_not_found").when(F.col("host").endswith("example.org"), "blocked_host")
-    trust = F.least(F.lit(92), 55 + points(F.col("host").isNotNull(), 10) + points(F.contains("plain", F.lit("@")), 8) + points(F.col("plain").rlike("[0-9]{4}"), 4) + points(F.contains("n", F.lit(" the ")), 8) + points(F.contains("url", F.lit("/en/")), 7))
-    return rows.select("page_id", reason.alias("reason"), F.when(reason.isNull(), trust).alias("confidence"))
+_KINDS = ["importer", "distributor", "retail_chain"]
+_ORIGIN, _IMPORTS, _PRODUCT = "(?i)proudly made|handwerk", "(?i)the and|tion", ["heas", "qu"]
+_CANDIDATE_SQL = """SELECT page_id, url, n, plain, CASE page_id % 11 WHEN 0 THEN 'x' ELSE split_part(title, ' ', 1) || ' zzzq GmbH ' || CASE WHEN page_id % 2 = 0 THEN split_part(title, ' ', 2) ELSE '' END END AS name, CASE page_id % 13 WHEN 0 THEN 'FR' WHEN 1 THEN 'de' ELSE 'DE' END country,
+    CASE page_id % 7 WHEN 0 THEN 'Retail chain' WHEN 1 THEN 'nobody' ELSE 'importer' END kind, CASE page_id % 5 WHEN 0 THEN 'www.shop' || page_id || '.id' WHEN 1 THEN 'https://firm1.de/x' END site, CASE page_id % 9 WHEN 0 THEN 'invented words that nobody wrote here' ELSE substr(plain, 40, 80) END quote,
+    CASE WHEN page_id % 2 = 0 THEN 'A@firm1.de' ELSE 'other@firm1.de' END email, CASE WHEN page_id % 3 = 0 THEN '+49 30 1234567' END phone, CASE WHEN page_id % 17 <> 0 THEN plain || CASE WHEN page_id % 4 = 0 THEN ' proudly made' ELSE '' END END evidence, CASE WHEN page_id % 4 = 1 THEN 'Site of ' || title END site_text, ['a@firm1.de', 'z@mail.firm1.de'] seen_emails, ['49301234567'] seen_phones FROM p"""
+
+
+def _norm_sql(c: str) -> str:
+    return _norm(c)
+
+
+def _on_page_sql(page: str) -> str:
+    tokens = f"list_filter(string_split(trim({_norm('name')}), ' '), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(f"'{f}'" for f in t.LEGAL_FORMS)}))"
+    return f"coalesce(CASE WHEN len({tokens}) > 0 THEN floor(len(list_filter({tokens}, lambda w: contains({page}, w))) * 100.0 / len({tokens})) >= 60 END, contains({page}, trim({_norm('name')})))"
+
+
+_VERIFY_QUOTE_SQL = _QUOTE_SQL.replace("contains(n,", "contains(ev,")
+_SITE_SQL = "nullif(regexp_replace(regexp_extract(lower(site), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\\.', ''), '')"
+
+
+@query("verify_candidates", sql(f"""SELECT page_id, reason, CASE WHEN reason IS NULL THEN em END email, CASE WHEN reason IS NULL THEN ph END phone, CASE WHEN reason IS NULL THEN least(92, 55 + CASE WHEN site_text IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN em IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN ph IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN buys THEN 8 ELSE 0 END + CASE WHEN fits THEN 7 ELSE 0 END + CASE WHEN kind = 'importer' THEN 3 ELSE 0 END) END confidence FROM (
+    SELECT *, CASE WHEN length(trim(name)) < 2 THEN 'no_name' WHEN upper(country) <> 'DE' THEN 'other_country' WHEN replace(lower(trim(kind)), ' ', '_') NOT IN ({', '.join(f"'{k}'" for k in _KINDS)}) THEN 'unknown_kind' WHEN evidence IS NULL THEN 'evidence_not_opened' WHEN NOT ({_VERIFY_QUOTE_SQL}) THEN 'quote_not_found'
+      WHEN coalesce(ends_with(h, '.id'), FALSE) THEN 'home_site' WHEN NOT ({_on_page_sql('ev')} OR (site_text IS NOT NULL AND {_on_page_sql('st')})) THEN 'name_not_found' WHEN regexp_matches(left(own, 4000), '{_ORIGIN}') AND NOT regexp_matches(own, '{_IMPORTS}') THEN 'home_exporter' WHEN NOT fits AND NOT buys THEN 'no_sign_of_buying' END reason,
+      CASE WHEN list_contains(seen_emails, lower(email)) THEN lower(email) WHEN h IS NOT NULL THEN list_min(list_filter(seen_emails, lambda e: ends_with(split_part(e, '@', 2), h))) END em, CASE WHEN list_contains(seen_phones, regexp_replace(phone, '[^0-9]', '', 'g')) THEN regexp_replace(phone, '[^0-9]', '', 'g') WHEN site_text IS NOT NULL THEN seen_phones[1] END ph
+    FROM (SELECT *, list_filter(string_split(q, ' '), lambda w: length(w) >= 4) lw, regexp_matches(b, '{_IMPORTS}') buys, {' OR '.join(f"contains({_norm_sql('b')}, '{k}')" for k in _PRODUCT)} fits FROM (SELECT *, {_norm('evidence')} ev, {_norm('site_text')} st, trim({_norm('quote')}) q, coalesce(site_text, evidence) own, concat_ws(' ', evidence, site_text) b, {_SITE_SQL} h FROM q)))""", p=_PAGE_NORM_SQL, q=_CANDIDATE_SQL))
+def verify_candidates(v: Views) -> DataFrame:
+    """Why a candidate is refused, or with which contacts and how far it is trusted."""
+    k, c = F.col("page_id"), F.col
+    rows = _named_pages(v).withColumns({
+        "name": F.when(k % 11 == 0, "x").otherwise(F.col("name")), "country": F.when(k % 13 == 0, "FR").when(k % 13 == 1, "de").otherwise("DE"), "kind": F.when(k % 7 == 0, "Retail chain").when(k % 7 == 1, "nobody").otherwise("importer"),
+        "site": F.when(k % 5 == 0, F.concat(F.lit("www.shop"), k, F.lit(".id"))).when(k % 5 == 1, "https://firm1.de/x"), "quote": F.when(k % 9 == 0, "invented words that nobody wrote here").otherwise(F.substring("plain", 40, 80)),
+        "email": F.when(k % 2 == 0, "A@firm1.de").otherwise("other@firm1.de"), "phone": F.when(k % 3 == 0, "+49 30 1234567"), "evidence": F.when(k % 17 != 0, F.concat("plain", F.when(k % 4 == 0, " proudly made").otherwise(""))),
+        "site_text": F.when(k % 4 == 1, F.concat(F.lit("Site of "), "title")), "seen_emails": F.array(F.lit("a@firm1.de"), F.lit("z@mail.firm1.de")), "seen_phones": F.array(F.lit("49301234567")),
+    })
+    found = k_.verify(rows, "DE", _KINDS, ".id", _ORIGIN, _IMPORTS, _PRODUCT)
+    return found.select("page_id", c("reason"), c("email"), c("phone"), c("confidence"))
+
+
+_LISTED_SQL = """SELECT page_id page, i place, plain AS text, CASE i WHEN 1 THEN split_part(title, ' ', 1) || ' Ltd' WHEN 2 THEN 'Zzzq Invented' WHEN 3 THEN upper(split_part(title, ' ', 1)) || ' LTD' ELSE split_part(title, ' ', 2) || ' ' || split_part(title, ' ', 1) END AS name, CASE (page_id + i) % 5 WHEN 0 THEN 'ID' WHEN 1 THEN NULL WHEN 2 THEN 'DE' ELSE 'FR' END country,
+    CASE WHEN i = 1 THEN 'nobody@nowhere.de' END email, CASE WHEN i = 4 THEN regexp_extract(plain, '([0-9]{4,})', 1) END phone, url site FROM p, (VALUES (1), (2), (3), (4)) v(i)"""
+
+
+@query("directory_harvest", sql(f"""SELECT page, place, outcome, phone, CASE WHEN outcome = 'kept' THEN 58 + CASE WHEN em IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN st IS NOT NULL THEN 4 ELSE 0 END END confidence FROM (
+    SELECT *, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY page, lower(trim(name)), country, o IS NULL ORDER BY place) > 1 THEN 'repeated' ELSE 'kept' END) outcome FROM (
+    SELECT page, place, name, country, CASE WHEN NOT {_on_page_sql('n')} THEN 'dropped_name' WHEN country IS NULL OR country = 'ID' OR country NOT IN ('DE', 'FR') THEN 'dropped_country' END o, CASE WHEN contains(s, email) THEN email END em, CASE WHEN d <> '' AND contains(regexp_replace(text, '[^0-9]', '', 'g'), d) THEN d END phone, CASE WHEN contains(s, h) THEN h END st
+    FROM (SELECT *, {_norm('text')} n, lower(regexp_replace(text, '\s+', ' ', 'g')) s, regexp_replace(phone, '[^0-9]', '', 'g') d, {_SITE_SQL} h FROM q) WHERE length(trim(name)) >= 3))""", p=_PAGE_NORM_SQL, q=_LISTED_SQL))
+def directory_harvest(v: Views) -> DataFrame:
+    """Rows that a page is said to list: what the page bears out, and why the others go."""
+    k, i = F.col("page"), F.col("place")
+    rows = _named_pages(v).select(F.col("page_id").alias("page"), F.col("plain").alias("text"), "title", F.col("url").alias("site"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("place")).withColumns({
+        "name": F.when(i == 1, F.concat(_word(1), F.lit(" Ltd"))).when(i == 2, "Zzzq Invented").when(i == 3, F.concat(F.upper(_word(1)), F.lit(" LTD"))).otherwise(F.concat(_word(2), F.lit(" "), _word(1))),
+        "country": F.when((k + i) % 5 == 0, "ID").when((k + i) % 5 == 1, None).when((k + i) % 5 == 2, "DE").otherwise("FR"), "email": F.when(i == 1, "nobody@nowhere.de"), "phone": F.when(i == 4, F.regexp_extract("text", "([0-9]{4,})", 1)),
+    })
+    return k_.harvest(rows, "ID", ["DE", "FR"]).select("page", "place", "outcome", "phone", "confidence")
 
 
 @query("list_page_precheck", f"SELECT doc_id, length(text) >= 600 AND (len(regexp_extract_all(text, '(?i)\\b(?:gmbh|ltd|inc|the)\\b')) >= 10 OR len({_EMAILS_SQL.replace('lower(s)', 'lower(text)')}) >= 8) is_list FROM documents")
@@ -344,14 +408,17 @@ def tidy_name(v: Views) -> DataFrame:
     return v.table("part").select(k.alias("part_id"), t.tidy_name(raw).alias("name"))
 
 
-@query("query_generator", sql("SELECT heading, country, replace(replace(tpl, '{p}', heading), '{c}', country) query, coalesce(n, 0) n FROM (SELECT * FROM (SELECT DISTINCT heading FROM v_taxonomy), (SELECT DISTINCT n_name country FROM nation), (VALUES ('{p} importers {c}'), ('{c} {p} Einkauf')) x(tpl)) LEFT JOIN (SELECT heading, supplier_country country, count(*) n FROM v_shipment JOIN v_supplier USING (supplier_id) GROUP BY 1, 2) USING (heading, country)"))
+@query("query_generator", sql("SELECT query, heading, country, n, rn AS rank FROM (SELECT *, row_number() OVER (ORDER BY n, heading, country, tpl) rn FROM (SELECT heading, country, tpl, replace(replace(tpl, '{p}', heading), '{c}', country) query, coalesce(n, 0) n FROM (SELECT * FROM (SELECT DISTINCT heading FROM v_taxonomy), (SELECT DISTINCT n_name country FROM nation), (VALUES ('{p} importers {c}'), ('{c} {p} Einkauf')) x(tpl)) LEFT JOIN (SELECT heading, supplier_country country, count(*) n FROM v_shipment JOIN v_supplier USING (supplier_id) GROUP BY 1, 2) USING (heading, country))) WHERE rn <= 500"))
 def query_generator(v: Views) -> DataFrame:
-    """Search queries for each product, country and template, with what is known of the pair."""
+    """The next 500 search queries for products, countries and templates: pairs of which least is known first."""
+    from ..operators.search import page
+
     known = v.shipments("supplier_id", "heading").join(v.supplier, "supplier_id").groupBy("heading", F.col("supplier_country").alias("country")).agg(F.count("*").alias("n"))
     names = F.array(*[F.lit(r[0]) for r in v.table("nation").select("n_name").distinct().collect()])  # 25 names, as settings are
     pairs = v.taxonomy.select("heading").distinct().select("heading", F.explode(names).alias("country"))
     rows = pairs.join(known, ["heading", "country"], "left").withColumn("tpl", F.explode(F.array(F.lit("{p} importers {c}"), F.lit("{c} {p} Einkauf"))))
-    return rows.select("heading", "country", F.replace(F.replace("tpl", F.lit("{p}"), F.col("heading")), F.lit("{c}"), F.col("country")).alias("query"), F.coalesce("n", F.lit(0)).alias("n"))
+    made = rows.select("heading", "country", "tpl", F.replace(F.replace("tpl", F.lit("{p}"), F.col("heading")), F.lit("{c}"), F.col("country")).alias("query"), F.coalesce("n", F.lit(0)).alias("n"))
+    return page(made, [F.asc("n"), F.asc("heading"), F.asc("country"), F.asc("tpl")], 1, 500).select("query", "heading", "country", "n", "rank")
 
 
 _KEYWORDS = [(1, "steel ring", "jewellery"), (2, "bolt", "hardware"), (3, "ring", "jewellery"), (4, "red", "colour"), (5, "blue", "colour")]
@@ -397,12 +464,16 @@ def domain_slugs(v: Views) -> DataFrame:
     return v.table("part").filter(F.size(k) > 0).select(F.col("p_partkey").alias("part_id"), F.explode(hosts).alias("host"))
 
 
-@query("host_rank", f"SELECT page_id, CAST(3 * len(list_filter(k, lambda w: contains(h, w))) + len(list_filter(k, lambda w: contains(lower(title), w))) AS BIGINT) score FROM (SELECT page_id, title, {_HOST_SQL} h, ['example', 'com', 'the', 'der', 'blog'] k FROM (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title FROM pages))")
+_WANTED = ["Example Blog Handel", "Wetter Example Ltd", "The Site Inc"]
+
+
+@query("host_rank", f"""SELECT search, host, score, place FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY score DESC, host DESC) place FROM (SELECT search, host, max(CAST(3 * len(list_filter(k, lambda w: contains(replace(host, '-', ''), w))) + len(list_filter(k, lambda w: contains(lower(title), w))) AS BIGINT)) score FROM (
+    SELECT page_id % 40 search, {_HOST_SQL} host, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title, CASE page_id % 3 {' '.join(f"WHEN {i} THEN {[w for w in n.lower().split() if len(w) >= 4]}" for i, n in enumerate(_WANTED))} END k FROM pages) WHERE host IS NOT NULL GROUP BY 1, 2)) WHERE place <= 3""")
 def host_rank(v: Views) -> DataFrame:
-    """How well a hit's host and title fit the wanted words."""
-    k = F.array(*map(F.lit, ("example", "com", "the", "der", "blog")))
-    n = lambda field: F.size(F.filter(k, lambda w: F.contains(field, w)))
-    return v.table("pages").select("page_id", (3 * n(t.host(F.col("url"))) + n(F.lower(t.html_title(F.col("html"))))).cast("long").alias("score"))
+    """The three hosts of each search that fit the wanted name best."""
+    k = F.col("page_id")
+    name = F.get(F.array(*map(F.lit, _WANTED)), (k % 3).cast("int"))
+    return k_.best_hosts(v.table("pages").select((k % 40).alias("search"), name.alias("name"), "url", t.html_title(F.col("html")).alias("title")))
 
 
 @query("website_norm", "SELECT page_id, CASE WHEN regexp_matches(h, '^[a-z0-9-]+(\\.[a-z0-9-]+)+$') AND regexp_replace(h, '^www\\.', '') NOT IN ('facebook.com', 'linkedin.com', 'instagram.com') THEN 'https://' || h END website FROM (SELECT page_id, regexp_extract(lower(trim(CASE page_id % 4 WHEN 0 THEN 'facebook.com/x' WHEN 1 THEN 'WWW.Shop' || page_id || '.de/abc' WHEN 2 THEN 'no host' ELSE url END)), '^(?:https?://)?([^/?#:]+)', 1) h FROM pages)")
