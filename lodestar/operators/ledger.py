@@ -27,6 +27,15 @@ PLANS = {
 }
 
 
+def plan_limit(plan: Column, meter: Column) -> Column:
+    """Units of a meter that a plan gives; null is without limit, and an unknown plan gives what an expired one does."""
+    of = lambda limits: F.create_map(*[x for m, n in zip(RATES, limits, strict=True) for x in (F.lit(m), F.lit(n).cast("long"))])[meter]
+    out = of(PLANS["expired"][2])
+    for name, (_, _, limits) in PLANS.items():
+        out = F.when(plan == name, of(limits)).otherwise(out)
+    return out
+
+
 def running_balance(rows: DataFrame, account: str = "account", delta: str = "delta", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The balance of an account after each row."""
     so_far = W.partitionBy(account).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -102,14 +111,26 @@ def order_states(payments: DataFrame) -> DataFrame:
 def plan_expiry(purchases: DataFrame, days: int = 30) -> DataFrame:
     """The expiry of each account's plan after all purchases: a purchase extends a running plan of its kind, else starts now.
 
-    `purchases` has account, plan, ts (seconds) and event_id. The fold is over the
-    purchases of one account, a short list.
+    `purchases` has account, plan, ts (seconds) and event_id. As in `consume`,
+    Spark sorts and the fold reads batches, so an account may have any number.
     """
-    length = days * 86400
-    start = F.struct(F.lit("").alias("plan"), F.lit(0).cast("long").alias("until"))
-    step = lambda a, x: F.struct(x["plan"].alias("plan"), (F.when((a["plan"] == x["plan"]) & (a["until"] > x["ts"]), a["until"]).otherwise(x["ts"]) + length).alias("until"))
-    folded = purchases.groupBy("account").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("ts", "event_id", "plan"))), start, step).alias("s"))
-    return folded.select("account", "s.plan", "s.until")
+    kind = purchases.schema["account"].dataType.simpleString()
+    laid = purchases.repartition("account").sortWithinPartitions("account", "ts", "event_id").select("account", "plan", "ts")
+
+    def fold(batches):
+        last = None
+        for b in batches:
+            done = []
+            for account, plan, ts in b.itertuples(index=False, name=None):
+                if last is not None and last[0] != account:
+                    done.append(last)
+                    last = None
+                begin = last[2] if last is not None and last[1] == plan and last[2] > ts else ts
+                last = (account, plan, begin + days * 86400)
+            yield pd.DataFrame(done, columns=["account", "plan", "until"])
+        yield pd.DataFrame([last] if last is not None else [], columns=["account", "plan", "until"])
+
+    return laid.mapInPandas(fold, f"account {kind}, plan string, until long")
 
 
 def topup_reason(amount: Column) -> Column:

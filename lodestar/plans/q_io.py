@@ -13,6 +13,7 @@ from ..operators.ledger import RATES
 from ..sources import readers, sinks
 from ..sources.storage import new_path
 from ..streaming import jobs
+from .q_ledger import CONSUME_SQL
 from .registry import query
 from .views import Views, sql
 
@@ -210,26 +211,26 @@ def stream_dedup(v: Views) -> DataFrame:
 
 @query("stream_usage_counter", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type meter, count(*) used FROM events GROUP BY 1, 2")
 def stream_usage_counter(v: Views) -> DataFrame:
-    return jobs.run_available(jobs.usage_counters(_events(v)), "complete")
+    return jobs.run_available(jobs.usage_counters(_events(v)), "update", ("day", "meter"))
 
 
-@query("stream_quota")
+@query("stream_quota", CONSUME_SQL)
 def stream_quota(v: Views) -> DataFrame:
-    """Requests against quota and balance, as a stream with state; tests hold it against the batch fold."""
+    """Requests against quota and balance, as a stream with state."""
     meter = F.create_map(*[F.lit(x) for x in ("click", "search", "view", "profile", "error", "send")])[F.col("event_type")]
     rows = _events(v).filter("event_type <> 'signup'").select(F.col("user_id").alias("account"), "event_id", "ts", meter.alias("meter"), (F.lit(1) + F.col("event_id") % 3).alias("n"), F.round(F.col("value") * 100).cast("long").alias("amount"))
-    return jobs.run_available(jobs.quotas(rows, {"search": 12, "profile": 6, "send": 3}, RATES), "append")
+    return jobs.run_quotas(rows, {"search": 12, "profile": 6, "send": 3}, RATES)
 
 
 @query("stream_tumbling", "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS begin, event_type, count(*) n FROM events GROUP BY 1, 2")
 def stream_tumbling(v: Views) -> DataFrame:
-    return jobs.run_available(jobs.windowed(_events(v), "6 hours"), "complete")
+    return jobs.run_available(jobs.windowed(_events(v), "6 hours"), "update", ("begin", "event_type"))
 
 
 @query("stream_sliding", "SELECT b AS begin, event_type, count(*) n FROM (SELECT event_type, unnest([s - s % 3600, s - s % 3600 - 3600]) b FROM (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) s FROM events)) GROUP BY 1, 2")
 def stream_sliding(v: Views) -> DataFrame:
     """Windows of two hours that begin every hour."""
-    return jobs.run_available(jobs.windowed(_events(v), "2 hours", "1 hour"), "complete")
+    return jobs.run_available(jobs.windowed(_events(v), "2 hours", "1 hour"), "update", ("begin", "event_type"))
 
 
 @query("stream_sessions", "SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS begin, count(*) n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END fresh FROM events)) GROUP BY user_id, k")

@@ -43,13 +43,34 @@ def quota_split(v: Views) -> DataFrame:
     return g.quota_split(_use(v), of({"search": 12, "profile": 6, "send": 3}), of({k: g.RATES[k] for k in ("search", "profile", "send")})).select("event_id", "n", "from_quota", "cost")
 
 
-@query("quota_consume")
+_PLAN_SQL = "CASE meter " + " ".join(f"WHEN '{m}' THEN CASE account % 5 " + " ".join(f"WHEN {i} THEN {'NULL' if p[2][j] is None else p[2][j]}" for i, p in enumerate(g.PLANS.values())) + " END" for j, m in enumerate(g.RATES)) + " END"
+
+
+@query("plan_quota", sql(f"""SELECT event_id, q from_quota, CAST((n - q) * CASE meter WHEN 'search' THEN 100 WHEN 'profile' THEN 300 ELSE 200 END AS BIGINT) AS cost FROM (SELECT *, CASE WHEN lim IS NULL THEN n ELSE greatest(0, least(n, lim - CAST(coalesce(sum(n) OVER (PARTITION BY account, meter ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT))) END q FROM (SELECT *, {_PLAN_SQL} lim FROM u))""", u=_USE_SQL))
+def plan_quota(v: Views) -> DataFrame:
+    """Units from the quota of each account's plan, some of which have no limit, and the cost of the rest."""
+    plan = F.get(F.array(*map(F.lit, g.PLANS)), (F.col("account") % 5).cast("int"))
+    rate = F.create_map(*[F.lit(x) for pair in g.RATES.items() for x in pair])[F.col("meter")]
+    return g.quota_split(_use(v), g.plan_limit(plan, F.col("meter")), rate).select("event_id", "from_quota", "cost")
+
+
+_LIMITS = {"search": 12, "profile": 6, "send": 3}
+_COUNT_SQL = ", ".join(f"u_{m} + CASE WHEN ok AND meter = '{m}' THEN n ELSE 0 END" for m in _LIMITS)
+#: Request by request: what the account has used of each meter, its balance, and what becomes of the next one.
+CONSUME_SQL = f"""WITH RECURSIVE e AS (SELECT user_id account, event_id, CASE event_type WHEN 'click' THEN 'search' WHEN 'view' THEN 'profile' WHEN 'error' THEN 'send' END meter, 1 + event_id % 3 n, CAST(round(value * 100) AS BIGINT) amount, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM events WHERE event_type <> 'signup'),
+    w AS (SELECT user_id account, CAST(0 AS BIGINT) k, CAST(NULL AS BIGINT) event_id, true accepted, CAST(0 AS BIGINT) balance, {', '.join(f'CAST(0 AS BIGINT) u_{m}' for m in _LIMITS)} FROM events GROUP BY 1
+      UNION ALL SELECT account, k, event_id, ok, CASE WHEN meter IS NULL THEN balance + amount WHEN ok THEN balance - cost ELSE balance END, {_COUNT_SQL} FROM (SELECT *, meter IS NULL OR cost <= balance ok FROM (
+        SELECT e.*, w.balance, {', '.join(f'w.u_{m}' for m in _LIMITS)}, CAST((e.n - greatest(0, least(e.n, CASE e.meter {' '.join(f"WHEN '{m}' THEN {n} - w.u_{m}" for m, n in _LIMITS.items())} ELSE 0 END))) * CASE e.meter {' '.join(f"WHEN '{m}' THEN {g.RATES[m]}" for m in _LIMITS)} ELSE 0 END AS BIGINT) AS cost FROM w JOIN e ON e.account = w.account AND e.k = w.k + 1)))
+    SELECT account, event_id, accepted, balance FROM w WHERE k > 0"""
+
+
+@query("quota_consume", CONSUME_SQL)
 def quota_consume(v: Views) -> DataFrame:
-    """The same with requests turned down where the balance does not reach; a fold that SQL cannot express."""
+    """The same with requests turned down where the balance does not reach: a fold."""
     none = F.lit(None).cast("string")
     tops = v.event.filter("event_type = 'purchase'").select("account", "ts", "event_id", none.alias("meter"), F.lit(0).cast("long").alias("n"), "amount")
     uses = _use(v).select("account", "ts", "event_id", "meter", "n", F.lit(0).cast("long").alias("amount"))
-    return g.consume(tops.unionByName(uses), {"search": 12, "profile": 6, "send": 3})
+    return g.consume(tops.unionByName(uses), _LIMITS).select("account", "event_id", "accepted", "balance")
 
 
 _HOOKS_SQL = "SELECT event_id, account, ts, event_type, event_id || ':' || event_type event_key, 0 again FROM v_event UNION ALL SELECT event_id, account, ts + INTERVAL 5 MINUTE, event_type, event_id || ':' || event_type, 1 FROM v_event WHERE event_id % 10 = 0"
@@ -74,7 +95,9 @@ def order_states(v: Views) -> DataFrame:
     return g.order_states(notices).select("order_id", "state", "mismatches")
 
 
-@query("plan_expiry_fold")
+@query("plan_expiry_fold", """WITH RECURSIVE e AS (SELECT user_id account, CASE WHEN CAST(round(value * 100) AS BIGINT) > 2000 THEN 'growth' ELSE 'hemat' END plan, CAST(floor(epoch(ts)) AS BIGINT) s, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) k, count(*) OVER (PARTITION BY user_id) n FROM events WHERE event_type = 'purchase'),
+    w AS (SELECT account, k, n, plan, s + 2592000 AS until FROM e WHERE k = 1 UNION ALL SELECT e.account, e.k, e.n, e.plan, CASE WHEN w.plan = e.plan AND w.until > e.s THEN w.until ELSE e.s END + 2592000 FROM w JOIN e ON e.account = w.account AND e.k = w.k + 1)
+    SELECT account, plan, until FROM w WHERE k = n""")
 def plan_expiry_fold(v: Views) -> DataFrame:
     """Expiry after all renewals, a fold in order of time."""
     p = v.event.filter("event_type = 'purchase'").select("account", F.when(F.col("amount") > 2000, "growth").otherwise("hemat").alias("plan"), F.unix_seconds("ts").alias("ts"), "event_id")

@@ -68,7 +68,7 @@ def zip_csv(files: DataFrame, suffix: str = ".csv", rows: int = 10_000) -> DataF
     def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             first = [next(_member_rows(c, suffix), None) for c in batch["content"]]
-            yield pd.DataFrame({"names": [[x.strip() for x in f] for f in first if f]})
+            yield pd.DataFrame({"names": pd.Series([[x.strip() for x in f] for f in first if f], dtype=object)})
 
     found = files.select("content").mapInPandas(header, "names array<string>").first()
     names = found["names"] if found else []
@@ -83,7 +83,7 @@ def zip_csv(files: DataFrame, suffix: str = ".csv", rows: int = 10_000) -> DataF
                     if len(held) == rows:
                         yield pd.DataFrame(held, columns=names)
                         held = []
-                yield pd.DataFrame(held, columns=names)
+                yield pd.DataFrame(held, columns=names, dtype=object)
 
     return files.select("content").mapInPandas(records, ", ".join(f"`{n}` string" for n in names)) if names else files.sparkSession.range(0).select()
 
@@ -219,7 +219,7 @@ def persistent(call: Callable[..., object], endpoints: Sequence[str] = ("",), at
 
     def run(*args: object) -> object:
         for attempt in range(attempts):
-            endpoint = sorted(endpoints, key=fails.get)[attempt % len(endpoints)]
+            endpoint = min(endpoints, key=fails.get)
             try:
                 answer = call(endpoint, attempt, *args)
             except BadRequest:

@@ -8,7 +8,6 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.storage import new_path
 
@@ -54,50 +53,84 @@ def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
     return by.select("user_id", F.unix_micros("session_window.start").alias("begin"), "n")
 
 
-def quotas(events: DataFrame, limits: Mapping[str, int], rates: Mapping[str, int]) -> DataFrame:
-    """What becomes of each request, with quota and balance of its account as state.
+def run_quotas(events: DataFrame, limits: Mapping[str, int], rates: Mapping[str, int]) -> DataFrame:
+    """(account, event_id, accepted, balance): what becomes of each request of a stream, with quota and balance of its account as state.
 
     `events` has account, event_id, ts, meter (null for a top-up), n and amount.
-    Rows of one batch are taken in order, and an account's are held together; a
-    row that comes in a later batch is taken after all before, whatever its ts,
-    as what was answered stands. A request that the balance cannot pay takes
-    nothing.
+    A batch's rows are sorted by Spark, the state of each account before its rows,
+    and folded as they come, so an account may have any number of rows. A row that
+    comes in a later batch is taken after all before, whatever its ts, as what was
+    answered stands. A request that the balance cannot pay takes nothing. Answers
+    and state of a batch are written as one folder named by the batch, from the
+    folder of the batch before: a batch that is run again replaces its own.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        balance, used = state.get if state.exists else (0, "{}")
-        used = json.loads(used)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, meter, n, amount in zip(rows["event_id"], rows["meter"], rows["n"], rows["amount"], strict=True):
-            if not isinstance(meter, str):
-                balance += int(amount)
-                out.append((key[0], event, True, balance))
-                continue
-            free = max(0, min(n, limits[meter] - used.get(meter, 0)))
-            cost = int((n - free) * rates[meter])
-            accepted = cost <= balance
-            if accepted:
-                used[meter], balance = int(used.get(meter, 0) + n), balance - cost
-            out.append((key[0], event, accepted, balance))
-        state.update((int(balance), json.dumps(used)))
-        yield pd.DataFrame(out, columns=["account", "event_id", "accepted", "balance"])
-
-    return events.groupBy("account").applyInPandasWithState(step, "account long, event_id long, accepted boolean, balance long", "balance long, used string", "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
+    spark, out = events.sparkSession, new_path(events.sparkSession, "quotas")
+    schema = "account long, event_id long, accepted boolean, balance long, used string"
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, balance, used = None, 0, {}
+        closing = lambda: [(account, None, None, balance, json.dumps(used))] if account is not None else []
+        for b in batches:
+            rows = []
+            for a, event, meter, n, amount, kept, held in zip(b["account"], b["event_id"], b["meter"], b["n"], b["amount"], b["balance"], b["used"], strict=True):
+                if a != account:
+                    rows += closing()
+                    account, balance, used = a, 0, {}
+                if isinstance(held, str):
+                    balance, used = int(kept), json.loads(held)
+                elif not isinstance(meter, str):
+                    balance += int(amount)
+                    rows.append((a, event, True, balance, None))
+                else:
+                    n = int(n)
+                    free = max(0, min(n, limits[meter] - used.get(meter, 0)))
+                    cost = (n - free) * rates[meter]
+                    if accepted := cost <= balance:
+                        used[meter], balance = used.get(meter, 0) + n, balance - cost
+                    rows.append((a, event, accepted, balance, None))
+            yield _quota_rows(rows)
+        yield _quota_rows(closing())
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select("account", "event_id", "ts", "meter", "n", "amount", F.lit(None).cast("long").alias("balance"), F.lit(None).cast("string").alias("used"))
+        if number:
+            before = spark.read.schema(schema).parquet(f"{out}/batch={number - 1}").filter("event_id is null")
+            new = new.unionByName(before.select("account", "balance", "used"), allowMissingColumns=True)
+        laid = new.repartition("account").sortWithinPartitions("account", F.col("used").isNull(), "ts", "event_id")
+        laid.mapInPandas(fold, schema).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = events.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    writer.foreachBatch(step).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/batch=*").filter("event_id is not null").drop("used")
+
+
+def _quota_rows(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["account", "event_id", "accepted", "balance", "used"])
+    return out.astype({"account": "Int64", "event_id": "Int64", "accepted": "boolean", "balance": "Int64", "used": object})
+
+
+def run_available(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over what is there, and read what it wrote.
 
-    Appended rows go to a Parquet sink, exactly once; a complete result replaces
-    the one before. Checkpoint and result lie in the shared folder.
+    Appended rows go to a Parquet sink, exactly once. With `update`, each batch
+    writes only the keys that it changed, in a folder of its own that a second run
+    replaces, and the last value of each key counts; what the watermark has passed
+    leaves the state. A complete result replaces the one before, and keeps all
+    state: only sessions, which have no update mode, need it. Checkpoint and
+    result lie in the shared folder.
     """
     spark = stream.sparkSession
     out = new_path(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{out}/rows").start()
+    elif mode == "update":
+        query = writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/rows/batch={k}")).start()
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{out}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*[c if c in keys else f"v.{c}" for c in stream.columns])
