@@ -14,7 +14,10 @@ Two deterministic transducers, compiled from a public vocabulary file:
   with the change of the token count. It rests on two facts on byte-pair
   encoding: each prefix of an encoding is the encoding of that prefix, and a
   sequence is an encoding if all its neighbouring pairs are. States are
-  determinised when first reached and kept.
+  determinised when first reached and kept, a bounded number of them. At the end
+  of a pre-token every state becomes the start, so the maps of pre-tokens compose
+  by adding their counts; a long pre-token is cut into chunks whose maps, from
+  state to state and count, compose pairwise in a balanced tree.
 
 The counts equal those of the library for the same file; nothing is cut off.
 Null and empty texts have no tokens. Special strings inside a text count as the
@@ -39,6 +42,10 @@ N_CLASSES = 12
 START, S_LETTER, S_NUMBER, S_OTHER, SPACE1, WHITE1, SPACES, WHITES, FRESH, DONE, FRESH_R, FRESH_V, FRESH_L = range(13)
 N_STATES = 13
 HERE, BEFORE = 1, 2
+#: The merger's state before a pre-token: no token, nothing begun.
+FRESH_STATE = (-1, ())
+#: Bytes of a pre-token's chunk, and of what is read before one to find its likely first state.
+CHUNK, OVERLAP = 4096, 256
 #: White space as the pattern's \s has it (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -166,7 +173,7 @@ def byte_of_char() -> dict[str, int]:
 class Merger:
     """The transducer over the bytes of one pre-token, compiled from the vocabulary and merges of `path`."""
 
-    def __init__(self, path: str, states: int = 200_000):
+    def __init__(self, path: str, states: int = 50_000):
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model, of = whole["model"], byte_of_char()
@@ -194,8 +201,8 @@ class Merger:
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = [(-1, ())]
-        self.number = {(-1, ()): 0}
+        self.states: list[tuple] = [FRESH_STATE]
+        self.number = {FRESH_STATE: 0}
         self.moves: dict[int, tuple[int, int]] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -250,29 +257,77 @@ class Merger:
             raise ValueError("the vocabulary lacks a byte")
         t, delta = found
         to = (t, tuple((n, b, c - delta) for n, b, c in grown if self.trie[n]))
-        if (k := self.number.get(to)) is None:
-            k = self.number[to] = len(self.states)
-            self.states.append(to)
+        k = self.numbered(to)
         self.moves[state << 8 | byte] = (k, delta)
         return k, delta
 
+    def numbered(self, state: tuple) -> int:
+        if (k := self.number.get(state)) is None:
+            k = self.number[state] = len(self.states)
+            self.states.append(state)
+        return k
+
+    def run(self, state: tuple, data: bytes) -> tuple[tuple, int]:
+        """State and tokens after some bytes from a state; at most `most_states` states are kept at a time."""
+        at, total = self.numbered(state), 0
+        for b in data:
+            to = self.moves.get(at << 8 | b)
+            if to is None:
+                if len(self.states) > self.most_states:
+                    here = self.states[at]
+                    self.reset()
+                    at = self.numbered(here)
+                to = self.move(at, b)
+            at, delta = to
+            total += delta
+        return self.states[at], total
+
     def count(self, word: bytes) -> int:
         """Tokens of one pre-token."""
-        if (known := self.known.get(word)) is not None:
-            return known
-        if len(self.states) > self.most_states:
-            self.reset()
-        state = total = 0
-        moves = self.moves
-        for b in word:
-            to = moves.get(state << 8 | b)
-            state, delta = to if to is not None else self.move(state, b)
-            total += delta
-        if len(word) <= 64:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            self.known[word] = total
-        return total
+        if len(word) > CHUNK:
+            return ChunkMap.of(self, word, 0, len(word)).apply(FRESH_STATE)[1]
+        if (known := self.known.get(word)) is None:
+            known = self.run(FRESH_STATE, word)[1]
+            if len(word) <= 64:
+                if len(self.known) > 400_000:
+                    self.known.clear()
+                self.known[word] = known
+        return known
+
+
+class ChunkMap:
+    """The map of a range of bytes from a state to the state after it and the tokens in it, where it has been asked for.
+
+    A range is one chunk, or two halves whose maps compose: the state after the
+    first is where the second begins, and their counts add. Chunks are first
+    mapped from the state that the bytes before them lead to from a fresh start,
+    which nearly always is the state that composition finds; for another one the
+    chunk is run again, so the result is exact.
+    """
+
+    def __init__(self, machine: Merger, data: bytes, halves: tuple[ChunkMap, ChunkMap] | None):
+        self.machine, self.data, self.halves = machine, data, halves
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+
+    @classmethod
+    def of(cls, machine: Merger, word: bytes, begin: int, end: int) -> ChunkMap:
+        if end - begin <= CHUNK:
+            leaf = cls(machine, word[begin:end], None)
+            leaf.apply(machine.run(FRESH_STATE, word[max(0, begin - OVERLAP) : begin])[0])
+            return leaf
+        middle = begin + -(-(end - begin) // CHUNK // 2) * CHUNK
+        return cls(machine, b"", (cls.of(machine, word, begin, middle), cls.of(machine, word, middle, end)))
+
+    def apply(self, state: tuple) -> tuple[tuple, int]:
+        if (found := self.known.get(state)) is None:
+            if self.halves:
+                between, first = self.halves[0].apply(state)
+                after, second = self.halves[1].apply(between)
+                found = after, first + second
+            else:
+                found = self.machine.run(state, self.data)
+            self.known[state] = found
+        return found
 
 
 @functools.cache
