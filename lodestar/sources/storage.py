@@ -40,15 +40,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_steps(spark: SparkSession, kept: int = 0) -> int:
-    """Delete the steps that this application has written, but for the last `kept`; gives how many went.
+def n_steps(spark: SparkSession) -> int:
+    """How many steps this application has written and not cleared."""
+    return len(_STEPS.get(spark.sparkContext.applicationId, []))
+
+
+def clear_steps(spark: SparkSession, kept: int = 0, since: int = 0) -> int:
+    """Delete the steps that this application has written after its first `since`, but for the last `kept`; gives how many went.
 
     Call it when the results that read them have been written.
     """
     jvm, written = spark._jvm, _STEPS.get(spark.sparkContext.applicationId, [])
-    gone = written[: len(written) - kept]
+    gone = written[since : max(since, len(written) - kept)]
     for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del written[: len(gone)]
+    del written[since : since + len(gone)]
     return len(gone)
