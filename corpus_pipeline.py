@@ -22,6 +22,7 @@ from lodestar.llm.packing import pack
 from lodestar.llm.quality_rules import RepetitionRules, judge
 from lodestar.llm.substring_dedup import remove_repeats
 from lodestar.llm.text import materialise, table
+from lodestar.sources.storage import clear_steps, n_steps
 
 #: A short text is as good as a long one here; one of fewer words has no shingle that it could be compared by.
 RULES = RepetitionRules(min_words=5)
@@ -107,8 +108,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, on the table `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, one after the other, on the table `documents`; all but the last run when this is called.
+
+    What a stage has written on its way, and what it read, is deleted when its
+    result has been written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), n_steps(spark)
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
+        clear_steps(spark, kept=1, since=before)
     return STAGES[-1][1](spark, docs, sf_dir)
