@@ -3,7 +3,7 @@
 The lexicon is learned: words that labelled toxic documents hold far more often
 than others, each distinct text counted once. Its terms form a trie. The distinct
 words of a chunk are matched by running a Levenshtein automaton along the trie:
-one edit for terms of five bytes or more, two from nine on. Before that, a
+one edit for terms of five letters or more, two from nine on. Before that, a
 vectorised test keeps the words that share a piece with a term, which every word
 within the distance does (a term is cut into one piece more than edits).
 
@@ -37,9 +37,30 @@ FEATURES = 7
 _OPENING, _CLOSING, _EITHER = "«„‹", "»”›", '"“'
 
 
+def letters(word: bytes) -> list[int]:
+    """Code points of a word: an edit changes one of them, however many bytes it has."""
+    return [ord(c) for c in word.decode("utf-8", "replace")]
+
+
+def plain_words(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """The words of texts, with marks beyond ASCII (typographic quotes and dashes, no-break spaces, CJK stops) taken as spaces; and the bytes as they were."""
+    data, offsets = buffers(column)
+    out = data.copy()
+    if len(data) > 2:
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        three = ((a == 0xE2) & (b == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c < 0x92))  # U+2000 to U+203F, U+3000 to U+3011
+        at = np.flatnonzero(three)
+        out[at] = out[at + 1] = out[at + 2] = 0x20
+    if len(data) > 1:
+        at = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] >= 0xA0) & ~np.isin(data[1:], [0xAA, 0xB5, 0xBA]))  # Latin-1 signs, not its letters
+        out[at] = out[at + 1] = 0x20
+    return Words(out, offsets, ALNUM, lower=True), data
+
+
 def edits_for(term: bytes) -> int:
     """Edits that a misspelling of the term may have."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    n = len(letters(term))
+    return 0 if n < 5 else 1 if n < 9 else 2
 
 
 class Lexicon:
@@ -51,8 +72,9 @@ class Lexicon:
         self.number = {t: i for i, t in enumerate(self.terms)}
         children: list[dict[int, int]] = [{}]
         term, edits, shortest, longest = [-1], [0], [255], [0]
-        for i, t in enumerate(self.terms):
-            node, k = 0, edits_for(t)
+        spelled = [letters(t) for t in self.terms]
+        for i, t in enumerate(spelled):
+            node, k = 0, edits_for(self.terms[i])
             for b in (*t, None):
                 # what holds for all terms below a node cuts the search short
                 edits[node], shortest[node], longest[node] = max(edits[node], k), min(shortest[node], len(t) - k), max(longest[node], len(t) + k)
@@ -67,27 +89,27 @@ class Lexicon:
             term[node] = i
         self.term, self.edits, self.shortest, self.longest = (np.array(c, np.int64) for c in (term, edits, shortest, longest))
         self.begin = np.concatenate([[0], np.cumsum([len(c) for c in children])])
-        self.byte = np.array([b for c in children for b in c], np.int64)
+        self.letter = np.array([b for c in children for b in c], np.int64)
         self.below = np.array([n for c in children for n in c.values()], np.int64)
         self.allowed = np.array([edits_for(t) for t in self.terms], np.int64)
         # pieces of the terms by (place, length), with the word's length: a word within the distance has one of them there
-        pieces: dict[tuple[int, int], set[tuple[bytes, int]]] = {}
-        for t in self.terms:
-            k = edits_for(t)
+        pieces: dict[tuple[int, int], set[tuple[tuple[int, ...], int]]] = {}
+        for term, t in zip(self.terms, spelled, strict=True):
+            k = edits_for(term)
             cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 for shift in range(-k, k + 1):
                     if x + shift >= 0:
-                        pieces.setdefault((x + shift, y - x), set()).update((t[x:y], n) for n in range(len(t) - k, len(t) + k + 1))
+                        pieces.setdefault((x + shift, y - x), set()).update((tuple(t[x:y]), n) for n in range(len(t) - k, len(t) + k + 1))
         self.pieces = {}
         for at, of in pieces.items():
-            data = np.frombuffer(b"".join(p for p, _ in of), np.uint8)
+            data = np.array([c for p, _ in of for c in p], np.uint32)
             starts = np.arange(len(of)) * at[1]
             lengths = np.array([n for _, n in of], np.uint64)
             self.pieces[at] = np.sort(mix(span_hashes(data, starts, starts + at[1]) ^ lengths))
 
     def candidates(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Which of the words can be within the distance of a term."""
+        """Which of the words, spans of the code points `data`, can be within the distance of a term."""
         out = np.zeros(len(starts), bool)
         live = np.flatnonzero((ends - starts >= self.shortest[0]) & (ends - starts <= self.longest[0])) if self.terms else np.zeros(0, np.int64)
         lengths = (ends - starts).astype(np.uint64)
@@ -112,11 +134,12 @@ class Lexicon:
         A state is the row of distances between the trie's path and each prefix of
         the word; it dies when no term below can be near enough.
         """
-        size = np.array([len(w) for w in words])
+        spelled = [letters(w) for w in words]
+        size = np.array([len(w) for w in spelled])
         wide = int(size.max())
-        grid = np.zeros((len(words), wide), np.int16)
-        for i, w in enumerate(words):
-            grid[i, : len(w)] = np.frombuffer(w, np.uint8)
+        grid = np.zeros((len(words), wide), np.int32)
+        for i, w in enumerate(spelled):
+            grid[i, : len(w)] = w
         word, node = np.arange(len(words)), np.zeros(len(words), np.int64)
         rows = np.tile(np.arange(wide + 1, dtype=np.int16), (len(words), 1))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -129,11 +152,11 @@ class Lexicon:
             parent, at, child = parent[fits], at[fits], child[fits]
             if not len(parent):
                 break
-            old, byte = rows[parent], self.byte[at]
+            old, letter = rows[parent], self.letter[at]
             word = word[parent]
             new = np.empty_like(old)
             new[:, 0] = old[:, 0] + 1
-            replaced = np.minimum(old[:, :-1] + (grid[word] != byte[:, None]), old[:, 1:] + 1)
+            replaced = np.minimum(old[:, :-1] + (grid[word] != letter[:, None]), old[:, 1:] + 1)
             for i in range(wide):
                 np.minimum(replaced[:, i], new[:, i] + 1, out=new[:, i + 1])
             live = new.min(axis=1) <= self.edits[child]
@@ -183,10 +206,13 @@ class Matches:
     """The matches of a chunk: index of the word, weight, edits, whether it stands in quotation marks."""
 
     def __init__(self, column: pa.Array, model: Model):
-        self.words = words = Words(*buffers(column), ALNUM, lower=True)
+        self.words, whole = plain_words(column)
+        words = self.words
         _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         lexicon, raw, known = model.lexicon, bytes(words.data), model.known
-        maybe = np.flatnonzero(lexicon.candidates(words.data, words.starts[first], words.ends[first]))
+        points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])  # code points before each byte
+        maybe = np.flatnonzero(lexicon.candidates(points, place[words.starts[first]], place[words.ends[first]]))
         weight, edits = np.zeros(len(first)), np.full(len(first), -1)
         spelled = [raw[a:b] for a, b in zip(words.starts[first[maybe]].tolist(), words.ends[first[maybe]].tolist(), strict=True)]
         if len(known) > 500_000:
@@ -199,7 +225,7 @@ class Matches:
         self.at = np.flatnonzero(edits[inverse] >= 0) if len(first) else np.zeros(0, np.int64)
         self.weight, self.edits = weight[inverse[self.at]], edits[inverse[self.at]]
         self.doc = words.doc[self.at]
-        begins, closes = quotations(words.data, words.offsets)
+        begins, closes = quotations(whole, words.offsets)
         k = np.searchsorted(begins, words.starts[self.at], "right") - 1
         self.quoted = ((k >= 0) & (words.starts[self.at] < closes[k])).astype(float) if len(begins) else np.zeros(len(self.at))
 
@@ -310,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
     def count(chunk: pa.RecordBatch) -> dict[str, object]:
         """Documents of either kind that hold a word."""
-        words = Words(*buffers(chunk.column("__text")), ALNUM, lower=True)
+        words, _ = plain_words(chunk.column("__text"))
         y = chunk.column("__y").to_numpy()[words.doc]
         order = np.lexsort((words.doc, words.hashes))
         h, d = words.hashes[order], words.doc[order]
