@@ -208,8 +208,8 @@ def queue_state(log: DataFrame) -> DataFrame:
 
 
 def claim(jobs: DataFrame, workers: int, most: int) -> DataFrame:
-    """(job, worker, place): the `most` oldest pending jobs in order, dealt to the workers in turn, each to one; nothing if none is pending."""
+    """(job, worker, round, place): the `most` oldest pending jobs in order, dealt to the workers in turn, each to one, one a round; nothing if none is pending."""
     from .search import page
 
     oldest = page(jobs.filter("state = 'pending'"), [F.col("created.ts").asc(), F.col("created.event_id").asc()], 1, most)
-    return oldest.select("job", ((F.col("rank") - 1) % workers).alias("worker"), F.col("rank").alias("place"))
+    return oldest.select("job", ((F.col("rank") - 1) % workers).alias("worker"), F.floor((F.col("rank") - 1) / workers).alias("round"), F.col("rank").alias("place"))

@@ -109,6 +109,16 @@ def expand(text: str, synonyms: Mapping[str, Sequence[str]]) -> list[str]:
     return list(dict.fromkeys(w for w in found if w not in own))
 
 
+def synonyms_for(text: str, relation: DataFrame) -> dict[str, list[str]]:
+    """The synonyms that a query needs from a relation (phrase, synonym): Spark finds the phrases that the query contains, and only those are fetched."""
+    padded = f" {' '.join(search_words(text))} "
+    found = relation.filter(F.contains(F.lit(padded), norm(F.col("phrase")))).select("phrase", "synonym").distinct().orderBy("phrase", "synonym").collect()
+    out: dict[str, list[str]] = {}
+    for r in found:
+        out.setdefault(r["phrase"], []).append(r["synonym"])
+    return out
+
+
 def ranked(nodes: DataFrame, text: str, synonyms: Mapping[str, Sequence[str]] | None = None, preferred: Sequence[str] = (), boosted: Sequence[str] = (), limit: int = 20) -> DataFrame:
     """Codes by how well they fit a query, best first.
 

@@ -217,10 +217,10 @@ def job_state(v: Views) -> DataFrame:
     return g.queue_state(_job_log(v)).select("job", "state", "result_count", F.col("created.event_id").alias("created"), entries.alias("meta"))
 
 
-@query("job_claim", f"SELECT job, CAST((rn - 1) % 3 AS BIGINT) worker, rn place FROM (SELECT job, row_number() OVER (ORDER BY created) rn FROM (SELECT job, arg_max(state, (ts, event_id)) state, min((ts, event_id)) created FROM ({_JOB_SQL}) GROUP BY 1) WHERE state = 'pending') WHERE rn <= 20")
+@query("job_claim", f"SELECT job, CAST((rn - 1) % 3 AS BIGINT) worker, CAST((rn - 1) // 3 AS BIGINT) round, rn place FROM (SELECT job, row_number() OVER (ORDER BY created) rn FROM (SELECT job, arg_max(state, (ts, event_id)) state, min((ts, event_id)) created FROM ({_JOB_SQL}) GROUP BY 1) WHERE state = 'pending') WHERE rn <= 20")
 def job_claim(v: Views) -> DataFrame:
-    """The next twenty pending jobs, the oldest first, dealt to three workers."""
-    return g.claim(g.queue_state(_job_log(v)), 3, 20).select("job", F.col("worker").cast("long").alias("worker"), F.col("place").cast("long").alias("place"))
+    """The next twenty pending jobs, the oldest first, drained by three workers in rounds."""
+    return g.claim(g.queue_state(_job_log(v)), 3, 20).select("job", F.col("worker").cast("long").alias("worker"), "round", F.col("place").cast("long").alias("place"))
 
 
 @query("status_transition", sql("SELECT account, entity_id, CASE WHEN EXISTS (SELECT 1 FROM v_event e WHERE e.account = x.account AND e.event_type = 'click' AND e.ts > x.saved_at) THEN 'contacted' ELSE 'new' END status FROM v_saved x"))

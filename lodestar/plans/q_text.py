@@ -88,7 +88,7 @@ def _score_sql(base: list[str], other: list[str], preferred: str, boosted: str)
 
 
 _QUERY = "Red goods and widgets for the ring"
-_SYNONYMS = {"ring": ["steel bolt", "gear"], "valve": ["gadget"]}
+_SYNONYMS = {"ring": ["gear", "steel bolt"], "valve": ["gadget"], "red goods": ["crimson"], "goods of": ["never"]}
 
 
 @query("code_search", sql(f"SELECT code, score FROM ({_score_sql(x.search_words(_QUERY), [], '010305', '0211')})", l=_LABEL_SQL, nodes=_NODES_SQL))
@@ -105,7 +105,9 @@ def code_prefix_search(v: Views) -> DataFrame:
 
 @query("synonym_search", sql(f"SELECT code, score FROM ({_score_sql(x.search_words(_QUERY), x.expand(_QUERY, _SYNONYMS), '', '')})", l=_LABEL_SQL, nodes=_NODES_SQL))
 def synonym_search(v: Views) -> DataFrame:
-    return x.ranked(_nodes(v), _QUERY, _SYNONYMS)
+    """With the words of synonyms, from a relation of phrases."""
+    relation = v.spark.createDataFrame([(k, w) for k, of in _SYNONYMS.items() for w in of], "phrase string, synonym string")
+    return x.ranked(_nodes(v), _QUERY, x.synonyms_for(_QUERY, relation))
 
 
 @query("close_alternatives", sql(f"SELECT code, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, code) k, max(score) OVER () top FROM ({_score_sql(x.search_words(_QUERY), [], '010305', '0211')})) WHERE k BETWEEN 2 AND 4 AND score >= 0.55 * top", l=_LABEL_SQL, nodes=_NODES_SQL))
