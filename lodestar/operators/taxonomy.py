@@ -122,17 +122,18 @@ def synonyms_for(text: str, relation: DataFrame) -> dict[str, list[str]]:
 def ranked(nodes: DataFrame, text: str, synonyms: Mapping[str, Sequence[str]] | None = None, preferred: Sequence[str] = (), boosted: Sequence[str] = (), limit: int = 20) -> DataFrame:
     """Codes by how well they fit a query, best first.
 
-    `nodes` has code, level and the normalised fields own, context, head, and en
-    and enctx in a second language. Each
+    `nodes` has code, level and the normalised fields own, context, head, and, if
+    there is a second language, en and enctx. Each
     word scores its best field, further words only the best of all of them. No
     join with the words: a query has a few, so each is an expression.
     """
     base, other = search_words(text), expand(text, synonyms or {})
     if not base:
         return nodes.limit(0).select("code", F.lit(0).cast("long").alias("score"))
-    per_word = [F.greatest(*[hit(F.col(f), w) * k for f, k in FIELD_WEIGHTS.items()]) for w in base]
+    fields = [f for f in FIELD_WEIGHTS if f in nodes.columns]
+    per_word = [F.greatest(*[hit(F.col(f), w) * FIELD_WEIGHTS[f] for f in fields]) for w in base]
     matched = reduce(lambda a, b: a + b, [F.when(s > 0, 1).otherwise(0) for s in per_word])
-    extra = F.greatest(*[hit(F.col(f), w) * k for w in other for f, k in OTHER_WEIGHTS.items()], F.lit(0.0)) if other else F.lit(0.0)
+    extra = F.greatest(*[hit(F.col(f), w) * OTHER_WEIGHTS[f] for w in other for f in fields], F.lit(0.0)) if other else F.lit(0.0)
     phrase = " ".join(base)
     liked, near = F.col("code").isin(list(preferred)), F.substring("code", 1, 4).isin(list(boosted))
     starts = F.col("own").startswith(f" {phrase}") | F.col("head").startswith(f" {phrase}")

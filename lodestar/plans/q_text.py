@@ -374,7 +374,7 @@ _LISTED_SQL = """SELECT page_id page, i place, plain AS text, CASE i WHEN 1 THEN
 @query("directory_harvest", sql(f"""SELECT page, place, outcome, phone, CASE WHEN outcome = 'kept' THEN 58 + CASE WHEN em IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN st IS NOT NULL THEN 4 ELSE 0 END END confidence FROM (
     SELECT *, coalesce(o, CASE WHEN row_number() OVER (PARTITION BY page, lower(trim(name)), country, o IS NULL ORDER BY place) > 1 THEN 'repeated' ELSE 'kept' END) outcome FROM (
     SELECT page, place, name, country, CASE WHEN NOT {_on_page_sql('n')} THEN 'dropped_name' WHEN country IS NULL OR country = 'ID' OR country NOT IN ('DE', 'FR') THEN 'dropped_country' END o, CASE WHEN contains(s, email) THEN email END em, CASE WHEN d <> '' AND contains(regexp_replace(text, '[^0-9]', '', 'g'), d) THEN d END phone, CASE WHEN contains(s, h) THEN h END st
-    FROM (SELECT *, {_norm('text')} n, lower(regexp_replace(text, '\s+', ' ', 'g')) s, regexp_replace(phone, '[^0-9]', '', 'g') d, {_SITE_SQL} h FROM q) WHERE length(trim(name)) >= 3))""", p=_PAGE_NORM_SQL, q=_LISTED_SQL))
+    FROM (SELECT *, {_norm('text')} n, lower(regexp_replace(text, '\\s+', ' ', 'g')) s, regexp_replace(phone, '[^0-9]', '', 'g') d, {_SITE_SQL} h FROM q) WHERE length(trim(name)) >= 3))""", p=_PAGE_NORM_SQL, q=_LISTED_SQL))
 def directory_harvest(v: Views) -> DataFrame:
     """Rows that a page is said to list: what the page bears out, and why the others go."""
     k, i = F.col("page"), F.col("place")
