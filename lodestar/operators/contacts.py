@@ -147,4 +147,4 @@ def best_hosts(hits: DataFrame, most: int = 3) -> DataFrame:
     score = (3 * count(F.replace(host(F.col("url")), F.lit("-"), F.lit(""))) + count(F.lower(F.coalesce("title", F.lit(""))))).cast("long")
     once = hits.select("search", host(F.col("url")).alias("host"), score.alias("score")).filter("host is not null").groupBy("search", "host").agg(F.max("score").alias("score"))
     rank = W.partitionBy("search").orderBy(F.desc("score"), F.desc("host"))
-    return once.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= most)
+    return once.withColumn("place", F.row_number().over(rank).cast("long")).filter(F.col("place") <= most)
