@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -13,55 +14,52 @@ from lodestar.sources import readers, storage
 
 
 def _plain_tree(lines):
-    """The same tree by a stack of context lines."""
-    nodes, heading, stack = {}, None, []
-
-    def depth(s):
-        n = 0
-        for ch in s:
-            if ch == "-":
-                n += 1
-            elif ch != " ":
-                break
-        return n
-
-    def add(code, level, parent, label, path, head):
-        nodes.setdefault(code, (level, parent, label, path, head))
-
+    """The same tree, with the context of each line looked for backwards, line by line."""
+    rows = []
     for code, label in lines:
-        digits, d, text = "".join(c for c in code or "" if c.isdigit()), depth(label), " ".join(label.lstrip(" -–").rstrip(": ").split())
-        path = lambda items: " › ".join(x[1] for x in items)
+        dashes = re.match(r"[- ]*", label).group().count("-")
+        rows.append((re.sub("[^0-9]", "", code or ""), dashes, re.sub(r"\s+", " ", re.sub(r"\s*:\s*$", "", label.lstrip(" -–"))).strip()))
+    is_heading = [len(d) == 4 or re.fullmatch("[0-9]{4}0000", d) is not None for d, _, _ in rows]
+    opens, current = [], None
+    for i, (digits, _, _) in enumerate(rows):
+        opens.append(bool(digits) and (is_heading[i] or digits[:4] != current))
+        current = digits[:4] or current
+
+    def contexts(i):
+        """Labels above line i: ever less deep ones, none of them closed by a line between; and that of its heading."""
+        found, least = [], rows[i][1]
+        if is_heading[i]:
+            return [], None
+        for j in range(i if opens[i] else i - 1, -1, -1):
+            if j < i and not is_heading[j]:
+                digits, depth, label = rows[j]
+                if len(digits) in (0, 6) and depth < least:
+                    found.insert(0, label)
+                least = min(least, depth)
+            if opens[j]:
+                return found, rows[j][2]
+        return found, None
+
+    nodes = {}
+    for i, (digits, _, label) in enumerate(rows):
         if not digits:
-            stack = [x for x in stack if x[0] < d] + [(d, text)]
-            continue
-        top, six = digits[:4], digits[:6]
-        if len(digits) == 4 or (len(digits) == 8 and digits.endswith("0000")):
-            heading, stack = (top, text), []
-            add(top, 4, top[:2], text, None, None)
-            if len(digits) == 8:
-                add(top + "00", 6, top, text, None, top)
-                add(digits, 8, top + "00", text, None, top)
-            continue
-        if not heading or heading[0] != top:
-            heading, stack = (top, text), []
-            add(top, 4, top[:2], text, None, None)
-        stack = [x for x in stack if x[0] < d]
-        if len(digits) == 6:
-            add(six, 6, top, text, path(stack), top)
-            stack.append((d, text))
             continue
-        if six not in nodes:
-            if digits.endswith("00"):
-                add(six, 6, top, text, path(stack), top)
-            elif six.endswith("00"):
-                add(six, 6, top, heading[1], None, top)
-            else:
-                add(six, 6, top, stack[-1][1] if stack else text, path(stack[:-1]), top)
-        add(digits, 8, six, text, path(stack), top)
+        top, six, (above, heading) = digits[:4], digits[:6], contexts(i)
+        path = " › ".join(above)
+        made = [(top, 4, top[:2], label, None, None)] if opens[i] else []
+        if is_heading[i] and len(digits) == 8:
+            made += [(top + "00", 6, top, label, None, top), (digits, 8, top + "00", label, None, top)]
+        elif not is_heading[i] and len(digits) == 6:
+            made += [(six, 6, top, label, path, top)]
+        elif not is_heading[i]:
+            own = (label, path) if digits.endswith("00") or not (above or six.endswith("00")) else (heading, None) if six.endswith("00") else (above[-1], " › ".join(above[:-1]))
+            made += [(six, 6, top, own[0], own[1], top), (digits, 8, six, label, path, top)]
+        for code, *node in made:
+            nodes.setdefault(code, tuple(node))
     return nodes
 
 
-def test_book_against_a_stack(spark):
+def test_book_against_a_plain_search(spark):
     rng = random.Random(1)
     lines = [("01.01", "Horses :"), (None, "- Live horses:"), ("0101.21", "- - Pure-bred"), ("0101.29.10", "- - - Racing"), ("0101.29.90", "- - - Other"), ("0101.30", "- Asses"), ("0102.21.00", "- Cattle"), ("0103.00.00", "Swine"), ("0104.00.11", "- Sheep"), (None, "- Group"), ("0105.11.20", "- - Deep line")]
     heading = 10
