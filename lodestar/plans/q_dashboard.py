@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as a
@@ -154,9 +155,8 @@ def coverage_full_outer(v: Views) -> DataFrame:
 @query("bar_share", sql("SELECT country, n, CAST(floor(100.0 * n / max(n) OVER () + 0.5) AS BIGINT) share, CAST(sum(n) OVER () AS BIGINT) total FROM (SELECT country, count(*) n FROM v_entity GROUP BY 1)"))
 def bar_share(v: Views) -> DataFrame:
     """Counts as a share of the largest; the window is over one row for each country."""
-    by = v.entity.groupBy("country").agg(F.count("*").alias("n"))
-    top = by.agg(F.max("n").alias("m"), F.sum("n").alias("total"))
-    return by.join(F.broadcast(top), F.lit(True)).select("country", "n", F.floor(F.col("n") * 100.0 / F.col("m") + 0.5).alias("share"), "total")  # one row
+    by, whole = v.entity.groupBy("country").agg(F.count("*").alias("n")), W.partitionBy(F.lit(0))
+    return by.select("country", "n", F.floor(F.col("n") * 100.0 / F.max("n").over(whole) + 0.5).alias("share"), F.sum("n").over(whole).alias("total"))
 
 
 @query("lists_concat", sql("SELECT entity_id, string_agg(CAST(account AS VARCHAR), ',' ORDER BY account) accounts, count(*) n FROM v_saved GROUP BY 1"))

@@ -235,7 +235,8 @@ def stream_sliding(v: Views) -> DataFrame:
 
 @query("stream_sessions", "SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS begin, count(*) n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END fresh FROM events)) GROUP BY user_id, k")
 def stream_sessions(v: Views) -> DataFrame:
-    return jobs.run_available(jobs.sessions(_events(v), "6 hours"), "complete")
+    """Sessions as they end; a last row closes those that are open at the end of the table."""
+    return jobs.run_available(jobs.sessions(jobs.closed(_events(v), "2024-03-01"), "6 hours"), "append")
 
 
 @query("counter_upsert", sql("SELECT account, meter, isum(used) used FROM (SELECT account, event_type meter, count(*) used FROM v_event WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2 UNION ALL SELECT account, event_type, count(*) FROM v_event WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2) GROUP BY 1, 2"))

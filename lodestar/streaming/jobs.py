@@ -47,8 +47,19 @@ def windowed(events: DataFrame, window: str, slide: str | None = None, late: str
     return by.select(F.unix_seconds("window.start").alias("begin"), "event_type", "n")
 
 
+def closed(events: DataFrame, end: str) -> DataFrame:
+    """A stream with one more row, of nulls but for `ts`, that carries the watermark to `end`: so what is open when a stored table ends is given out.
+
+    The row itself stays open. (A filter on it would move below the watermark.)
+    """
+    spark, path = events.sparkSession, new_path(events.sparkSession, "end")
+    row = [F.lit(end).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*row).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path))
+
+
 def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
-    """Sessions of accounts: events no further apart than the gap."""
+    """Sessions of accounts: events no further apart than the gap; a session is given out, and leaves the state, when the watermark has passed its end."""
     by = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return by.select("user_id", F.unix_micros("session_window.start").alias("begin"), "n")
 
@@ -116,8 +127,7 @@ def run_available(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> D
     writes only the keys that it changed, in a folder of its own that a second run
     replaces, and the last value of each key counts; what the watermark has passed
     leaves the state. A complete result replaces the one before, and keeps all
-    state: only sessions, which have no update mode, need it. Checkpoint and
-    result lie in the shared folder.
+    state. Checkpoint and result lie in the shared folder.
     """
     spark = stream.sparkSession
     out = new_path(spark, "stream")
