@@ -173,7 +173,7 @@ def byte_of_char() -> dict[str, int]:
 class Merger:
     """The transducer over the bytes of one pre-token, compiled from the vocabulary and merges of `path`."""
 
-    def __init__(self, path: str, states: int = 50_000):
+    def __init__(self, path: str, states: int = 200_000):
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model, of = whole["model"], byte_of_char()
@@ -269,14 +269,14 @@ class Merger:
 
     def run(self, state: tuple, data: bytes) -> tuple[tuple, int]:
         """State and tokens after some bytes from a state; at most `most_states` states are kept at a time."""
-        at, total = self.numbered(state), 0
+        at, total, moves = self.numbered(state), 0, self.moves
         for b in data:
-            to = self.moves.get(at << 8 | b)
+            to = moves.get(at << 8 | b)
             if to is None:
                 if len(self.states) > self.most_states:
                     here = self.states[at]
                     self.reset()
-                    at = self.numbered(here)
+                    at, moves = self.numbered(here), self.moves
                 to = self.move(at, b)
             at, delta = to
             total += delta
