@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
 from .langid import op9_language_id
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .near_dup import op3_near_dedup
 from .packing import op4_packing
 from .quality_rules import op6_quality_rules
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op11_lexical_search": OP11_SQL,
 }
