@@ -13,6 +13,7 @@ from .near_dup import op3_near_dedup
 from .packing import op4_packing
 from .quality_rules import op6_quality_rules
 from .sharding import op2_sharding
+from .spelling import op13_spelling_variants
 from .substring_dedup import OP7_SQL, op7_substring_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op8_toxicity
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_lexical_search": op11_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
