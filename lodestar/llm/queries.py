@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_decontamination
+from .earlier_copies import OP12_SQL, op12_suffix_array_dedup
 from .langid import op9_language_id
 from .lexical_search import OP11_SQL, op11_lexical_search
 from .near_dup import op3_near_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_lexical_search": op11_lexical_search,
+    "op12_suffix_array_dedup": op12_suffix_array_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -39,4 +41,5 @@ SQL: dict[str, str] = {
     "op5_benchmark_decontamination": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op11_lexical_search": OP11_SQL,
+    "op12_suffix_array_dedup": OP12_SQL,
 }
