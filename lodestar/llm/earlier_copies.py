@@ -59,7 +59,7 @@ class Contexts:
         ids, column = (texts.column(i).combine_chunks() for i in (0, 1))
         self.length, self.ids = length, ids.cast(pa.int64()).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
         self.data, self.offsets = buffers(column)
-        found = [self._runs(at) for at in range(0, len(self.data), CHUNK)]
+        found = [self._runs(at, end) for at, end in self._blocks()]
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self.first, self.last, anchor, context = (np.concatenate(x) for x in zip(empty, *found, strict=True))
         self.doc = np.searchsorted(self.offsets, self.first, "right") - 1
@@ -75,9 +75,22 @@ class Contexts:
         self.run = order[new]
         self.key, self.context, self.id = k[new], c[new], run_id[self.run]
 
-    def _runs(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last window of each run of windows that start from `at` on, hashes of its anchor and of its context."""
-        data, length = self.data[at : at + CHUNK + self.length - 1], self.length
+    def _blocks(self) -> list[tuple[int, int]]:
+        """Ranges of about CHUNK bytes that cut no text but one longer than that, which is cut at places counted from its start; so runs do not depend on the order of rows."""
+        size = np.diff(self.offsets)
+        pieces = np.maximum(1, -(-size // CHUNK))
+        number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        bounds = np.append(np.repeat(self.offsets[:-1], pieces) + number * CHUNK, len(self.data))
+        blocks, i = [], 0
+        while i < len(bounds) - 1:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, "right")) - 1)
+            blocks.append((int(bounds[i]), int(bounds[j])))
+            i = j
+        return blocks
+
+    def _runs(self, at: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window of each run of windows that start in a range, hashes of its anchor and of its context."""
+        data, length = self.data[at : end + self.length - 1], self.length
         n = len(data) - length + 1
         if n <= 0:
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2

@@ -84,3 +84,16 @@ def test_texts_are_shuffled_once(spark):
     shown = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
     placed = [line for line in shown if "Exchange hashpartitioning(__chunk" in line]
     assert len(placed) == 3 and sum("ReusedExchange" not in line for line in placed) == 1
+
+
+def test_runs_do_not_depend_on_the_order_of_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(earlier_copies, "CHUNK", 400)
+    rows = [(i, t * (3 if i % 7 == 0 else 1)) for i, t in enumerate(texts(4, 40, "abcdef ", 500))]
+    seen = []
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        c = earlier_copies.Contexts(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), 50, 8)
+        seen.append((c.key.tolist(), c.context.tolist(), c.id.tolist()))
+    assert seen[0][0] and all(s == seen[0] for s in seen)
