@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, words
+from .dictionary import all_values, find_phrases
 
 #: Words that say nothing in a search (fixed values).
 STOP_WORDS = ["and", "for", "from", "of", "the", "with"]
@@ -119,6 +120,23 @@ def synonyms_for(text: str, relation: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def searchable(text: Column) -> Column:
+    """The words of a text that count in a search, single-spaced."""
+    return F.array_join(F.filter(words(text, 2), lambda w: ~w.isin(STOP_WORDS)), " ")
+
+
+def expand_all(queries: DataFrame, relation: DataFrame, text: str = "text") -> DataFrame:
+    """Every row of `queries` with `further`, the sorted words of the synonyms of all phrases that its text has, without the text's own.
+
+    `relation` is (phrase, synonym), of any size; phrases and texts are compared
+    without stop words, as `expand` does for one query.
+    """
+    found = find_phrases(queries, relation.select("phrase", searchable(F.col("synonym")).alias("value")), text, normal=searchable)
+    said = F.flatten(F.transform(all_values(F.col("matches")), lambda v: F.split(v, " ")))
+    further = F.array_sort(F.array_except(F.filter(said, lambda w: w != ""), F.split(searchable(F.col(text)), " ")))
+    return found.withColumn("further", further).drop("matches")
+
+
 def ranked(nodes: DataFrame, text: str, synonyms: Mapping[str, Sequence[str]] | None = None, preferred: Sequence[str] = (), boosted: Sequence[str] = (), limit: int = 20) -> DataFrame:
     """Codes by how well they fit a query, best first.
 
