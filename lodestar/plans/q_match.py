@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import html_title
 from ..operators import dictionary as d
+from ..operators import similar as m_
 from ..operators import taxonomy as x
 from .q_text import _norm
 from .registry import query
@@ -73,3 +75,14 @@ def synonym_expand(v: Views) -> DataFrame:
     )).alias("r")).select("r.*")
     queries = p.select(F.col("p_partkey").alias("part_id"), F.concat("p_name", lit(" for the "), "p_type", lit(" of "), "p_size").alias("text"))
     return x.expand_all(queries, relation).filter(F.size("further") > 0).select("part_id", F.array_join("further", " ").alias("further"))
+
+
+_TITLE_SQL = f"SELECT name, n, list_distinct([substr(name, CAST(i AS INTEGER), 3) for i in range(1, length(name) - 1)]) g FROM (SELECT {_norm("title")} AS name, count(*) n FROM (SELECT trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) title FROM pages UNION ALL SELECT p_name || ' ' || p_type FROM part) GROUP BY 1) WHERE length(name) > 2"
+
+
+@query("similar_names", sql("""SELECT a, b, n_a, n_b, CAST(common AS INTEGER) common, CAST(in_all AS INTEGER) in_all FROM (
+    SELECT trim(x.name) a, trim(y.name) b, x.n n_a, y.n n_b, len(list_intersect(x.g, y.g)) common, len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)) in_all FROM t x JOIN t y ON x.name < y.name) WHERE 2 * common >= in_all""", t=_TITLE_SQL))
+def similar_names(v: Views) -> DataFrame:
+    """All pairs of names, page titles and parts, that share half of their trigrams."""
+    titles = v.table("pages").select(html_title(F.col("html")).alias("title"))
+    return m_.similar_names(titles.unionAll(v.table("part").select(F.concat("p_name", F.lit(" "), "p_type"))), "title")

@@ -6,8 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import dictionary
-from lodestar.operators import taxonomy
+from lodestar.operators import dictionary, similar, taxonomy
 
 
 def _found(rows, key="id"):
@@ -81,3 +80,29 @@ def test_expand_all_is_expand_for_each(spark):
     relation = spark.createDataFrame([(k, s) for k, v in synonyms.items() for s in v], "phrase string, synonym string")
     got = taxonomy.expand_all(spark.createDataFrame(list(enumerate(queries)), "id long, text string"), relation).orderBy("id").collect()
     assert [r["further"] for r in got] == [sorted(taxonomy.expand(q or "", synonyms)) for q in queries]
+
+
+@pytest.mark.parametrize("percent, block", [(50, 2000), (50, 3), (80, 10), (30, 7), (100, 5)])
+def test_similar_names_equal_all_pairs(spark, monkeypatch, percent, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(4)
+    stems = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(3, 14))) for _ in range(40)]
+    said = [s[:k] + rng.choice("abxyz ") + s[k:] for s in stems for k in (0, 2, 5, len(s))] + stems + [None, "", "!!", "a", "Ä b", "a b", "A-B", "a b"]
+    names = {}
+    for s in said:
+        clean = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (s or "").lower().replace("ä", "a")).split())
+        if clean:
+            names.setdefault(clean, []).append(s)
+    grams = {n: {f" {n} "[i : i + 3] for i in range(len(n))} for n in names}
+    want = {(a, b, len(names[a]), len(names[b]), len(grams[a] & grams[b]), len(grams[a] | grams[b])) for a in names for b in names if a < b and 100 * len(grams[a] & grams[b]) >= percent * len(grams[a] | grams[b])}
+    found = similar.similar_names(spark.createDataFrame([(s,) for s in said], "name string"), "name", percent)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and (want or percent == 100)
+
+
+def test_a_common_trigram_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 10)
+    rows = spark.createDataFrame([(f"same start {i:03d}",) for i in range(120)], "name string")
+    assert similar.similar_names(rows, "name", 30).count() == 120 * 119 // 2
