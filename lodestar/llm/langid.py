@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -318,22 +319,21 @@ def fit(docs: DataFrame, vocabulary: str, lang: str = "lang", text: str = "text"
 
     sums = rows.mapInArrow(count, "language string, piece long, n double").groupBy("language", "piece").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # a row for each language and piece at most
-    languages = sorted(set(got.column("language").to_pylist()))
+    languages = sorted(pc.unique(got.column("language")).to_pylist())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"a model may have {MAX_LANGUAGES} languages; the table has {len(languages)}")
-    of = {x: i for i, x in enumerate(languages)}
     counts, n_docs = np.zeros((len(languages), len(pieces))), np.zeros(len(languages))
-    for language, piece, n in zip(*(got.column(c).to_pylist() for c in ("language", "piece", "n")), strict=True):
-        if piece < 0:
-            n_docs[of[language]] = n
-        else:
-            counts[of[language], piece] = round(n, 6)
+    if languages:
+        row = pc.index_in(got.column("language"), value_set=pa.array(languages, pa.string())).to_numpy()
+        piece, n = got.column("piece").to_numpy(), got.column("n").to_numpy()
+        n_docs[row[piece < 0]] = n[piece < 0]
+        counts[row[piece >= 0], piece[piece >= 0]] = np.round(n[piece >= 0], 6)
     probability = (counts + smooth) / (counts + smooth).sum(axis=1, keepdims=True) if len(languages) else counts
     return Model(languages, np.log((n_docs + 1) / (n_docs + 1).sum()) if len(languages) else n_docs, np.ascontiguousarray(probability.T), pieces)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, lang_pred and score (its posterior probability) of every row.
+    """The columns of `keep`, and lang_pred and score (its posterior probability) of every row, in place of kept columns of those names.
 
     A null text, or one without a letter, is `und` with the score 0, and so is
     every text if the model has no language. Texts and words of any length are
@@ -341,6 +341,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     Repeated rows are judged each; an empty table gives an empty result; other
     columns are not read.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     rows = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", lang_pred string, score double"

@@ -371,13 +371,15 @@ def count_column(column: pa.Array, path: str) -> np.ndarray:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, n_bytes (UTF-8) and n_tokens of every row.
+    """The columns of `keep`, and n_bytes (UTF-8) and n_tokens of every row, in place of kept columns of those names.
 
     No shuffle: each task reads texts and writes two numbers. `vocabulary` is the
     path of a byte-level BPE file that all executors can read. A null text has no
     bytes and no tokens; rows are kept as they are, repeated ids included; an
-    empty table gives an empty result; further columns are not read.
+    empty table gives an empty result; further columns are not read; a very long
+    text is counted whole.
     """
+    keep = tuple(c for c in keep if c not in ("n_bytes", "n_tokens"))
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", n_bytes long, n_tokens long"
 

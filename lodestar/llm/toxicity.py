@@ -30,6 +30,8 @@ from .text import ALNUM, Spans, Words, binary_column, buffers, bytes_of, map_chu
 
 #: Labelled rows of the fit.
 SAMPLE = 20_000
+#: Bytes of a term, and toxic texts that hold it, at least.
+LEAST_BYTES, LEAST_TEXTS = 3, 3
 #: Words on each side of a match.
 WINDOW = 6
 FEATURES = 7
@@ -319,7 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
     Labels that are null or neither 0 nor 1 are left out; of several labels of one
     id the largest counts. A null text has no words; copies of a text count once
-    for the lexicon. Runs the fit when called. Without labelled texts of both kinds the model has no
+    for the lexicon, whose terms have LEAST_BYTES bytes and stand in LEAST_TEXTS
+    toxic texts at least. Runs the fit when called. Without labelled texts of both kinds the model has no
     terms and gives every text the share of toxic labels.
     """
     spark = docs.sparkSession
@@ -348,9 +351,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         other = np.bincount(number[new & (y[order] == 0)], minlength=size)
         first = order[new_word]
         keep = toxic > 0
-        length = (words.ends - words.starts)[first]
         spelled = [bytes(words.data[s:e]) for s, e in zip(words.starts[first[keep]], words.ends[first[keep]], strict=True)]
-        rest = np.flatnonzero(~keep & (length <= 64))
+        rest = np.flatnonzero(~keep)
         spelled += [bytes(words.data[s:e]) for s, e in zip(words.starts[first[rest]], words.ends[first[rest]], strict=True)]
         at = np.concatenate([np.flatnonzero(keep), rest])
         return {"word": pa.array(spelled, pa.binary()), "toxic": toxic[at], "other": other[at]}
@@ -362,7 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     counted = map_chunks(once, count, "word binary, toxic long, other long", "__text")
     totals = counted.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (u1 + 1)) - F.log((F.col("b") + 0.5) / (u0 + 1))
-    terms = totals.filter(F.octet_length("word").between(3, 64) & (F.col("a") >= 3)).withColumns({"odds": odds, "llr": _llr(F.col("a"), F.col("b"), u1, u0)})
+    terms = totals.filter((F.octet_length("word") >= LEAST_BYTES) & (F.col("a") >= LEAST_TEXTS)).withColumns({"odds": odds, "llr": _llr(F.col("a"), F.col("b"), u1, u0)})
     terms = terms.filter("odds > 2 and llr > 25").orderBy(F.desc("llr"), "word").collect()
     model.terms = {bytes(r["word"]): float(r["odds"]) for r in terms}
     if not model.terms:
@@ -391,13 +393,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, and score, n_hits, n_near, n_quoted of every row.
+    """The columns of `keep`, and score, n_hits, n_near, quoted of every row, in place of kept columns of those names.
 
     A null or empty text has no hits and the score of that; texts of any length
     are scored whole. Of two terms that are equally near the heavier one counts,
     of equals the first. Repeated rows are scored each; an empty table gives an
     empty result; other columns are not read.
     """
+    keep = tuple(c for c in keep if c not in ("score", "n_hits", "n_near", "quoted"))
     rows = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text") + ", score double, n_hits long, n_near long, quoted double"
