@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_title
+from ..operators import code_index as i_
 from ..operators import dictionary as d
 from ..operators import similar as m_
 from ..operators import taxonomy as x
-from .q_text import _norm
+from .q_text import _LABEL_SQL, _NODES_SQL, _nodes, _norm
 from .registry import query
 from .views import Views, sql
 
@@ -86,3 +87,20 @@ def similar_names(v: Views) -> DataFrame:
     """All pairs of names, page titles and parts, that share half of their trigrams."""
     titles = v.table("pages").select(html_title(F.col("html")).alias("title"))
     return m_.similar_names(titles.unionAll(v.table("part").select(F.concat("p_name", F.lit(" "), "p_type"))), "title")
+
+
+def _many_sql(limit: int) -> str:
+    """The points of every query and node, word by word."""
+    hit = lambda f: f"(CASE WHEN contains({f}, ' ' || w || ' ') THEN 2 WHEN length(w) >= 5 AND contains({f}, ' ' || w) THEN 1 ELSE 0 END)"
+    best = f"greatest({', '.join(f'{k} * {hit(f)}' for f, k in x.FIELD_WEIGHTS.items())})"
+    return f"""SELECT query_id, code, CAST(floor(raw + 0.5) AS BIGINT) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, code) k FROM (
+        SELECT query_id, code, sum(s) + CASE WHEN count(*) FILTER (WHERE s > 0) = any_value(len(ws)) THEN 10 ELSE 0 END + CASE WHEN any_value(starts_with(own, ' ' || array_to_string(ws, ' ')) OR starts_with(head, ' ' || array_to_string(ws, ' '))) THEN 12 ELSE 0 END raw
+        FROM (SELECT query_id, code, ws, own, head, {best} s FROM (SELECT query_id, ws, unnest(ws) w FROM q) JOIN nodes ON true) GROUP BY query_id, code HAVING count(*) FILTER (WHERE s > 0) > 0)) WHERE k <= {limit}"""
+
+
+@query("code_search_all", sql(_many_sql(5), q=f"SELECT p_partkey query_id, {_searchable("p_name || ' of the ' || p_type || ' goods'")} ws FROM part", l=_LABEL_SQL, nodes=_NODES_SQL))
+def code_search_all(v: Views) -> DataFrame:
+    """The five best codes for the description of every part, all in one job over an inverted index."""
+    nodes = _nodes(v)
+    queries = v.table("part").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" of the "), "p_type", F.lit(" goods")).alias("text"))
+    return i_.search_many(i_.postings(nodes), nodes, queries, limit=5)

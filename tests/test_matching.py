@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import dictionary, similar, taxonomy
+from lodestar.functions.text import norm
+from lodestar.operators import code_index, dictionary, similar, taxonomy
 
 
 def _found(rows, key="id"):
@@ -106,3 +107,20 @@ def test_a_common_trigram_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 10)
     rows = spark.createDataFrame([(f"same start {i:03d}",) for i in range(120)], "name string")
     assert similar.similar_names(rows, "name", 30).count() == 120 * 119 // 2
+
+
+def test_many_searches_are_ranked_one_by_one(spark):
+    rng = random.Random(6)
+    parts = ["red", "steel", "ring", "widget", "widgets", "bolting", "bolt", "goods", "gear", "gears", "of", "ze"]
+    said = lambda n: " ".join(rng.choice(parts) for _ in range(rng.randint(0, n)))
+    nodes = [(f"{i // 9:04d}{i % 9:02d}" + ("10" if i % 5 == 0 else ""), 8 if i % 5 == 0 else 6, said(4), said(3), said(2), said(2), said(2)) for i in range(60)]
+    fields = ["own", "context", "head", "en", "enctx"]
+    known = spark.createDataFrame(nodes, f"code string, level int, {', '.join(f + ' string' for f in fields)}").withColumns({f: norm(F.col(f)) for f in fields})
+    synonyms = {"ring": ["gear", "steel bolt"], "red goods": ["widget"]}
+    queries = [(i, said(4), ["000101"] if i % 3 == 0 else None, ["0002"] if i % 4 == 0 else None) for i in range(14)] + [(90, None, None, None), (91, "of the", None, None), (92, "ring ring bolti", None, None), (93, "bolti", None, None)]
+    rows = spark.createDataFrame(queries, "query_id long, text string, preferred array<string>, boosted array<string>")
+    relation = spark.createDataFrame([(k, s) for k, v in synonyms.items() for s in v], "phrase string, synonym string")
+    found = code_index.search_many(code_index.postings(known), known, taxonomy.expand_all(rows, relation), limit=7).collect()
+    for i, text, preferred, boosted in queries:
+        want = taxonomy.ranked(known, text or "", synonyms, preferred or (), boosted or (), 7).collect()
+        assert sorted((r["code"], r["score"]) for r in found if r["query_id"] == i) == sorted((r["code"], r["score"]) for r in want), text
