@@ -10,6 +10,7 @@ from ..operators import code_index as i_
 from ..operators import dictionary as d
 from ..operators import similar as m_
 from ..operators import taxonomy as x
+from ..operators import tree as t_
 from .q_text import _LABEL_SQL, _NODES_SQL, _nodes, _norm
 from .registry import query
 from .views import Views, sql
@@ -104,3 +105,30 @@ def code_search_all(v: Views) -> DataFrame:
     nodes = _nodes(v)
     queries = v.table("part").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" of the "), "p_type", F.lit(" goods")).alias("text"))
     return i_.search_many(i_.postings(nodes), nodes, queries, limit=5)
+
+
+#: Every part but the first few hangs below an earlier one: a tree of depth thirty and more.
+_PART_TREE_SQL = "SELECT p_partkey node, nullif(p_partkey * 39 // 50, p_partkey) parent, p_name AS label, p_size FROM part"
+
+
+def _part_tree(v: Views) -> DataFrame:
+    parent = F.floor(F.col("p_partkey") * 39 / 50).cast("long")
+    return v.table("part").select(F.col("p_partkey").alias("node"), F.when(parent != F.col("p_partkey"), parent).alias("parent"), F.col("p_name").alias("label"), "p_size")
+
+
+@query("tree_ancestors", f"WITH RECURSIVE t AS ({_PART_TREE_SQL}), a AS (SELECT node, parent ancestor, CAST(1 AS BIGINT) distance FROM t WHERE parent IS NOT NULL UNION ALL SELECT a.node, t.parent, a.distance + 1 FROM a JOIN t ON a.ancestor = t.node WHERE t.parent IS NOT NULL) SELECT * FROM a")
+def tree_ancestors(v: Views) -> DataFrame:
+    """All nodes above each node of a deep tree."""
+    return t_.ancestors(_part_tree(v))
+
+
+@query("tree_crumbs", f"WITH RECURSIVE t AS ({_PART_TREE_SQL}), a AS (SELECT node, CAST(0 AS BIGINT) AS depth, label crumbs FROM t WHERE parent IS NULL UNION ALL SELECT t.node, a.depth + 1, a.crumbs || ' › ' || t.label FROM a JOIN t ON t.parent = a.node) SELECT * FROM a")
+def tree_crumbs(v: Views) -> DataFrame:
+    """The labels from the root down to each node."""
+    return t_.crumbs(_part_tree(v), "label")
+
+
+@query("tree_cascade", f"WITH RECURSIVE t AS ({_PART_TREE_SQL}), g AS (SELECT node FROM t WHERE p_size = 7 UNION SELECT t.node FROM t JOIN g ON t.parent = g.node) SELECT node, label FROM t WHERE node NOT IN (SELECT node FROM g)")
+def tree_cascade(v: Views) -> DataFrame:
+    """What stays of a deep tree when some nodes go with all that hangs below."""
+    return t_.cascade(_part_tree(v), F.col("p_size") == 7).select("node", "label")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import norm
-from lodestar.operators import code_index, dictionary, similar, taxonomy
+from lodestar.operators import code_index, dictionary, similar, taxonomy, tree
 
 
 def _found(rows, key="id"):
@@ -124,3 +124,37 @@ def test_many_searches_are_ranked_one_by_one(spark):
     for i, text, preferred, boosted in queries:
         want = taxonomy.ranked(known, text or "", synonyms, preferred or (), boosted or (), 7).collect()
         assert sorted((r["code"], r["score"]) for r in found if r["query_id"] == i) == sorted((r["code"], r["score"]) for r in want), text
+
+
+def _above(parent, node):
+    out, seen = [], set()
+    while (node := parent.get(node)) is not None:
+        if node in seen:
+            return None
+        seen.add(node)
+        out.append(node)
+    return out
+
+
+def test_trees_of_any_depth(spark):
+    rng = random.Random(8)
+    parent = {i: i - 1 if i % 37 else None for i in range(150)}  # chains of 37
+    parent |= {200 + i: rng.choice([None, 5, 36, 1000, *range(200, 200 + i)]) for i in range(60)}  # 1000 has no row
+    circle = {500: 501, 501: 502, 502: 500, 503: 501, 504: 504, 505: 504}
+    rows = list((parent | circle).items())
+    edges = spark.createDataFrame(rows + rows[:3], "node long, parent long")
+    lifted = {r["node"]: (r["root"], r["depth"]) for r in tree.lifted(edges).collect()}
+    assert {r["node"] for r in tree.circles(edges).collect()} == set(circle)
+    ways = {n: _above(parent, n) for n in parent} | {1000: []}
+    assert lifted == {n: (w[-1] if w else n, len(w)) for n, w in ways.items()} | dict.fromkeys(circle, (None, None))
+    found = [tuple(r) for r in tree.ancestors(edges).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(n, a, k + 1) for n, w in ways.items() for k, a in enumerate(w)}
+    gone = {7, 200, 502}
+    left = {r["node"] for r in tree.cascade(edges, F.col("node").isin(*gone)).collect()}
+    below = {n for n in parent if n in gone or gone & set(ways[n])} | {500, 501, 502, 503}
+    assert left == (set(parent) | set(circle)) - below
+    crumbs = {r["node"]: r["crumbs"] for r in tree.crumbs(edges.withColumn("label", F.concat(F.lit("n"), "node")), "label").collect()}
+    assert crumbs[36] == " › ".join(f"n{i}" for i in range(37)) and crumbs[37 * 2] == "n74"
+    with pytest.raises(Exception, match="several parents"):
+        tree.lifted(spark.createDataFrame([(1, 2), (1, 3)], "node long, parent long"))
+    assert tree.ancestors(edges.limit(0)).count() == 0
