@@ -112,12 +112,21 @@ def phone(number: Column) -> Column:
     return F.when(F.length(digits).between(8, 15), F.concat(F.when(kept.startswith("+"), "+").otherwise(""), digits))
 
 
+#: Ways to write the signs of an address out, with brackets and without (fixed values).
+AT_SIGN = r"\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}|\[@\]|\(@\)|&#64;)\s*"
+DOT_SIGN = r"\s*(?:\[\s*(?:dot|punkt)\s*\]|\(\s*(?:dot|punkt)\s*\))\s*"
+SPOKEN = r"[a-z0-9._%+-]+\s+at\s+[a-z0-9-]+(?:(?:\.|\s+dot\s+)[a-z0-9][a-z0-9-]*)+"
+
+
 def emails(text: Column) -> Column:
-    """All distinct addresses of a text in lower case, written out ones (`name (at) host (dot) de`) too, sorted."""
-    opened = F.regexp_replace(F.regexp_replace(F.lower(text), r"\s*[(\[]\s*at\s*[)\]]\s*", "@"), r"\s*[(\[]\s*dot\s*[)\]]\s*", ".")
+    """All distinct addresses of a text in lower case, sorted; written out ones (`name (at) host [dot] de`, `name at host dot de`) too."""
+    opened = F.regexp_replace(F.regexp_replace(F.lower(text), AT_SIGN, "@"), DOT_SIGN, ".")
     eager = EMAIL.replace("+@", "++@", 1)  # the local part has no @, so giving letters back finds nothing more
     found = F.regexp_extract_all(opened, F.lit(f"({eager})"), 1)
-    return F.array_sort(F.array_distinct(F.filter(found, lambda e: ~F.substring_index(e, "@", 1).isin(BLOCKED_LOCALS))))
+    # a spoken address begins where a word does, so each word is tried once
+    spoken = F.regexp_extract_all(opened, F.lit(f"(?<![a-z0-9._%+-]){SPOKEN.replace("]+", "]++", 1)}"), 0)
+    written = F.filter(F.transform(spoken, lambda e: F.regexp_replace(F.regexp_replace(e, r"\s+at\s+", "@"), r"\s+dot\s+", ".")), lambda e: e.rlike(f"^{EMAIL}$") & (F.length(F.substring_index(e, "@", 1)) <= 40))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(found, written), lambda e: ~F.substring_index(e, "@", 1).isin(BLOCKED_LOCALS))))
 
 
 def phones(text: Column) -> Column:
@@ -140,17 +149,29 @@ _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'
 def html_text(html: Column) -> Column:
     """The text of a page: no scripts, styles, comments and tags, entities decoded, white space squeezed."""
     bare = reduce(lambda c, p: F.regexp_replace(c, p, " "), [r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"], html)
-    decoded = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), bare)
-    return F.trim(F.regexp_replace(decoded, r"[ \t\r\n\f]+", " "))
+    return F.trim(F.regexp_replace(_decoded(bare), r"[ \t\r\n\f]+", " "))
 
 
 def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+#: The attributes of a tag up to one of a link's target, and the target, in either quotes or in none.
+_BEFORE_HREF, _HREF = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?""", r"""(?<=[\s"'/])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+
+
+def _decoded(text: Column) -> Column:
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), text)
+
+
+def _target(value: Column) -> Column:
+    """A target without its quotes and the blanks around it, entities decoded."""
+    return _decoded(F.trim(F.regexp_replace(value, r"""^["']|["']$""", "")))
+
+
 def links(html: Column) -> Column:
-    """The distinct targets of a page's links, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)))
+    """The distinct targets of a page's links, whatever their quotes, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(_BEFORE_HREF + _HREF), 1), _target)))
 
 
 def scripts_of_data(html: Column) -> Column:
@@ -158,25 +179,45 @@ def scripts_of_data(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)
 
 
+#: A JSON string, and one with the string that it names, if it names one.
+_STRING = r'"((?:[^"\\]|\\.)*+)"'
+_NAMED_STRING = rf"(?s){_STRING}(?:\s*:\s*{_STRING})?"
+
+
+def _unescaped(raw: Column) -> Column:
+    """What a JSON string says."""
+    return F.when(F.contains(raw, F.lit("\\")), F.get(F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>"), F.lit(0))).otherwise(raw)
+
+
 def data_values(html: Column, *names: str) -> Column:
-    """All text values of these names in a page's structured data, at any depth, in order."""
-    pattern = F.lit(rf'(?i)"(?:{"|".join(names)})"\s*:\s*"([^"]*)"')
-    return F.flatten(F.transform(scripts_of_data(html), lambda s: F.regexp_extract_all(s, pattern, 1)))
+    """All text values of these names in a page's structured data, at any depth, in order, escapes decoded.
+
+    A script that is no JSON, or names a value twice in one object, has none. In one
+    that is JSON every quotation mark belongs to a string, so its strings are cut out
+    one after the other, each with the string that it names.
+    """
+
+    def of_script(script: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(script, F.lit(_NAMED_STRING), 1).alias("k"), F.regexp_extract_all(script, F.lit(_NAMED_STRING), 2).alias("v"))
+        found = F.filter(pairs, lambda p: (p["v"] != "") & F.lower(_unescaped(p["k"])).isin(*names))
+        return F.when(F.try_parse_json(script).isNotNull(), F.transform(found, lambda p: _unescaped(p["v"]))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(scripts_of_data(html), of_script))
 
 
 def page_emails(html: Column) -> Column:
     """All distinct addresses of a page, sorted: of mail links, hidden as hex, in structured data, in the text."""
-    linked = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']mailto:([^"'?]+)"""), 1)
+    linked = F.regexp_extract_all(html, F.lit(r"""(?i)(?<=[\s"'/])href\s*=\s*["']?mailto:([^"'?\s>]+)"""), 1)
     hidden = F.regexp_extract_all(html, F.lit(r"""(?i)(?:data-cfemail=["']|/cdn-cgi/l/email-protection#)([0-9a-f]+)"""), 1)
     named = F.transform(data_values(html, "email"), lambda e: F.regexp_replace(e, "mailto:", ""))
-    found = F.concat(F.transform(linked, lambda e: F.replace(e, F.lit("%40"), F.lit("@"))), F.transform(hidden, email_from_hex), named, emails(html_text(html)))
+    found = F.concat(F.transform(linked, lambda e: F.try_url_decode(F.replace(e, F.lit("+"), F.lit("%2B")))), F.transform(hidden, email_from_hex), named, emails(html_text(html)))
     clean = F.transform(F.array_compact(found), lambda e: F.regexp_replace(F.lower(F.trim(e)), r"^[.,;:]+|[.,;:]+$", ""))
     return F.array_sort(F.array_distinct(F.filter(clean, lambda e: e.rlike(f"^{EMAIL}$") & ~e.rlike(NO_ADDRESS) & ~e.rlike(NO_ADDRESS_END))))
 
 
 def page_phones(html: Column) -> Column:
     """The digits of all distinct numbers of a page, sorted: of call links, in structured data, announced or international ones in the text."""
-    linked = F.regexp_extract_all(html, F.lit(r"""(?i)href=["']tel:([^"']+)"""), 1)
+    linked = F.transform(F.filter(F.transform(F.regexp_extract_all(html, F.lit(_BEFORE_HREF + _HREF), 1), _target), lambda h: h.rlike("(?i)^tel:")), lambda h: F.substring(h, 5, 1 << 30))
     text = html_text(html)
     found = F.concat(linked, data_values(html, "telephone", "phone"), F.regexp_extract_all(text, F.lit(LABELLED_PHONE), 1), F.regexp_extract_all(text, F.lit(WORLD_PHONE), 1))
     digits = F.transform(found, lambda p: F.regexp_replace(p, "[^0-9]", ""))
@@ -192,7 +233,7 @@ def meta_description(html: Column, longest: int = 400) -> Column:
 
 def anchors(html: Column, url: Column) -> Column:
     """(href, label) of the links to the same host, hrefs made absolute and without their fragment, in order."""
-    whole = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>"""), 0)
+    whole = F.regexp_extract_all(html, F.lit(rf"{_BEFORE_HREF}{_HREF}(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</a>"), 0)
     site, base = F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1), F.regexp_extract(url, r"^([a-z]+://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     base = F.when(base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))
     scheme = F.regexp_extract(url, r"^([a-z]+:)", 1)
@@ -201,7 +242,8 @@ def anchors(html: Column, url: Column) -> Column:
         full = F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(base, href))
         return F.regexp_replace(full, "#.*$", "")
 
-    raw = F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"""(?is)<a\s[^>]*href="([^"]*)\"""", 1).alias("href"), F.trim(F.regexp_replace(F.regexp_replace(a, r"(?s)<[^>]*>", " "), r"\s+", " ")).alias("label")))
+    label = lambda a: _decoded(F.trim(F.regexp_replace(F.regexp_replace(a, r"""(?s)<(?:[^>"']|"[^"]*"|'[^']*')*>""", " "), r"\s+", " ")))
+    raw = F.transform(whole, lambda a: F.struct(_target(F.regexp_extract(a, _BEFORE_HREF + _HREF, 1)).alias("href"), label(a).alias("label")))
     kept = F.filter(raw, lambda x: ~x["href"].rlike("(?i)^(mailto:|tel:|javascript:|#)"))
     full = F.transform(kept, lambda x: F.struct(absolute(x["href"]).alias("href"), x["label"].alias("label")))
     return F.filter(full, lambda x: host(x["href"]).eqNullSafe(host(url)))

@@ -167,7 +167,9 @@ def industry_prefix(v: Views) -> DataFrame:
     return k_.prefix_labels(v.taxonomy.select("code6").distinct(), "code6", labels)
 
 
-_EMAILS_SQL = f"""list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower(s), '\\s*[(\\[]\\s*at\\s*[)\\]]\\s*', '@', 'g'), '\\s*[(\\[]\\s*dot\\s*[)\\]]\\s*', '.', 'g'), '{t.EMAIL}'),
+_OPENED_SQL = f"regexp_replace(regexp_replace(lower(s), '{t.AT_SIGN}', '@', 'g'), '{t.DOT_SIGN}', '.', 'g')"
+_EMAILS_SQL = f"""list_sort(list_distinct(list_filter(list_concat(regexp_extract_all({_OPENED_SQL}, '{t.EMAIL}'),
+    list_filter(list_transform(regexp_extract_all({_OPENED_SQL}, '{t.SPOKEN}'), lambda e: regexp_replace(regexp_replace(e, '\\s+at\\s+', '@'), '\\s+dot\\s+', '.', 'g')), lambda e: regexp_matches(e, '^{t.EMAIL}$') AND length(split_part(e, '@', 1)) <= 40)),
     lambda e: split_part(e, '@', 1) NOT IN ({', '.join(f"'{b}'" for b in t.BLOCKED_LOCALS)}))))"""
 _PHONES_SQL = f"""list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(s, '{t.PHONE}'), lambda p: NOT regexp_matches(p, '^(19|20)[0-9]{{2}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}')), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 8 AND 15)))"""
 _CONTACT_TEXT_SQL = "SELECT doc_id, coalesce(text, '') || ' mail: Info' || doc_id || ' (at) firm' || (doc_id % 9) || ' (dot) example.com, noreply@x.org, +49 (30) 1234-' || (1000 + doc_id % 9000) || ', 2024-01-31' s FROM documents"
@@ -271,7 +273,18 @@ def html_title(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", t.html_title(F.col("html")).alias("title"))
 
 
-@query("page_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1))), ' ') links FROM pages")
+def _entities_sql(c: str) -> str:
+    for a, b in t._ENTITIES.items():
+        c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+#: The target of a tag, by cutting the tag where an href ends and taking what stands between its quotes or up to the next blank.
+_AFTER_SQL = "ltrim(regexp_replace(a, '(?is)^.*?\\shref\\s*=', ''))"
+_TARGET_SQL = _entities_sql(f"trim(CASE left({_AFTER_SQL}, 1) WHEN '\"' THEN split_part({_AFTER_SQL}, '\"', 2) WHEN '''' THEN split_part({_AFTER_SQL}, '''', 2) ELSE rtrim(split_part(split_part({_AFTER_SQL}, ' ', 1), '>', 1)) END)")
+
+
+@query("page_links", f"SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*?href[^>]*>'), lambda a: {_TARGET_SQL}))), ' ') links FROM pages")
 def page_links(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", F.array_join(t.links(F.col("html")), " ").alias("links"))
 
@@ -540,7 +553,10 @@ def tag_gate(v: Views) -> DataFrame:
 
 _EXTRA_SQL = """html || '<meta name="description" content="  About  page ' || page_id || ' ">' || '<a href="mailto:Buying' || page_id || '%40firm' || page_id % 9 || '.de?subject=x">write</a><a href="tel:+49 30 ' || (100000 + page_id) || '">call</a><span data-cfemail="' || CASE WHEN page_id % 2 = 0 THEN '0a63646c654a6c6378672e6e6f' ELSE 'zz' END || '"></span>'
     || '<script type="application/ld+json">{"@graph": [{"contactPoint": {"email": "a' || page_id || '@firm.de", "x": [1]}}, {"telephone": "+4930' || (100000 + page_id) || '"}]}</script><p>Tel.: 030/55 66-' || (1000 + page_id) || ', sales (at) firm' || page_id || ' (dot) fr, 20240131, logo@2x.png</p><script type="application/ld+json">[{"a": {"Email": "mailto:second@firm.de"}}]</script>'
-    || '<a class="x" href="/kontakt#top">Write <b>us</b></a><a href="next?page=2">2</a><a href="https://elsewhere.test/contact">Contact</a><a href="about.html">Who we are</a><a href="//www.elsewhere.test/x">B</a><a href="/list/page/3">more</a><a href="?p=4">›</a>'"""
+    || '<a class="x" href="/kontakt#top">Write <b>us</b></a><a href="next?page=2">2</a><a href="https://elsewhere.test/contact">Contact</a><a href="about.html">Who we are</a><a href="//www.elsewhere.test/x">B</a><a href="/list/page/3">more</a><a href="?p=4">›</a>'
+    || '<a id=one href=''/contact-us?a=1&amp;b=2''>Single</a><a href=/impressum>Bare</a><a rel="next" href = next5>weiter</a><a href=''tel:+33 1 22 33 ' || (1000 + page_id) || '''>t</a><a href=mailto:bare' || page_id || '@firm.de>m</a>'
+    || '<script type="application/ld+json">{"note": "say \\"email\\": \\"no@firm.de\\"", "EMAIL": ["x", {"email": "deep\\u0041' || page_id || '@firm.de"}], "Phone": "+49 30 \\u003123' || (1000 + page_id) || '"}</script><script type="application/ld+json">{"email": "broken@firm.de"</script>'
+    || '<p>write to spoken' || page_id || ' at firm dot co dot uk or curly {at} firm.de, punkt [at] firm (punkt) de</p>'"""
 
 
 def _rich_pages(v: Views) -> DataFrame:
@@ -551,19 +567,24 @@ def _rich_pages(v: Views) -> DataFrame:
         F.when(k % 2 == 0, "0a63646c654a6c6378672e6e6f").otherwise("zz"), lit('"></span><script type="application/ld+json">{"@graph": [{"contactPoint": {"email": "a'), k, lit('@firm.de", "x": [1]}}, {"telephone": "+4930'), 100000 + k, lit('"}]}</script><p>Tel.: 030/55 66-'), 1000 + k,
         lit(", sales (at) firm"), k, lit(' (dot) fr, 20240131, logo@2x.png</p><script type="application/ld+json">[{"a": {"Email": "mailto:second@firm.de"}}]</script>'),
         lit('<a class="x" href="/kontakt#top">Write <b>us</b></a><a href="next?page=2">2</a><a href="https://elsewhere.test/contact">Contact</a><a href="about.html">Who we are</a><a href="//www.elsewhere.test/x">B</a><a href="/list/page/3">more</a><a href="?p=4">›</a>'),
+        lit("<a id=one href='/contact-us?a=1&amp;b=2'>Single</a><a href=/impressum>Bare</a><a rel=\"next\" href = next5>weiter</a><a href='tel:+33 1 22 33 "), 1000 + k, lit("'>t</a><a href=mailto:bare"), k, lit("@firm.de>m</a>"),
+        lit('<script type="application/ld+json">{"note": "say \\"email\\": \\"no@firm.de\\"", "EMAIL": ["x", {"email": "deep\\u0041'), k, lit('@firm.de"}], "Phone": "+49 30 \\u003123'), 1000 + k, lit('"}</script><script type="application/ld+json">{"email": "broken@firm.de"</script>'),
+        lit("<p>write to spoken"), k, lit(" at firm dot co dot uk or curly {at} firm.de, punkt [at] firm (punkt) de</p>"),
     ]
     return v.table("pages").select("page_id", "url", F.concat(*parts).alias("html"))
 
 
-_DATA_SQL = "flatten(list_transform(regexp_extract_all(html, '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>', 1), lambda s: regexp_extract_all(s, '(?i)\"(?:{})\"\\s*:\\s*\"([^\"]*)\"', 1)))"
+#: Values by a walk over the parsed JSON of each script.
+_DATA_SQL = """coalesce((SELECT list(x.atom->>'$' ORDER BY k, x.id) FROM (SELECT unnest(regexp_extract_all(html, '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>', 1)) j, generate_subscripts(regexp_extract_all(html, '(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>', 1), 1) k) u, json_tree(CASE WHEN json_valid(u.j) THEN u.j ELSE '{{}}' END) x WHERE x.type = 'VARCHAR' AND lower(x.key) IN ({}) AND (x.atom->>'$') <> ''), [])"""
 _HEX_SQL = "CASE WHEN regexp_matches(c, '^[0-9a-fA-F]{6,}$') AND length(c) % 2 = 0 THEN array_to_string(list_transform(range(1, length(c) // 2), lambda i: chr(xor(CAST('0x' || substr(c, CAST(i * 2 + 1 AS BIGINT), 2) AS INTEGER), CAST('0x' || left(c, 2) AS INTEGER)))), '') END"
 _PAGE_EMAILS_SQL = f"""list_sort(list_distinct(list_filter(list_transform(list_filter(flatten([
-    list_transform(regexp_extract_all(html, '(?i)href=["'']mailto:([^"''?]+)', 1), lambda e: replace(e, '%40', '@')), list_transform(regexp_extract_all(html, '(?i)(?:data-cfemail=["'']|/cdn-cgi/l/email-protection#)([0-9a-f]+)', 1), lambda c: {_HEX_SQL}),
-    list_transform({_DATA_SQL.format('email')}, lambda e: replace(e, 'mailto:', '')), {_EMAILS_SQL.replace('lower(s)', 'lower(plain)')}]), lambda e: e IS NOT NULL), lambda e: regexp_replace(lower(trim(e)), '^[.,;:]+|[.,;:]+$', '', 'g')),
+    list_transform(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?mailto:([^"''?\\s>]+)', 1), lambda e: url_decode(e)), list_transform(regexp_extract_all(html, '(?i)(?:data-cfemail=["'']|/cdn-cgi/l/email-protection#)([0-9a-f]+)', 1), lambda c: {_HEX_SQL}),
+    list_transform({_DATA_SQL.format("'email'")}, lambda e: replace(e, 'mailto:', '')), {_EMAILS_SQL.replace('lower(s)', 'lower(plain)')}]), lambda e: e IS NOT NULL), lambda e: regexp_replace(lower(trim(e)), '^[.,;:]+|[.,;:]+$', '', 'g')),
     lambda e: regexp_matches(e, '^{t.EMAIL}$') AND NOT regexp_matches(e, '{t.NO_ADDRESS}') AND NOT regexp_matches(e, '{t.NO_ADDRESS_END}'))))"""
-_PAGE_PHONES_SQL = f"""list_sort(list_distinct(list_filter(list_transform(flatten([regexp_extract_all(html, '(?i)href=["'']tel:([^"'']+)', 1), {_DATA_SQL.format('telephone|phone')}, regexp_extract_all(plain, '{t.LABELLED_PHONE}', 1), regexp_extract_all(plain, '{t.WORLD_PHONE}', 1)]), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 8 AND 15 AND NOT regexp_matches(d, '^(19|20)[0-9]{{6,}}$'))))"""
+_PAGE_PHONES_SQL = f"""list_sort(list_distinct(list_filter(list_transform(flatten([regexp_extract_all(html, '(?i)href\\s*=\\s*"tel:([^"]*)', 1), regexp_extract_all(html, '(?i)href\\s*=\\s*''tel:([^'']*)', 1), regexp_extract_all(html, '(?i)href\\s*=\\s*tel:([^\\s>]*)', 1), {_DATA_SQL.format("'telephone', 'phone'")}, regexp_extract_all(plain, '{t.LABELLED_PHONE}', 1), regexp_extract_all(plain, '{t.WORLD_PHONE}', 1)]), lambda p: regexp_replace(p, '[^0-9]', '', 'g')), lambda d: length(d) BETWEEN 8 AND 15 AND NOT regexp_matches(d, '^(19|20)[0-9]{{6,}}$'))))"""
 _RICH_SQL = f"SELECT *, {_HTML_SQL} plain FROM (SELECT page_id, url, {_EXTRA_SQL} html FROM pages)"
-_ANCHORS_SQL = f"""list_filter(list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>'), lambda a: {{'h': regexp_extract(a, '(?is)<a\\s[^>]*href="([^"]*)"', 1), 'l': trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))}}), lambda x: NOT regexp_matches(x.h, '(?i)^(mailto:|tel:|javascript:|#)')),
+_LABEL_OF_SQL = _entities_sql("trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")
+_ANCHORS_SQL = f"""list_filter(list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*?href[^>]*>.*?</a>'), lambda a: {{'h': {_TARGET_SQL}, 'l': {_LABEL_OF_SQL}}}), lambda x: NOT regexp_matches(x.h, '(?i)^(mailto:|tel:|javascript:|#)')),
     lambda x: {{'h': regexp_replace(CASE WHEN regexp_matches(x.h, '^[a-z]+://') THEN x.h WHEN starts_with(x.h, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || x.h WHEN starts_with(x.h, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || x.h ELSE rtrim(regexp_extract(url, '^([a-z]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || x.h END, '#.*$', ''), 'l': x.l}}),
     lambda x: {_HOST_SQL.replace('lower(url)', 'lower(x.h)')} IS NOT DISTINCT FROM {_HOST_SQL})"""
 
@@ -595,7 +616,7 @@ def pagination_links(v: Views) -> DataFrame:
     return _rich_pages(v).select("page_id", F.array_join(t.paging_links(F.col("html"), F.col("url")), " ").alias("pages"))
 
 
-@query("jsonld_contacts", f"SELECT page_id, array_to_string({_DATA_SQL.format('email')}, ',') emails, array_to_string({_DATA_SQL.format('telephone|phone')}, ',') phones FROM ({_RICH_SQL})")
+@query("jsonld_contacts", f"SELECT page_id, array_to_string({_DATA_SQL.format("'email'")}, ',') emails, array_to_string({_DATA_SQL.format("'telephone', 'phone'")}, ',') phones FROM ({_RICH_SQL})")
 def jsonld_contacts(v: Views) -> DataFrame:
     """Contacts from structured data at any depth, of all its scripts."""
     h = F.col("html")

@@ -49,47 +49,61 @@ def xml_records(spark: SparkSession, path: str, tag: str, schema: str) -> DataFr
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
-def _member_rows(content: bytes, suffix: str) -> Iterator[list[str]]:
-    """The records of the CSV members of an archive, the header of each first."""
+def _members(content: bytes, suffix: str) -> Iterator[tuple[str, list[str], Iterator[list[str]]]]:
+    """The CSV members of an archive: name, header without blanks around its names, records."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for name in sorted(n for n in archive.namelist() if n.lower().endswith(suffix)):
             with archive.open(name) as raw:
-                yield from csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+                records = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", newline=""))
+                if (header := next(records, None)) is not None:
+                    yield name, [c.strip() for c in header], records
 
 
 def zip_csv(files: DataFrame, suffix: str = ".csv", rows: int = 10_000) -> DataFrame:
     """The records of CSV files in archives, all columns text, blanks around their names dropped.
 
     `files` has `content`, as spark.read.format("binaryFile") gives it: a task has
-    one archive and unpacks it record by record. All members have the header of
-    the first; a short record has nulls, and an archive without members no rows.
+    one archive, which must be below 2 GB, and unpacks it record by record. Each
+    member's columns go by the names in its own header, in whatever order: the columns
+    are those of the first member, in its order; a member without one of them gives
+    nulls. A column that the first member does not have, a name that is there twice and
+    a record with more values than its header are errors. A short record has nulls;
+    an archive without members has no rows.
     """
 
-    def header(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            first = [next(_member_rows(c, suffix), None) for c in batch["content"]]
-            yield pd.DataFrame({"names": pd.Series([[x.strip() for x in f] for f in first if f], dtype=object)})
+            found = next((header for c in batch["content"] for _, header, _ in _members(c, suffix)), None)
+            yield pd.DataFrame({"names": pd.Series([found] if found else [], dtype=object)})
 
-    found = files.select("content").mapInPandas(header, "names array<string>").first()
+    found = files.select("content").mapInPandas(headers, "names array<string>").first()
     names = found["names"] if found else []
 
+    def placed(name: str, header: list[str]) -> list[int | None]:
+        """The place of each column in a member."""
+        if len(set(header)) < len(header) or not set(header) <= set(names):
+            raise ValueError(f"{name} has the columns {header}, not those of {names}")
+        return [header.index(n) if n in header else None for n in names]
+
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                held = []
-                for cells in _member_rows(content, suffix):
-                    if [c.strip() for c in cells] != names:
-                        held.append([*cells, *[None] * (len(names) - len(cells))][: len(names)])
-                    if len(held) == rows:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-                yield pd.DataFrame(held, columns=names, dtype=object)
+                for name, header, cells in _members(content, suffix):
+                    places, held = placed(name, header), []
+                    for record in cells:
+                        if any(record[len(header) :]):
+                            raise ValueError(f"{name} has a record of {len(record)} values under {len(header)} names")
+                        held.append([record[i] if i is not None and i < len(record) else None for i in places])
+                        if len(held) == rows:
+                            yield pd.DataFrame(held, columns=names)
+                            held = []
+                    yield pd.DataFrame(held, columns=names, dtype=object)
 
     return files.select("content").mapInPandas(records, ", ".join(f"`{n}` string" for n in names)) if names else files.sparkSession.range(0).select()
 
 
 def zip_xml(files: DataFrame, tag: str, schema: str, suffix: str = ".xml") -> DataFrame:
-    """The elements of one name in XML files in archives (`content`), read one after the other; Spark parses their fields."""
+    """The elements of one name in XML files in archives (`content`, below 2 GB each), read one after the other; Spark parses their fields."""
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -176,3 +176,43 @@ def test_steps_are_cleared(spark):
     assert storage.clear_steps(spark, kept=1) >= 2 and last.count() == 5
     with pytest.raises(Exception):  # noqa: B017
         kept.count()
+
+
+def test_members_go_by_their_own_headers(spark):
+    def files(*members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i, text in enumerate(members):
+                z.writestr(f"{i}.csv", text)
+        return spark.createDataFrame([(out.getvalue(),)], "content binary")
+
+    swapped = readers.zip_csv(files("Name,Number\nA,1\nName,Number\n", "Number, Name \n2,B\n", "Number\n3\n", ""))
+    assert swapped.columns == ["Name", "Number"]
+    assert sorted((tuple(r) for r in swapped.collect()), key=str) == [("A", "1"), ("B", "2"), ("Name", "Number"), (None, "3")]
+    for wrong in ("Name,Town\nA,x\n", "Name,Name\nA,x\n", "Name\nA,1\n"):
+        with pytest.raises(Exception, match="columns|values"):
+            readers.zip_csv(files("Name,Number\nA,1\n", wrong)).collect()
+
+
+def test_values_of_structured_data(spark):
+    def of(script):
+        html = f'<script type="application/ld+json">{script}</script>'
+        return tuple(spark.createDataFrame([(html,)], "h string").select(t.data_values(F.col("h"), "telephone", "phone")).first()[0])
+
+    assert of(r'{"telephone": "+49 30 1234567"}') == ("+49 30 1234567",)
+    assert of(r'[{"a": [{"Phone": "x\"y\\"}, {"phone": "z"}]}, {"phone": {"telephone": "deep"}}]') == ('x"y\\', "z", "deep")
+    assert of(r'{"note": "\"phone\": \"no\"", "phone": 5, "telephone": ["no"], "b": "phone"}') == ()
+    assert of('{"phone": "never closed"') == () and of("") == ()
+
+
+def test_links_in_all_quotes(spark):
+    html = """<A HREF='/contact'>a</a><a href=/kontakt>b</a><a class="x>y" href="/a&amp;b">c</a><a data-href="no" href = '/d"e'>d</a><a name=x>none</a><link href="/style.css"><a href=tel:+49301234567>t</a><a href=mailto:a%2Bb@firm.de>m</a>"""
+    row = spark.createDataFrame([(html, "https://firm.de/x")], "h string, u string").select(t.links(F.col("h")).alias("l"), t.contact_links(F.col("h"), F.col("u")).alias("c"), t.page_phones(F.col("h")).alias("p"), t.page_emails(F.col("h")).alias("e")).first()
+    assert row["l"] == sorted(["/contact", "/kontakt", "/a&b", '/d"e', "tel:+49301234567", "mailto:a%2Bb@firm.de"])
+    assert row["c"] == ["https://firm.de/contact", "https://firm.de/kontakt"] and row["p"] == ["49301234567"] and row["e"] == ["a+b@firm.de"]
+
+
+def test_written_out_addresses(spark):
+    said = ["a (at) firm.de", "b {at} firm [dot] de", "c at firm.de", "d at firm dot co dot uk", "e [@] firm.de", "f(@)firm(punkt)de", "g&#64;firm.de", "meet at noon", "noreply at firm.de", "h" * 41 + " at firm.de", "x at firm."]
+    got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").orderBy("i").select(t.emails(F.col("s"))).collect()]
+    assert got == [["a@firm.de"], ["b@firm.de"], ["c@firm.de"], ["d@firm.co.uk"], ["e@firm.de"], ["f@firm.de"], ["g@firm.de"], [], [], [], []]
