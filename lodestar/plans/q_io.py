@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.ledger import RATES
 from ..sources import readers, sinks
 from ..sources.storage import new_path
-from ..streaming import jobs
+from ..streaming import jobs, timed
 from .q_ledger import CONSUME_SQL
 from .registry import query
 from .views import Views, sql
@@ -222,6 +222,44 @@ def stream_quota(v: Views) -> DataFrame:
     return jobs.run_quotas(rows, {"search": 12, "profile": 6, "send": 3}, RATES)
 
 
+@query("stream_quota_timed", CONSUME_SQL)
+def stream_quota_timed(v: Views) -> DataFrame:
+    """The same with state and timers by account, in the order of event time."""
+    meter = F.create_map(*[F.lit(x) for x in ("click", "search", "view", "profile", "error", "send")])[F.col("event_type")]
+    rows = jobs.closed(_events(v), "2024-03-01").filter("event_type <> 'signup' or event_type is null").select(F.col("user_id").alias("account"), "event_id", "ts", meter.alias("meter"), (F.lit(1) + F.col("event_id") % 3).alias("n"), F.round(F.col("value") * 100).cast("long").alias("amount"))
+    return timed.run_in_order(rows, "account", timed.Quota({"search": 12, "profile": 6, "send": 3}, RATES), "event_id long, accepted boolean, balance long")
+
+
+#: Of three events, the first makes an order, the second pays it (some the wrong price), the third is a failure or a repeated payment.
+_NOTICE_SQL = """SELECT event_id // 3 order_id, event_id, epoch_us(ts) AS "at", CASE event_id % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'paid' ELSE CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'paid' END END kind, (event_id // 3 * 37) % 1000 + CASE WHEN event_id % 15 = 1 THEN 1 ELSE 0 END amount FROM events"""
+
+
+def _notices(events: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    kind = F.when(k % 3 == 0, "created").when((k % 3 == 2) & (k % 2 == 0), "failed").otherwise("paid")
+    order = F.floor(k / 3).cast("long")
+    return events.select(order.alias("order_id"), "event_id", "ts", kind.alias("kind"), ((order * 37) % 1000 + F.when(k % 15 == 1, 1).otherwise(0)).cast("long").alias("amount"))
+
+
+@query("stream_orders_timed", f"""WITH n AS ({_NOTICE_SQL}) SELECT order_id, CASE WHEN x IS NULL THEN 'expired' ELSE x.kind END state, CASE WHEN x IS NULL THEN t + 420000000 ELSE x.t END AS "at" FROM (
+    SELECT c.order_id, c."at" t, min({{'t': n."at", 'event_id': n.event_id, 'kind': n.kind}}) FILTER (WHERE n.kind IS NOT NULL) x FROM n c LEFT JOIN n ON n.order_id = c.order_id AND n.kind <> 'created' AND (n."at", n.event_id) > (c."at", c.event_id) AND n."at" <= c."at" + 420000000 AND (n.kind = 'failed' OR n.amount = c.amount)
+    WHERE c.kind = 'created' GROUP BY c.order_id, c."at")""")
+def stream_orders_timed(v: Views) -> DataFrame:
+    """Orders that are paid, fail, or expire after seven minutes by a timer."""
+    return timed.run_in_order(_notices(jobs.closed(_events(v), "2024-03-01")), "order_id", timed.Orders(420), "state string, at long")
+
+
+@query("stream_order_payments", f"WITH n AS ({_NOTICE_SQL}) SELECT o.order_id, CAST(o.\"at\" AS BIGINT) ordered, count(p.\"at\") n_paid, coalesce(min(p.\"at\"), 0) first_paid FROM n o LEFT JOIN n p ON p.order_id = o.order_id AND p.kind = 'paid' AND p.amount = o.amount AND p.\"at\" BETWEEN o.\"at\" AND o.\"at\" + 420000000 WHERE o.kind = 'created' GROUP BY ALL")
+def stream_order_payments(v: Views) -> DataFrame:
+    """Orders and payment notices as two streams: each order with its payments within seven minutes, or without."""
+    # the row that closes a stream has order -1, as the join drops rows without keys before they move the watermark
+    rows = lambda: _notices(jobs.closed(_events(v), "2024-03-01")).withColumns({c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("order_id", "amount")})
+    orders = rows().filter("kind = 'created' or order_id = -1").select("order_id", F.col("amount").alias("price"), F.col("ts").alias("ordered_at"))
+    payments = rows().filter("kind = 'paid' or order_id = -1").select(F.col("order_id").alias("paid_order"), "amount", F.col("ts").alias("paid_at"))
+    found = jobs.run_available(timed.with_payments(orders, payments, "7 minutes").select("order_id", "ordered_at", "paid_at"), "append").filter("order_id >= 0")
+    return found.groupBy("order_id", F.unix_micros("ordered_at").alias("ordered")).agg(F.count("paid_at").alias("n_paid"), F.coalesce(F.min(F.unix_micros("paid_at")), F.lit(0)).alias("first_paid"))
+
+
 @query("stream_tumbling", "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS begin, event_type, count(*) n FROM events GROUP BY 1, 2")
 def stream_tumbling(v: Views) -> DataFrame:
     return jobs.run_available(jobs.windowed(_events(v), "6 hours"), "update", ("begin", "event_type"))
