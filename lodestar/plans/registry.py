@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import q_dashboard, q_explorer, q_io, q_ledger, q_match, q_quality, q_search, q_text  # noqa: F401
+    from . import q_dashboard, q_explorer, q_io, q_ledger, q_match, q_quality, q_search, q_text, q_time  # noqa: F401
 
 
 _load()
