@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import resolution as r
+from ..sources.buckets import BucketedTable
 from ..sources.storage import new_path
 from .q_search import RATED_SQL, rated
 from .registry import SQL, query
@@ -305,10 +306,13 @@ def upsert_batch(v: Views) -> DataFrame:
 _FIELDS = ("name", "email", "phone", "website")
 
 
-@query("upsert_table", sql(f"""SELECT s.hash, {', '.join(f'coalesce(s.{f}, m.{f}) {f}' for f in _FIELDS)}, CAST(list_reduce(list_prepend(s.confidence, list_transform(coalesce(steps, []), lambda z: CASE WHEN z.s = s.source THEN z.c ELSE z.c + 1000 END)), lambda a, x: CASE WHEN x < 1000 THEN greatest(a, x) ELSE least(100, greatest(a, x - 1000) + 5) END) AS BIGINT) confidence,
+UPSERT_SQL = sql(f"""SELECT s.hash, {', '.join(f'coalesce(s.{f}, m.{f}) {f}' for f in _FIELDS)}, CAST(list_reduce(list_prepend(s.confidence, list_transform(coalesce(steps, []), lambda z: CASE WHEN z.s = s.source THEN z.c ELSE z.c + 1000 END)), lambda a, x: CASE WHEN x < 1000 THEN greatest(a, x) ELSE least(100, greatest(a, x - 1000) + 5) END) AS BIGINT) confidence,
     array_to_string(list_sort(list_distinct(list_concat(s.codes, coalesce(m.codes, [])))), ',') codes, array_to_string(list_sort(list_distinct(list_prepend(s.source, coalesce(m.sources, [])))), ',') sources
     FROM (SELECT * FROM raw WHERE seq % 4 = 0 AND id % 11 <> 0) s LEFT JOIN (SELECT hash, {', '.join(f'arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL) {f}' for f in _FIELDS)}, list({{'s': source, 'c': c}} ORDER BY seq) steps, flatten(list(codes)) codes, list(source) sources
-      FROM (SELECT hash, source, min(seq) seq, max(confidence) c, {', '.join(f'arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL) {f}' for f in _FIELDS)}, flatten(list(codes)) codes FROM raw WHERE seq % 4 <> 0 AND id % 11 <> 0 GROUP BY 1, 2) GROUP BY 1) m USING (hash)""", raw=_RAW_SQL))
+      FROM (SELECT hash, source, min(seq) seq, max(confidence) c, {', '.join(f'arg_min({f}, seq) FILTER (WHERE {f} IS NOT NULL) {f}' for f in _FIELDS)}, flatten(list(codes)) codes FROM raw WHERE seq % 4 <> 0 AND id % 11 <> 0 GROUP BY 1, 2) GROUP BY 1) m USING (hash)""", raw=_RAW_SQL)
+
+
+@query("upsert_table", UPSERT_SQL)
 def upsert_table(v: Views) -> DataFrame:
     """The table that a batch leaves: rows that were stored, with those of the batch merged into them, and new ones."""
     rows = raw_entities(v).filter("id % 11 <> 0")
@@ -320,6 +324,16 @@ def upsert_table(v: Views) -> DataFrame:
     return merged.select("hash", "name", "email", "phone", "website", "confidence", F.array_join("codes", ",").alias("codes"), F.array_join("sources", ",").alias("sources"))
 
 
+@query("refresh_buckets", UPSERT_SQL)
+def refresh_buckets(v: Views) -> DataFrame:
+    """The same from a table in buckets, of which a batch rewrites only its own."""
+    rows = raw_entities(v).filter("id % 11 <> 0")
+    held = BucketedTable(v.spark, new_path(v.spark, "buckets"), "hash", 32)
+    held.create(r.merge_cross_source(rows.filter("seq % 4 = 0")))
+    held.refresh(rows.filter("seq % 4 <> 0"), lambda stored, batch: r.upsert(stored, batch))
+    return held.read().select("hash", "name", "email", "phone", "website", "confidence", F.array_join("codes", ",").alias("codes"), F.array_join("sources", ",").alias("sources"))
+
+
 @query("shipment_append", sql("SELECT order_id, line, entity_id, value FROM v_shipment WHERE entity_id % 4 <> 0 GROUP BY ALL"))
 def shipment_append(v: Views) -> DataFrame:
     """Shipments of a batch added to those that are stored: known ones are left out, as are those of entities that are gone."""
