@@ -8,18 +8,24 @@ of its path, is the entry; only the path lengths that the list has are tried.
 The filter has blocks of eight 32-bit words (one bit set in each word for an
 entry), two words to a number. It is a table with a row for each block that is
 not empty, built by one aggregation, and is broadcast as long as it has at most
-`MAX_BLOCKS` blocks (some 16 million entries): so keys are tested where they are
-read, and only those that may be listed are shuffled to the exact join with the
+`MAX_BLOCKS` blocks (some 16 million entries): so each row is tested where it is
+read, and one without a key that may be listed has its verdict there, without a
+shuffle. Only the other rows, and their keys that may be listed, go on to the exact join with the
 list, which removes the false positives; the longest entry wins. A longer list is
 joined exactly without a filter, which would have to be shuffled to like the list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .text import table
 
@@ -78,6 +84,34 @@ def maybe_listed(keys: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame
     return keys.withColumn("block", block).join(F.broadcast(blocks), "block").filter(hit).select(*columns)
 
 
+def rows_by_filter(rows: DataFrame, keys: Column, blocks: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of which one of `keys`, an array, may be in the filter, and the others; each is told apart where it is read."""
+    held = blocks.toArrow()  # a row for each block, MAX_BLOCKS at most
+    words = np.zeros((n_blocks, 4), np.int64)
+    words[held.column("block").to_numpy()] = np.stack([held.column(f"w{i}").to_numpy() for i in range(4)], axis=1)
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    schema = StructType([*rows.schema.fields, StructField("__may", BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("__hashes")
+            h = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            low, hit = h.view(np.uint64) & np.uint64(0xFFFFFFFF), np.ones(len(h), bool)
+            block = (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % len(shared.value)
+            for i, (a, b) in enumerate(zip(SALTS[::2], SALTS[1::2], strict=True)):
+                one, two = ((low * np.uint64(s) & np.uint64(0xFFFFFFFF)) >> np.uint64(27) for s in (a, b))
+                mask = (np.uint64(1) << one | np.uint64(1) << (two + np.uint64(32))).view(np.int64)
+                hit &= shared.value[block, i] & mask == mask
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(hashes).fill_null(0).to_numpy(zero_copy_only=False))
+            may = np.bincount(row[hit], minlength=batch.num_rows) > 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(may)], schema=arrow)
+
+    marked = rows.withColumn("__hashes", F.transform(keys, lambda k: F.xxhash64(k))).mapInArrow(probe, schema)
+    return marked.filter("__may").drop("__may"), marked.filter("not __may").drop("__may")
+
+
 def url_keys(host: Column, path: Column, lengths: Sequence[int]) -> Column:
     """All host suffixes (at label borders) with all path prefixes of the given lengths."""
     labels = F.split(host, r"\.", -1)
@@ -97,7 +131,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow", u
     fit the longer one wins, and two of one length cannot both fit. Repeated rows
     are judged each, a URL that is common only once; empty tables give an empty
     result or the verdict `otherwise`; further columns pass through. The list is
-    counted when this is called.
+    counted, and its filter built, when this is called.
     """
     pages = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
     listed = listed.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.collect_set(F.length("path")).alias("n"))
@@ -106,14 +140,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, otherwise: str = "allow", u
     parsed = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not lengths:
         return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
-    distinct = parsed.select("host", "path").distinct()
-    keys = distinct.select("host", "path", F.explode(url_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    candidates = maybe_listed(keys, bloom_blocks(listed, n_blocks), n_blocks) if n_blocks <= MAX_BLOCKS else keys
+    filtered, of_url = n_blocks <= MAX_BLOCKS, url_keys(F.col("host"), F.col("path"), lengths)
+    if filtered:
+        blocks = bloom_blocks(listed, n_blocks)
+        parsed, others = rows_by_filter(parsed, of_url, blocks, n_blocks)
+    keys = parsed.select("host", "path").distinct().select("host", "path", F.explode(of_url).alias("key"))
+    candidates = maybe_listed(keys, blocks, n_blocks) if filtered else keys
     exact = candidates.join(listed.select("key", F.col("verdict").alias("__verdict")), "key")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("key", "__verdict"), F.struct(F.length("key"), "key")).alias("__best"))
-    return parsed.join(best, ["host", "path"], "left").select(
+    found = parsed.join(best, ["host", "path"], "left").select(
         *pages.columns, "host", "path", F.col("__best.key").alias("rule"), F.coalesce("__best.__verdict", F.lit(otherwise)).alias("verdict")
     )
+    return found.unionByName(others.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})) if filtered else found
 
 
 #: The list of the query: host, path, verdict (fixed values).

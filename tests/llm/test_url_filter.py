@@ -43,3 +43,19 @@ def test_one_url_on_most_pages(spark):
     pages = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "http://www.example.com/aaa?q").otherwise(F.concat(F.lit("http://h"), "id", F.lit(".org/"))).alias("url"))
     got = {(r[0], r[1]): r[2] for r in url_filter.filter_urls(pages, listed).groupBy("rule", "verdict").count().collect()}
     assert got == {("example.com/aaa", "block"): 2000, (None, "allow"): 1000}
+
+
+def test_rows_without_a_candidate_are_not_shuffled(spark):
+    listed = spark.range(50_000).select(F.concat(F.lit("site"), "id", F.lit(".dev")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("verdict"))
+    pages = spark.range(4000).select("id", F.concat(F.lit("https://www.site"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(F.col("id") + 10**6), F.lit(".dev/a/b")).alias("url"))
+    keyed = pages.withColumn("keys", url_filter.url_keys(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), [1]))
+    entries = listed.select(F.concat("host", "path").alias("key"))
+    n_blocks = 50_000 * url_filter.BITS_PER_ENTRY // 256
+    may, others = url_filter.rows_by_filter(keyed, F.col("keys"), url_filter.bloom_blocks(entries, n_blocks), n_blocks)
+    assert "Exchange" not in others._jdf.queryExecution().executedPlan().toString()
+    assert 80 <= may.count() < 200 and may.count() + others.count() == 4000 and may.filter("id % 50 = 0").count() == 80
+    # the numbers tested where rows are read are those of the table of blocks
+    exploded = keyed.select("id", F.explode("keys").alias("key"))
+    assert {r["id"] for r in url_filter.maybe_listed(exploded, url_filter.bloom_blocks(entries, n_blocks), n_blocks).collect()} == {r["id"] for r in may.collect()}
+    got = {(r["verdict"], r["rule"] is None): r["count"] for r in url_filter.filter_urls(pages, listed).groupBy("verdict", "rule").count().groupBy("verdict", F.col("rule").isNull().alias("none")).agg(F.sum("count").alias("count")).withColumn("rule", F.when(~F.col("none"), 1)).collect()}
+    assert got == {("block", False): 80, ("allow", True): 3920}
