@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .dictionary import all_values, find_phrases
 from .taxonomy import FIELD_WEIGHTS, OTHER_WEIGHTS, STOP_WORDS
 
 #: Letters from which on the beginning of a word counts.
@@ -61,3 +62,18 @@ def search_many(index: DataFrame, nodes: DataFrame, queries: DataFrame, query_id
     best = W.partitionBy("query_id").orderBy(F.desc("raw"), "code")
     ranked = scored.select("query_id", "code", (F.col("points") + F.col("extra") + bonus).alias("raw")).withColumn("k", F.row_number().over(best))
     return ranked.filter(F.col("k") <= limit).select("query_id", "code", F.floor(F.col("raw") + 0.5).alias("score"))
+
+
+def categories(queries: DataFrame, keywords: DataFrame, index: DataFrame, nodes: DataFrame, default: str, query_id: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, category, by): that of the first of `keywords` (place, keyword, category) that stands in a query, else the heading of the code that ranks first for it, else `default`.
+
+    `by` says which: keyword, search or default. Keywords are a relation of any size,
+    places are whole numbers from 0; query ids are distinct. A query without words has the default.
+    """
+    told = keywords.select(F.col("keyword").alias("phrase"), F.concat(F.lpad(F.col("place").cast("string"), 19, "0"), F.lit(":"), "category").alias("value"))
+    rows = find_phrases(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text")), told)
+    first = F.array_min(all_values(F.col("matches")))
+    named = rows.select("query_id", "text", F.substring(first, 21, 1 << 30).alias("named"))
+    best = search_many(index, nodes, named.filter("named is null"), limit=1).select("query_id", F.substring("code", 1, 4).alias("found"))
+    by = F.when(F.col("named").isNotNull(), "keyword").when(F.col("found").isNotNull(), "search").otherwise("default")
+    return named.join(best, "query_id", "left").select("query_id", F.coalesce("named", "found", F.lit(default)).alias("category"), by.alias("by"))

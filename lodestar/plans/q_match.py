@@ -107,6 +107,22 @@ def code_search_all(v: Views) -> DataFrame:
     return i_.search_many(i_.postings(nodes), nodes, queries, limit=5)
 
 
+_KEYWORD_SQL = "SELECT w, min(part_id) place, 'k' || min(chapter) category FROM (SELECT part_id, chapter, split_part(description, ' ', 2) w FROM v_taxonomy) WHERE length(w) <= 4 GROUP BY 1"
+_ASKED_SQL = "SELECT p_partkey query_id, CASE WHEN p_partkey % 10 = 0 THEN '?!' ELSE p_name || ' for ' || p_brand END t FROM part"
+
+
+@query("category_search", sql(f"""SELECT a.query_id, coalesce(any_value(n.category), any_value(f.heading), '0901') category, CASE WHEN any_value(n.category) IS NOT NULL THEN 'keyword' WHEN any_value(f.heading) IS NOT NULL THEN 'search' ELSE 'default' END AS "by" FROM asked a
+    LEFT JOIN (SELECT query_id, arg_min(category, place) category FROM asked JOIN k ON contains({_norm("t")}, ' ' || w || ' ') GROUP BY 1) n USING (query_id) LEFT JOIN (SELECT query_id, left(code, 4) heading FROM ({_many_sql(1)})) f USING (query_id) GROUP BY a.query_id""",
+    k=_KEYWORD_SQL, asked=_ASKED_SQL, q=f"SELECT query_id, {_searchable('t')} ws FROM asked", l=_LABEL_SQL, nodes=_NODES_SQL))
+def category_search(v: Views) -> DataFrame:
+    """A category for a query of each part: by keyword, else by text search over the taxonomy, else the default."""
+    word = F.split_part("description", F.lit(" "), F.lit(2))
+    keywords = v.taxonomy.select(word.alias("keyword"), "part_id", "chapter").filter(F.length("keyword") <= 4).groupBy("keyword").agg(F.min("part_id").alias("place"), F.concat(F.lit("k"), F.min("chapter")).alias("category"))
+    asked = v.table("part").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 10 == 0, "?!").otherwise(F.concat("p_name", F.lit(" for "), "p_brand")).alias("text"))
+    nodes = _nodes(v)
+    return i_.categories(asked, keywords, i_.postings(nodes), nodes, "0901")
+
+
 #: Every part but the first few hangs below an earlier one: a tree of depth thirty and more.
 _PART_TREE_SQL = "SELECT p_partkey node, nullif(p_partkey * 39 // 50, p_partkey) parent, p_name AS label, p_size FROM part"
 

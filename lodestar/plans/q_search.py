@@ -88,20 +88,24 @@ def preview_gated(v: Views) -> DataFrame:
 def recommend_unsaved(v: Views) -> DataFrame:
     """For each account the best entities of its region that it has not saved.
 
-    An account needs at most five entities beyond those it has saved, so of each
-    region only the best (most saved by one of its accounts + 5) are joined. They
-    are found in two steps, first within 64 parts of a region, so that no task
-    sorts a whole region.
+    An account needs at most five entities beyond those it has saved. So accounts
+    are put into bands of like need, each twice the one below, and joined with as many
+    of their region's best as their band needs: an account that has saved much makes
+    no other one look at more. The best are found in two steps, first within 64
+    parts of a region, so that no task sorts a whole region.
     """
     saved = v.saved.select("account", "entity_id")
     accounts = v.event.select("account", (F.col("account") % 5).alias("region")).distinct().join(saved.groupBy("account").agg(F.count("*").alias("n")), "account", "left")
+    accounts = accounts.withColumn("band", F.ceil(F.log2(F.coalesce("n", F.lit(0)) + 5.0)).cast("int"))
+    bands = F.broadcast(accounts.select("region", "band").distinct().withColumn("upto", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("band"))))  # a row for each region and doubling
     need = F.broadcast(accounts.groupBy("region").agg((F.coalesce(F.max("n"), F.lit(0)) + 5).alias("need")))  # a row for each region
     rows = rated(v).filter("hidden_reason is null").select("region", F.col("id").alias("entity_id"), "quality").join(need, "region")
     order = [F.desc("quality"), F.asc("entity_id")]
     part = rows.withColumn("part", F.pmod(F.xxhash64("entity_id"), F.lit(64)))
     few = part.withColumn("k", F.row_number().over(W.partitionBy("region", "part").orderBy(*order))).filter("k <= need")
-    top = few.withColumn("k", F.row_number().over(W.partitionBy("region").orderBy(*order))).filter("k <= need").select("region", "entity_id", "quality")
-    pairs = accounts.select("account", "region").join(top, "region").join(saved, ["account", "entity_id"], "left_anti")
+    top = few.withColumn("k", F.row_number().over(W.partitionBy("region").orderBy(*order))).filter("k <= need").select("region", "entity_id", "quality", "k")
+    top = top.join(bands, "region").filter("k <= upto").select("region", "band", "entity_id", "quality")
+    pairs = accounts.select("account", "region", "band").join(top, ["region", "band"]).join(saved, ["account", "entity_id"], "left_anti")
     own = W.partitionBy("account").orderBy(*order)
     return pairs.withColumn("place", F.row_number().over(own).cast("long")).filter("place <= 5").select("account", "entity_id", "place")
 

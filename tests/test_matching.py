@@ -158,3 +158,12 @@ def test_trees_of_any_depth(spark):
     with pytest.raises(Exception, match="several parents"):
         tree.lifted(spark.createDataFrame([(1, 2), (1, 3)], "node long, parent long"))
     assert tree.ancestors(edges.limit(0)).count() == 0
+
+
+def test_categories_by_keyword_then_search_then_default(spark):
+    nodes = spark.createDataFrame([("090111", 6, " raw coffee beans ", " ", " coffee "), ("151311", 6, " crude oil of coconuts ", " ", " oils ")], "code string, level int, own string, context string, head string")
+    keywords = spark.createDataFrame([(1, "palm oil", "1511"), (0, "vanilla", "0905"), (2, "oil", "1500")], "place int, keyword string, category string")
+    asked = [(1, "Vanilla and palm oil", "0905", "keyword"), (2, "coffee in bags", "0901", "search"), (3, "coconuts", "1513", "search"), (4, "nothing known", "9999", "default"), (5, None, "9999", "default"), (6, "Palm-oil", "1511", "keyword"), (7, "", "9999", "default")]
+    queries = spark.createDataFrame([a[:2] for a in asked], "query_id long, text string")
+    got = code_index.categories(queries, keywords, code_index.postings(nodes), nodes, "9999").orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [(a[0], *a[2:]) for a in asked]
