@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.storage import materialise
 from .dictionary import all_values, find_phrases
 from .taxonomy import FIELD_WEIGHTS, OTHER_WEIGHTS, STOP_WORDS
 
@@ -42,11 +43,14 @@ def search_many(index: DataFrame, nodes: DataFrame, queries: DataFrame, query_id
     `queries` may have `further`, an array of further words (`taxonomy.expand_all`),
     and `preferred` and `boosted`, arrays of codes and headings. Query ids are
     distinct; a query without words that count has no rows. `index` is `postings`
-    of `nodes`, whose codes are distinct.
+    of `nodes`, whose codes are distinct. The distinct queries are written when this is called.
     """
     column = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in queries.columns else F.array().cast("array<string>")
     base = F.filter(words(F.col(text), 2), lambda w: ~w.isin(STOP_WORDS))
-    q = queries.select(F.col(query_id).alias("query_id"), base.alias("base"), column("further").alias("further"), column("preferred").alias("preferred"), column("boosted").alias("boosted")).filter(F.size("base") > 0)
+    asked = queries.select(F.col(query_id).alias("id"), base.alias("base"), column("further").alias("further"), column("preferred").alias("preferred"), column("boosted").alias("boosted")).filter(F.size("base") > 0)
+    # queries that ask for the same are searched once
+    same = ["base", "further", "preferred", "boosted"]
+    q = materialise(asked.groupBy(*same).agg(F.min("id").alias("query_id")))
     own = q.select("query_id", F.explode("base").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).withColumn("other", F.lit(False))
     more = q.select("query_id", F.explode(F.array_distinct("further")).alias("term"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("other"))
     hits = own.unionByName(more).join(index, "term").select(
@@ -59,9 +63,10 @@ def search_many(index: DataFrame, nodes: DataFrame, queries: DataFrame, query_id
     starts = (F.length("phrase") > 3) & (F.startswith("own", F.concat(F.lit(" "), "phrase")) | F.startswith("head", F.concat(F.lit(" "), "phrase")))
     bonus = F.when(F.col("matched") == F.col("n_base"), 10.0).otherwise(0.0) + F.when(starts, 12.0).otherwise(0.0) + F.when(F.array_contains("preferred", F.col("code")), 40.0).otherwise(0.0)
     bonus += F.when(F.array_contains("boosted", F.substring("code", 1, 4)), 20.0).otherwise(0.0) - F.when(F.col("level") == 8, 2.0).otherwise(0.0)
-    best = W.partitionBy("query_id").orderBy(F.desc("raw"), "code")
-    ranked = scored.select("query_id", "code", (F.col("points") + F.col("extra") + bonus).alias("raw")).withColumn("k", F.row_number().over(best))
-    return ranked.filter(F.col("k") <= limit).select("query_id", "code", F.floor(F.col("raw") + 0.5).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("raw"), "code")
+    ranked = scored.select("query_id", "code", (F.col("points") + F.col("extra") + bonus).alias("raw")).withColumn("k", F.row_number().over(order))
+    best = ranked.filter(F.col("k") <= limit).select("query_id", "code", F.floor(F.col("raw") + 0.5).alias("score"))
+    return asked.join(q, same).select("id", "query_id").join(best, "query_id").select(F.col("id").alias("query_id"), "code", "score")
 
 
 def categories(queries: DataFrame, keywords: DataFrame, index: DataFrame, nodes: DataFrame, default: str, query_id: str = "query_id", text: str = "text") -> DataFrame:

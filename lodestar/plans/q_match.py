@@ -17,7 +17,7 @@ from .views import Views, sql
 
 _ORDER_TEXT_SQL = """SELECT l_orderkey order_id, string_agg(t, '; ' ORDER BY t) t FROM (
     SELECT l_orderkey, p_name || ' ' || (p_partkey + l_linenumber % 3) || ', ' || p_type || 's ' || l_suppkey t FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1"""
-_ALIAS_SQL = """SELECT DISTINCT p, code6 v FROM (SELECT code6, unnest([description, description || ' ' || part_id, p_type || ' ' || part_id]) p FROM v_taxonomy JOIN part ON part_id = p_partkey) WHERE code6 IS NOT NULL"""
+_ALIAS_SQL = """SELECT p, min(code6) v FROM (SELECT code6, unnest([description, description || ' ' || part_id, p_type || ' ' || part_id]) p FROM v_taxonomy JOIN part ON part_id = p_partkey) GROUP BY 1"""
 
 
 def _order_texts(v: Views) -> DataFrame:
@@ -28,9 +28,9 @@ def _order_texts(v: Views) -> DataFrame:
 
 
 def _aliases(v: Views) -> DataFrame:
-    """(phrase, value): names, and names and kinds with numbers, of all parts."""
+    """(phrase, value): names, and names and kinds with numbers, of all parts, with the first code of each."""
     parts = v.taxonomy.join(v.table("part").select(F.col("p_partkey").alias("part_id"), "p_type"), "part_id")
-    return parts.select(F.explode(F.array("description", F.concat("description", F.lit(" "), "part_id"), F.concat("p_type", F.lit(" "), "part_id"))).alias("phrase"), F.col("code6").alias("value"))
+    return parts.select(F.explode(F.array("description", F.concat("description", F.lit(" "), "part_id"), F.concat("p_type", F.lit(" "), "part_id"))).alias("phrase"), "code6").groupBy("phrase").agg(F.min("code6").alias("value"))
 
 
 def _scan_sql(text: str, alias: str) -> str:
@@ -67,13 +67,13 @@ def _searchable(c: str) -> str:
 @query("synonym_expand", sql("""SELECT id part_id, array_to_string(list_sort(list_distinct(list(w))), ' ') further
     FROM (SELECT q.id, q.own, unnest(r.s) w FROM q JOIN r ON contains(' ' || array_to_string(q.own, ' ') || ' ', ' ' || r.p || ' ')) WHERE NOT list_contains(own, w) GROUP BY 1""",
     q=f"SELECT p_partkey id, {_searchable("p_name || ' for the ' || p_type || ' of ' || p_size")} own FROM part",
-    r=f"SELECT DISTINCT array_to_string({_searchable('p')}, ' ') p, {_searchable('s')} s FROM (SELECT p_name p, 'the ' || p_brand || ' and ' || p_type s FROM part UNION ALL SELECT p_type || ' of ' || p_size, p_name || ' from ' || p_brand FROM part)"))
+    r=f"SELECT DISTINCT array_to_string({_searchable('p')}, ' ') p, {_searchable('s')} s FROM (SELECT p_name p, 'the ' || p_brand || ' and ' || p_type s FROM part UNION ALL SELECT p_type || ' of ' || p_size, 'from ' || p_brand FROM part)"))
 def synonym_expand(v: Views) -> DataFrame:
     """Further words for a query of each part, from a relation of synonyms made of all parts."""
     p, lit = v.table("part"), F.lit
     relation = p.select(F.explode(F.array(
         F.struct(F.col("p_name").alias("phrase"), F.concat(lit("the "), "p_brand", lit(" and "), "p_type").alias("synonym")),
-        F.struct(F.concat("p_type", lit(" of "), "p_size").alias("phrase"), F.concat("p_name", lit(" from "), "p_brand").alias("synonym")),
+        F.struct(F.concat("p_type", lit(" of "), "p_size").alias("phrase"), F.concat(lit("from "), "p_brand").alias("synonym")),
     )).alias("r")).select("r.*")
     queries = p.select(F.col("p_partkey").alias("part_id"), F.concat("p_name", lit(" for the "), "p_type", lit(" of "), "p_size").alias("text"))
     return x.expand_all(queries, relation).filter(F.size("further") > 0).select("part_id", F.array_join("further", " ").alias("further"))
