@@ -117,9 +117,9 @@ def zip_xml(files: DataFrame, tag: str, schema: str, suffix: str = ".xml") -> Da
                                     held.append(ElementTree.tostring(element, encoding="unicode"))
                                     element.clear()
                                 if len(held) == 10_000:
-                                    yield pd.DataFrame({"xml": held})
+                                    yield pd.DataFrame({"xml": held}, dtype=object)
                                     held = []
-                        yield pd.DataFrame({"xml": held})
+                        yield pd.DataFrame({"xml": held}, dtype=object)  # without the type, none are numbers
 
     return files.select("content").mapInPandas(elements, "xml string").select(F.from_xml("xml", schema).alias("x")).select("x.*")
 

@@ -124,6 +124,15 @@ def test_archives(spark):
     assert [tuple(r) for r in readers.zip_xml(xml, "r", "_id long, n string").collect()] == [(1, "A & B"), (None, None)]
 
 
+@pytest.mark.parametrize("n", [0, 3, 10_000])
+def test_archives_of_whole_batches_and_of_none(spark, n):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.xml", f"<rs>{''.join(f'<r id=\"{i}\"/>' for i in range(n))}</rs>")
+    files = spark.createDataFrame([(out.getvalue(),)], "content binary")
+    assert sorted(r[0] for r in readers.zip_xml(files, "r", "_id long").collect()) == list(range(n))
+
+
 def test_services_that_fail(spark):
     def fetch(endpoint, attempt, part, offset, limit, ordered):
         raise OSError("down")
