@@ -151,3 +151,14 @@ def test_empty_export_and_counters(spark):
     assert [r["value"] for r in spark.read.text(path).collect()] == ["# n", "id,name"]
     spark.dataSource.register(readers.paged_source("none", "a int", lambda p: 0, lambda *a: [], 10, 10))
     assert spark.read.format("none").load().count() == 0
+
+
+def test_capitals_are_those_of_sql(spark):
+    import duckdb
+
+    letters = [chr(i) for i in range(32, 0x2C00) if chr(i) not in "ƛɤ\u1c89\u1c8a"]  # capitals of these are newer than Java 17
+    said = [(x,) for x in ["Ungßkeit Ltd", "ŉ ﬁn", "", None, "abc"] + ["".join(letters[k : k + 500]) for k in range(0, len(letters), 500)]]
+    got = [r[0] for r in spark.createDataFrame(said, "s string").select(t.capitals(F.col("s"))).collect()]
+    want = [duckdb.execute("SELECT upper(?::VARCHAR)", [x]).fetchone()[0] for (x,) in said]
+    far = [(a, b) for g, w in zip(got, want, strict=True) if g != w for a, b in zip(g, w) if a != b]
+    assert got[:5] == want[:5] and not far
