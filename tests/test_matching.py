@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import norm
-from lodestar.operators import code_index, dictionary, similar, taxonomy, tree
+from lodestar.operators import alerts, code_index, dictionary, similar, taxonomy, tree
 
 
 def _found(rows, key="id"):
@@ -167,3 +167,28 @@ def test_categories_by_keyword_then_search_then_default(spark):
     queries = spark.createDataFrame([a[:2] for a in asked], "query_id long, text string")
     got = code_index.categories(queries, keywords, code_index.postings(nodes), nodes, "9999").orderBy("query_id").collect()
     assert [tuple(r) for r in got] == [(a[0], *a[2:]) for a in asked]
+
+
+def test_new_alerts_are_made_once_and_not_shuffled(spark):
+    rng = random.Random(8)
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    days = ["2024-01-20", "2024-01-29", "2023-05-01"]
+    ships = [(rng.randint(0, 30), 1, rng.choice(days), f"h{rng.randint(0, 6)}") for _ in range(160)]
+    entities = [(i, rng.choice([1, 2, None])) for i in range(31)]
+    followed = [(a, f"h{rng.randint(0, 6)}") for a in range(25) for _ in range(3)] + [(1, None)]
+    wanted = [(a, rng.choice([1, 2, 2, None])) for a in range(25) for _ in range(a % 3)]
+    allowed = [(a, a % 5) for a in range(25)]
+    none = made([], "account long, entity_id long, saved_at timestamp")
+    shipped = made(ships, "entity_id long, supplier_id long, day string, heading string").withColumn("day", F.to_date("day"))
+    found = alerts.alerts(shipped, made([(1, False)], "supplier_id long, is_home boolean"), made(entities, "entity_id long, region int"), none, made(allowed, "account long, alerts int"), made(followed, "account long, heading string"), made(wanted, "account long, region int"), "region", "2024-01-31", "2024-01-31")
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    first, heads, place = {}, {}, dict(entities)
+    for e, _, d, h in ships:
+        first[e] = min(d, first.get(e, d))
+        heads.setdefault(e, set()).add(h)
+    want = set()
+    for a, n in allowed:
+        wishes = {w for b, w in wanted if b == a} or {None}
+        want |= {(a, "new", f"nb:{e}") for e, d in first.items() if n and d >= "2023-12-17" and heads[e] & {h for b, h in followed if b == a} and (None in wishes or place[e] in wishes)}
+    rows = [tuple(r) for r in found.collect()]
+    assert want and len(rows) == len(set(rows)) and set(rows) == want
