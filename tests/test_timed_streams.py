@@ -83,3 +83,55 @@ def test_orders_with_payments_of_a_second_stream(spark, tmp_path):
         in_time = [q["sec"] for q in paid if q["key"] == r["key"] and q["amount"] == 10 and r["sec"] <= q["sec"] <= r["sec"] + 300]
         want += [(r["key"], r["sec"], b) for b in in_time] or [(r["key"], r["sec"], None)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+class _Store:
+    """A state store that counts what is written to it."""
+
+    def __init__(self):
+        self.values, self.written, self.timers = {}, 0, set()
+
+    def getMapState(self, *_):
+        return _Store()
+
+    getValueState = getMapState
+
+    def updateValue(self, key, value):
+        self.values[key], self.written = value, self.written + 1
+
+    def iterator(self):
+        return iter(list(self.values.items()))
+
+    def get(self):
+        return self.values.get(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def clear(self):
+        self.values.clear()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_rows_of_a_bucket_are_kept_in_pieces(monkeypatch):
+    monkeypatch.setattr(timed, "PIECE", 100)
+    rng = random.Random(5)
+    rows = [{"event_id": i, "key": rng.randint(0, 300), "sec": BASE + rng.randint(0, 5000), "kind": rng.choice(["created", "paid", "failed"]), "amount": rng.choice([1, 2])} for i in range(900)]
+    fold, handle, out = timed.Orders(600), _Store(), []
+    fold.out = ["key", "state", "at"]
+    fold.init(handle)
+    for part in (rows[::2], rows[1::2]):
+        assert not list(fold.handleInputRows((7,), iter([Row(key=r["key"], at=r["sec"] * 1_000_000, event_id=r["event_id"], kind=r["kind"], amount=r["amount"]) for r in part]), None))
+    assert fold.waiting.written == 10 and len(handle.timers) == 1
+    for sec in (BASE + 2000, BASE + 2500, BASE + 10**6):
+        due = {t for t in handle.timers if t <= sec * 1000}
+        handle.timers -= due
+        if due:
+            out += map(tuple, fold.handleExpiredTimer((7,), type("Now", (), {"getCurrentWatermarkInMs": lambda _, s=sec: s * 1000})(), None))
+    assert sorted(out, key=str) == _folded(timed.Orders(600), rows) and not handle.timers
+    assert not fold.waiting.values and not fold.kept.values and not fold.woken.values
