@@ -162,3 +162,18 @@ def test_capitals_are_those_of_sql(spark):
     want = [duckdb.execute("SELECT upper(?::VARCHAR)", [x]).fetchone()[0] for (x,) in said]
     far = [(a, b) for g, w in zip(got, want, strict=True) if g != w for a, b in zip(g, w) if a != b]
     assert got[:5] == want[:5] and not far
+
+
+def test_addresses_open_a_text_once_and_equal_the_plain_patterns(spark):
+    rng = random.Random(1)
+    parts = ["a", "b", "@", ".", "-", " ", "at", "dot", "(at)", "[ at ]", "(dot)", ".com", "x", "\n", "&#64;", "[@]", "{at}", "A", "%", "co", "  ", " at ", " dot "]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(3, 25))),) for _ in range(5000)] + [(None,), ("",), ("a@b.com-x@y.de (at) z",)]
+    s = F.col("s")
+    found = spark.createDataFrame(rows, "s string").select("s", t.emails(s).alias("e"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(s") == 1
+    opened = F.regexp_replace(F.regexp_replace(F.lower(s), t.AT_SIGN, "@"), t.DOT_SIGN, ".")
+    spoken = F.filter(F.transform(F.regexp_extract_all(opened, F.lit(t.SPOKEN), 0), lambda e: F.regexp_replace(F.regexp_replace(e, r"\s+at\s+", "@"), r"\s+dot\s+", ".")), lambda e: e.rlike(f"^{t.EMAIL}$") & (F.length(F.substring_index(e, "@", 1)) <= 40))
+    plain = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(opened, F.lit(f"({t.EMAIL})"), 1), spoken)))
+    far = found.withColumn("p", F.filter(plain, lambda e: ~F.substring_index(e, "@", 1).isin(t.BLOCKED_LOCALS))).filter(~F.col("e").eqNullSafe(F.col("p")))
+    assert far.limit(3).collect() == []
