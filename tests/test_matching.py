@@ -192,3 +192,16 @@ def test_new_alerts_are_made_once_and_not_shuffled(spark):
         want |= {(a, "new", f"nb:{e}") for e, d in first.items() if n and d >= "2023-12-17" and heads[e] & {h for b, h in followed if b == a} and (None in wishes or place[e] in wishes)}
     rows = [tuple(r) for r in found.collect()]
     assert want and len(rows) == len(set(rows)) and set(rows) == want
+
+
+@pytest.mark.parametrize("by_gram", [True, False])
+@pytest.mark.parametrize("percent, block", [(50, 8192), (50, 9), (60, 30), (20, 15)])
+def test_names_met_by_grams_or_each_once_give_all_pairs(spark, monkeypatch, by_gram, percent, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(9)
+    said = sorted({" " + "".join(rng.choice("abc ") for _ in range(rng.randint(1, 30))).strip() + " " for _ in range(150)})
+    grams = {n: sorted({n[i : i + 3] for i in range(len(n) - 2)}) for n in said if len(n) > 2}
+    known = {g: k for k, g in enumerate(sorted({g for v in grams.values() for g in v}))}
+    sets = spark.createDataFrame([(n, 1, sorted(known[g] for g in v)) for n, v in grams.items()], "name string, n long, grams array<int>")
+    want = sorted((a.strip(), b.strip(), len(set(grams[a]) & set(grams[b]))) for a in grams for b in grams if a < b and 100 * len(set(grams[a]) & set(grams[b])) >= percent * len(set(grams[a]) | set(grams[b])))
+    assert want and sorted((r["a"], r["b"], r["common"]) for r in similar.joined(sets, percent, by_gram).collect()) == want
