@@ -26,6 +26,8 @@ from ..sources.storage import materialise
 
 #: Bytes of phrases and values that may become an automaton; and words of a text that are one piece of it.
 AUTOMATON_BYTES, PIECE = 64 << 20, 256
+#: Phrases and values of the matches that are held at a time.
+VALUES = 50_000
 MATCH = "array<struct<phrase:string,words:int,n:int,found:array<string>>>"
 
 
@@ -106,12 +108,25 @@ class Automaton:
 
     def matches(self, texts: pa.Array) -> pa.Array:
         """For each text its distinct phrases, in the order of the dictionary: phrase, its words, how often, values."""
+        found = [part for _, _, part in self.parts(texts)]
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.struct([("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int32()), ("found", self.values.type)])))
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+        """The matches of texts, cut so that a part has VALUES phrases and values at most, or one text."""
         text, phrase = self.scan(texts)
         key, n = np.unique(text * len(self.phrases) + phrase, return_counts=True) if len(text) else (text, text)
         text, phrase = np.divmod(key, max(1, len(self.phrases)))
-        offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-        columns = [self.phrases.take(pa.array(phrase)), pa.array(self.length[phrase].astype(np.int32)), pa.array(n.astype(np.int32)), self.values.take(pa.array(phrase))]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["phrase", "words", "n", "found"]))
+        offsets = np.searchsorted(text, np.arange(len(texts) + 1))
+        weight = 1 + pc.list_value_length(self.values).to_numpy(zero_copy_only=False).astype(np.int64)[phrase]
+        so_far = np.concatenate([[0], np.cumsum(weight)])[offsets]
+        begin = 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(so_far, so_far[begin] + VALUES, "right")) - 1)
+            a, b = offsets[begin], offsets[end]
+            columns = [self.phrases.take(pa.array(phrase[a:b])), pa.array(self.length[phrase[a:b]].astype(np.int32)), pa.array(n[a:b].astype(np.int32)), self.values.take(pa.array(phrase[a:b]))]
+            cut = pa.array((offsets[begin : end + 1] - a).astype(np.int32))
+            yield begin, end, pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays(columns, ["phrase", "words", "n", "found"]))
+            begin = end
 
 
 def find_phrases(texts: DataFrame, dictionary: DataFrame, text: str = "text", phrase: str = "phrase", value: str = "value", plural: bool = False, normal: Callable[[Column], Column] = norm) -> DataFrame:
@@ -142,8 +157,8 @@ def _by_automaton(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = shared.value.matches(batch.column("__norm").cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], found.cast(arrow.field("matches").type)], schema=arrow)
+                for begin, end, found in shared.value.parts(batch.column("__norm").cast(pa.string())):
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(begin, end - begin) for c in through], found.cast(arrow.field("matches").type)], schema=arrow)
 
     return rows.mapInArrow(work, schema)
 

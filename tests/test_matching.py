@@ -205,3 +205,14 @@ def test_names_met_by_grams_or_each_once_give_all_pairs(spark, monkeypatch, by_g
     sets = spark.createDataFrame([(n, 1, sorted(known[g] for g in v)) for n, v in grams.items()], "name string, n long, grams array<int>")
     want = sorted((a.strip(), b.strip(), len(set(grams[a]) & set(grams[b]))) for a in grams for b in grams if a < b and 100 * len(set(grams[a]) & set(grams[b])) >= percent * len(set(grams[a]) | set(grams[b])))
     assert want and sorted((r["a"], r["b"], r["common"]) for r in similar.joined(sets, percent, by_gram).collect()) == want
+
+
+def test_matches_are_given_out_in_parts(monkeypatch):
+    monkeypatch.setattr(dictionary, "VALUES", 50)
+    values = [[f"v{k}" for k in range(n)] for n in (20, 70, 1)]
+    held = dictionary.Automaton(pa.array(["a", "b", "c"]), pa.array(values))
+    texts = pa.array(["a", "b c", "a c", None, "x", "c"] * 7)
+    parts = list(held.parts(texts))
+    assert [b for b, _, _ in parts][1:] == [e for _, e, _ in parts][:-1] and parts[-1][1] == len(texts)
+    assert all(e - b == 1 or sum(1 + len(m["found"]) for row in x.to_pylist() for m in row) <= 50 for b, e, x in parts)
+    assert [r for _, _, x in parts for r in x.to_pylist()] == held.matches(texts).to_pylist()
