@@ -6,7 +6,8 @@ and for each state the nearest one on its failure way that ends a phrase. It is
 broadcast, and batches of texts run through it side by side, so a text costs a step
 for each of its words, however many phrases there are, and nothing is shuffled.
 A larger dictionary is joined by the texts' n-grams of words, of those lengths that
-its phrases have.
+its phrases have: only those n-grams are shuffled that a Bloom filter of the phrases
+lets through, and the join finds which of them are phrases.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,8 @@ from ..sources.storage import materialise
 
 #: Bytes of phrases and values that may become an automaton; and words of a text that are one piece of it.
 AUTOMATON_BYTES, PIECE = 64 << 20, 256
+#: Blocks of 32 bytes that the filter of a larger dictionary has at most.
+BLOOM_BLOCKS = 1 << 21
 #: Phrases and values of the matches that are held at a time.
 VALUES = 50_000
 MATCH = "array<struct<phrase:string,words:int,n:int,found:array<string>>>"
@@ -163,15 +167,70 @@ def _by_automaton(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
+def _hashes(words: pa.Array, at: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the runs of n words that begin at these places."""
+    coded = words.dictionary_encode()
+    one = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)[coded.indices.to_numpy()]
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out ^ one[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each hash in a Bloom filter of blocks of four 64-bit words, and its bits there: two in each word."""
+    mixed = hashes * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(31)
+    bit = lambda k: np.uint64(1) << ((mixed >> np.uint64(6 * k)) & np.uint64(63))
+    return (hashes >> np.uint64(32)).astype(np.int64) % blocks, np.stack([bit(2 * k) | bit(2 * k + 1) for k in range(4)], axis=1)
+
+
+def _bloom(phrases: DataFrame, blocks: int) -> np.ndarray:
+    """A Bloom filter of the phrases; tasks make its blocks, and the driver has only those."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern(batch.column("form").cast(pa.string()), " ")
+            words, size = pc.list_flatten(split), pc.list_value_length(split).to_numpy().astype(np.int64)
+            begin = np.cumsum(size) - size
+            for n in np.unique(size):
+                block, bits = _places(_hashes(words, begin[size == n], int(n)), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *[pa.array(bits[:, k].view(np.int64)) for k in range(4)]], names=["block", "b0", "b1", "b2", "b3"])
+
+    made = phrases.select("form").mapInArrow(work, "block long, b0 long, b1 long, b2 long, b3 long")
+    held = made.groupBy("block").agg(*[F.bit_or(f"b{k}").alias(f"b{k}") for k in range(4)]).toArrow()
+    out = np.zeros((blocks, 4), np.uint64)
+    out[held.column("block").to_numpy()] = np.stack([held.column(f"b{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
+    return out
+
+
 def _by_join(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     phrases = materialise(phrases.withColumn("words", F.size(F.split("form", " "))))
-    lengths = sorted(r["words"] for r in phrases.select("words").distinct().collect())  # as many as there are lengths of phrases
+    counts = phrases.groupBy("words").count().collect()  # as many as there are lengths of phrases
+    lengths, blocks = sorted(r["words"] for r in counts), min(BLOOM_BLOCKS, sum(r["count"] for r in counts) // 8 + 1)
+    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(phrases, blocks))
     rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
-    split = F.split("__norm", " ")
-    last = lambda n: F.size("w") - n + 1
-    grams = lambda n: F.when(last(n) >= 1, F.transform(F.sequence(F.lit(1), last(n)), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    said = rows.select("__row", split.alias("w")).select("__row", F.explode(F.flatten(F.array_compact(F.array(*[grams(n) for n in lengths])))).alias("form"))
-    hits = said.groupBy("__row", "form").agg(F.count("*").cast("int").alias("n")).join(phrases, "form")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The word n-grams of texts that may be phrases, each once for a text, with their number."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                some = batch.slice(k, 1000)
+                split = pc.split_pattern(some.column("__norm").cast(pa.string()).fill_null(""), " ")
+                words, size = pc.list_flatten(split), pc.list_value_length(split).to_numpy().astype(np.int64)
+                of = np.repeat(np.arange(len(size)), size)
+                left = np.cumsum(size)[of] - np.arange(len(of))
+                for n in lengths:
+                    at = np.flatnonzero(left >= n)
+                    block, bits = _places(_hashes(words, at, n), blocks)
+                    at = at[((bloom.value[block] & bits) == bits).all(axis=1)]
+                    said = [words.take(pa.array(at + w)) for w in range(n)]
+                    found = pa.table({"__row": some.column("__row").take(pa.array(of[at])), "form": pc.binary_join_element_wise(*said, " ")})
+                    found = found.group_by(["__row", "form"]).aggregate([([], "count_all")])
+                    yield from found.select(["__row", "form", "count_all"]).rename_columns(["__row", "form", "n"]).set_column(2, "n", found.column("count_all").cast(pa.int32())).to_batches()
+
+    hits = rows.select("__row", "__norm").mapInArrow(grams, "__row long, form string, n int").join(phrases, "form")
     match = F.struct(F.col("form").alias("phrase"), F.col("words"), F.col("n"), F.col("v").alias("found"))
     found = hits.groupBy("__row").agg(F.array_sort(F.collect_list(match)).alias("matches"))
     return rows.join(found, "__row", "left").drop("__row", "__norm").withColumn("matches", F.coalesce("matches", F.array().cast(MATCH)))

@@ -216,3 +216,11 @@ def test_matches_are_given_out_in_parts(monkeypatch):
     assert [b for b, _, _ in parts][1:] == [e for _, e, _ in parts][:-1] and parts[-1][1] == len(texts)
     assert all(e - b == 1 or sum(1 + len(m["found"]) for row in x.to_pylist() for m in row) <= 50 for b, e, x in parts)
     assert [r for _, _, x in parts for r in x.to_pylist()] == held.matches(texts).to_pylist()
+
+
+def test_ngrams_that_are_no_phrases_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "AUTOMATON_BYTES", 0)
+    texts = spark.createDataFrame([(i, f"no word of text {i} but red ring {i}") for i in range(200)], "id long, text string")
+    found = dictionary.find_phrases(texts, spark.createDataFrame([(f"red ring {i}", "v") for i in range(0, 200, 2)], "phrase string, value string"))
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter(F.size("matches") > 0).count() == 100
