@@ -224,3 +224,19 @@ def test_ngrams_that_are_no_phrases_are_not_joined(spark, monkeypatch):
     found = dictionary.find_phrases(texts, spark.createDataFrame([(f"red ring {i}", "v") for i in range(0, 200, 2)], "phrase string, value string"))
     assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.filter(F.size("matches") > 0).count() == 100
+
+
+def test_new_alerts_are_stored_in_little_space(spark, tmp_path):
+    accounts, n = spark.range(6000), 400
+    ships = spark.range(2 * n).select((F.col("id") % n).alias("entity_id"), F.lit(1).cast("long").alias("supplier_id"), F.lit("2024-01-20").cast("date").alias("day"), F.lit("h").alias("heading"))
+    old = spark.createDataFrame([(0, 1, "2023-05-01", "h"), (1, 1, None, "h"), (n, 1, None, "h"), (None, 1, "2024-01-20", "h")], "entity_id long, supplier_id long, day string, heading string").withColumn("day", F.to_date("day"))
+    entities, followed = spark.range(n + 1).select(F.col("id").alias("entity_id"), F.lit(1).alias("region")), accounts.select(F.col("id").alias("account"), F.lit("h").alias("heading"))
+    none = spark.createDataFrame([], "account long, entity_id long, saved_at timestamp")
+    suppliers = spark.createDataFrame([(1, False)], "supplier_id long, is_home boolean")
+    found = alerts.alerts(ships.union(old), suppliers, entities, none, followed.select("account", F.lit(1).alias("alerts")), followed, none.select("account", F.lit(1).alias("region")), "region", "2024-01-31", "2024-01-31")
+    found.write.parquet(str(tmp_path / "alerts"))
+    rows = spark.read.parquet(str(tmp_path / "alerts"))
+    # entity 0 is known and the last has no day
+    assert rows.distinct().count() == rows.count() == 6000 * (n - 1)
+    assert {r[0] for r in rows.select("dedup_key").distinct().collect()} == {f"nb:{i}" for i in range(1, n)}
+    assert sum(f.stat().st_size for f in (tmp_path / "alerts").glob("*.parquet")) < 0.5 * rows.count()
